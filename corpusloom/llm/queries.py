@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding, urlfilter
+from . import licenses, quality, sharding, toxicity, urlfilter
 
 QUERIES = {
+    "op2_quality_rules": quality.query,
+    "op4_toxicity": toxicity.query,
+    "op6_license_scans": licenses.query,
     "op7_url_filters": urlfilter.query,
     "op8_sharding": sharding.query,
 }
