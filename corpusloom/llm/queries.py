@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, sharding, toxicity, urlfilter
+from . import bpe, licenses, orderminhash, packing, quality, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op2_quality_rules": quality.query,
+    "op3_secret_scans": secrets.query,
     "op4_toxicity": toxicity.query,
+    "op5_bpe": bpe.query,
     "op6_license_scans": licenses.query,
     "op7_url_filters": urlfilter.query,
     "op8_sharding": sharding.query,
+    "op9_packing": packing.query,
+    "op10_order_minhash": orderminhash.query,
 }
 
 ORACLE_SQL = {
