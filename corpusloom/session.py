@@ -16,6 +16,7 @@ def make_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
