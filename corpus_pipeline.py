@@ -1 +1,63 @@
-STAGES = []
+"""A corpus pipeline of five stages, from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. What a stage returns is written as
+Parquet and read again as the next one's ``docs``; all stages but the last return the columns of ``documents``.
+
+Edge cases follow the operators: null and empty texts fail the base rules of the first stage and go there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import orderminhash, packing, quality, secrets, toxicity
+from corpusloom.llm.common import materialize
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: rejected documents go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_stats(docs, labels).filter("quality_rules.kept").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents at or above the decision score go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.with_toxicity(docs, labels).filter(F.col("toxicity_score") < toxicity.DECISION).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Order MinHash: one document of each group of near duplicates stays."""
+    return orderminhash.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every finding is replaced by a mark, and n_chars follows the text."""
+    clean = docs.withColumn("text", secrets.redact_column(secrets.train_network())("text"))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all that is left."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("toxicity", drop_toxic),
+    ("order_minhash", keep_one_of_each),
+    ("secret_scans", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Boosted trees, sketches and a trained network have no SQL; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, orderminhash, packing, quality, secrets, sharding, toxicity, urlfilter
+from . import bpe, licenses, nndescent, orderminhash, packing, quality, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
+    "op1_nn_descent": nndescent.query,
     "op2_quality_rules": quality.query,
     "op3_secret_scans": secrets.query,
     "op4_toxicity": toxicity.query,
