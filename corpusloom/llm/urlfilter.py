@@ -17,6 +17,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,33 +42,52 @@ def host_key(host):
     return F.concat(F.array_join(F.reverse(F.split(safe, r"\.")), "\x00"), F.lit("\x00"))
 
 
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by range, key and kind (rules before URLs)."""
-    span, stack = None, []  # of [end of interval, host length, {path: (rule, verdict)}, path lengths from longest]
+    now, stack = None, []  # of [end of interval, host length, {path: (rule, verdict)}, path lengths from longest]
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.span != span:
-                span, stack = row.span, []
-            while stack and row.key >= stack[-1][0]:
+        cols = [batch.column(n).to_pylist() for n in ("span", "key", "kind", "host", "path", "verdict")]
+        out, at = [], []
+        for i, (span, key, kind, host, path, verdict) in enumerate(zip(*cols, strict=True)):
+            if span != now:
+                now, stack = span, []
+            while stack and key >= stack[-1][0]:
                 stack.pop()
-            if row.kind == 0:
-                end = row.key[:-1] + "\x01"
+            if kind == 0:
+                end = key[:-1] + "\x01"
                 if not stack or stack[-1][0] != end:
-                    stack.append([end, len(row.host), {}, []])
-                stack[-1][2].setdefault(row.path, (row.host + row.path, row.verdict))
-                if -len(row.path) not in stack[-1][3]:
-                    bisect.insort(stack[-1][3], -len(row.path))
+                    stack.append([end, len(host), {}, []])
+                stack[-1][2].setdefault(path, (host + path, verdict))
+                if -len(path) not in stack[-1][3]:
+                    bisect.insort(stack[-1][3], -len(path))
                 continue
             best = None
             for _, n, paths, lengths in stack:
                 for k in lengths:
-                    if (hit := paths.get(row.path[:-k])) and len(row.path) >= -k:
+                    if len(path) >= -k and (hit := paths.get(path[:-k])):
                         if best is None or (len(hit[0]), n) > best[0]:
                             best = ((len(hit[0]), n), hit)
                         break
-            out.append((row.page_id, row.host, row.path, *(best[1] if best else (None, row.verdict))))
-        yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"])
+            out.append(best[1] if best else (None, verdict))
+            at.append(i)
+        kept = batch.take(pa.array(at, pa.int64()))
+        verdicts = [pa.array([x[k] for x in out], pa.string()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([kept.column("page_id"), kept.column("host"), kept.column("path"), *verdicts], names=["page_id", "host", "path", "rule", "verdict"])
+
+
+def _range_of(cuts: list[str]):
+    """key, luck -> number of its range. Range i holds cuts[i-1] <= key < cuts[i]; a key that is several cuts in a row is
+    dealt over all their ranges by ``luck``."""
+
+    @F.pandas_udf("int")
+    def number(key: pd.Series, luck: pd.Series) -> pd.Series:
+        out = []
+        for k, x in zip(key, luck, strict=True):
+            lo, hi = bisect.bisect_left(cuts, k), bisect.bisect_right(cuts, k)
+            out.append(lo + 1 + x % (hi - lo) if hi > lo else hi)
+        return pd.Series(out)
+
+    return number
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
@@ -79,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url); the longest rule that fits wins."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
+    urls = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, urls.count())
     want = SAMPLED_KEYS_PER_RANGE * ranges
@@ -87,35 +107,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     sample = [r[0] for r in urls.filter(share).select("key").orderBy(F.xxhash64("page_id", "path")).limit(2 * want).collect()]
     sample.sort()
     cuts = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
-    cut_rows = spark.createDataFrame(
-        [(k, bisect.bisect_left(cuts, k), bisect.bisect_right(cuts, k)) for k in sorted(set(cuts))], "cut string, lo int, hi int"
-    )
-    # Below, range i holds cuts[i-1] <= key < cuts[i]; a key that is several cuts in a row is dealt over all their ranges.
-    edges = F.broadcast(cut_rows.agg(F.array_sort(F.collect_list(F.struct("cut", "lo", "hi"))).alias("edges")))  # fewer than ``ranges`` entries
-
-    def spans(df: DataFrame, key: str, name: str) -> DataFrame:
-        below = F.expr(f"filter(edges, e -> e.cut <= {key})")
-        return df.withColumn(name, F.when(F.size(below) > 0, F.element_at(below, -1)))
-
-    dealt = spans(urls.join(edges, how="left"), "key", "e").withColumn(
-        "span",
-        F.when(F.col("e").isNull(), F.lit(0)).when(
-            F.col("e.cut") == F.col("key"),
-            F.col("e.lo") + 1 + F.pmod(F.xxhash64("page_id", "path"), F.col("e.hi") - F.col("e.lo")).cast("int"),
-        ).otherwise(F.col("e.hi")),
-    )
+    number = _range_of(cuts)
+    dealt = urls.withColumn("span", number("key", F.xxhash64("page_id", "path")))
     dealt = dealt.select("span", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(default).alias("verdict"))
-    first = F.when(F.col("e").isNull(), F.lit(0)).when(F.col("e.cut") == F.col("key"), F.col("e.lo")).otherwise(F.col("e.hi"))
-    last = F.when(F.col("z").isNull(), F.lit(0)).otherwise(F.col("z.hi"))
     opened = rules.select("verdict", ascii_lower(F.col("host")).alias("host"), "path").withColumn("key", host_key(F.col("host")))
-    opened = opened.withColumn("until", F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("\x01"))).join(edges, how="left")
-    opened = spans(spans(opened, "key", "e"), "until", "z").withColumn("span", F.explode(F.sequence(first, last)))
-    opened = opened.select("span", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+    opened = opened.withColumn("until", F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("\x01")))
+    zero = F.lit(0).cast("long")
+    opened = opened.withColumn("span", F.explode(F.sequence(number("key", zero), number("until", zero))))
+    opened = opened.select("span", "key", F.lit(0).alias("kind"), F.lit(None).cast(urls.schema["page_id"].dataType).alias("page_id"), "host", "path", "verdict")
     return (
         dealt.unionByName(opened)
         .repartition(ranges, "span")
         .sortWithinPartitions("span", "key", "kind", "path", "page_id")
-        .mapInPandas(_sweep, "page_id long, host string, path string, rule string, verdict string")
+        .mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string")
     )
 
 
