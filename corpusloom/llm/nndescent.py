@@ -228,9 +228,9 @@ def descend(edges: DataFrame, nodes: DataFrame, blocks: int, turn: int, k: int =
     worst = edges.groupBy("u").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
     worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")).cast("float").alias("worst"))
     known = nodes.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")).cast("float")))
-    asked = lists.select("block", F.col("member").alias("node")).distinct()
-    vectors = asked.join(known, "node").select("block", "node", "vec", "worst")
-    found = lists.groupBy("block").cogroup(vectors.groupBy("block")).applyInPandas(_local_join(k, reverse), EDGES)
+    asked = lists.select(F.col("block").alias("to"), F.col("member").alias("node")).distinct()
+    vectors = asked.join(known, "node").select("to", "node", "vec", "worst")
+    found = lists.groupBy("block").cogroup(vectors.groupBy("to")).applyInPandas(_local_join(k, reverse), EDGES)
     return merge_edges(edges.withColumn("new", F.lit(False)).unionByName(found), blocks, k)
 
 
@@ -301,16 +301,16 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, blocks: int,
         some = nodes.select("node").orderBy("node").limit(16)
         entries = queries.select("q", F.explode(F.array(*[F.lit(r[0]) for r in some.collect()]))).toDF("q", "node")
     q_blocks = max(1, -(-queries.count() // 1024))
-    everything = nodes.select(_block("node", blocks), F.col("node").alias("id"), "vec", F.lit(False).alias("query"), F.lit(0.0).cast("float").alias("worst"))
+    everything = nodes.select(_block("node", blocks).alias("to"), F.col("node").alias("id"), "vec", F.lit(False).alias("query"), F.lit(0.0).cast("float").alias("worst"))
 
     def scored(pairs: DataFrame, worst: DataFrame | None) -> DataFrame:
         pairs = materialize(pairs.withColumn("block", _block("node", blocks)), "pairs")
-        asked = pairs.select("block", "q").distinct().join(queries, "q")
+        asked = pairs.select(F.col("block").alias("to"), "q").distinct().join(queries, "q")
         low = F.lit(float("-inf")).cast("float")
         asked = asked.withColumn("worst", low) if worst is None else asked.join(worst, "q", "left").withColumn("worst", F.coalesce("worst", low))
-        asked = asked.select("block", F.col("q").alias("id"), "vec", F.lit(True).alias("query"), "worst")
+        asked = asked.select("to", F.col("q").alias("id"), "vec", F.lit(True).alias("query"), "worst")
         both = everything.unionByName(asked)
-        return pairs.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(_score_pairs(beam), "q long, node long, score float")
+        return pairs.groupBy("block").cogroup(both.groupBy("to")).applyInPandas(_score_pairs(beam), "q long, node long, score float")
 
     def merged(rows: DataFrame) -> DataFrame:
         by = F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("q_block")
