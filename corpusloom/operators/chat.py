@@ -84,7 +84,7 @@ def next_fit_bins(lengths: DataFrame, capacity: int, order: str = "conv_id", str
         return rows[[*streams, order]].assign(bin=bins, start=starts)
 
     schema = ", ".join([*(f"{s} {fields[s]}" for s in streams), f"{order} {fields[order]}", "bin long", "start long"])
-    return lengths.select(*streams, order, "length").groupBy(*(streams or [F.lit(0)])).applyInPandas(fold, schema)
+    return lengths.select(*streams, order, "length").groupBy(*(streams or [F.lit("all")])).applyInPandas(fold, schema)
 
 
 def pack_next_fit(rows: DataFrame, capacity: int, order: str = "conv_id", split_last: bool = True) -> DataFrame:

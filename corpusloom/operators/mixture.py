@@ -67,12 +67,12 @@ def mixture_rows(plan: DataFrame, rows: DataFrame, domain: str, order: str, draw
     domain's rows in turn.
     """
     sizes = rows.groupBy(domain).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(domain, "domain")
-    numbered = row_index(rows, order, "_local", (domain,), ties).withColumnRenamed(domain, "domain")
+    numbered = row_index(rows, order, "local_idx", (domain,), ties).withColumnRenamed(domain, "domain")
     if draw == "counter":
         plan = row_index(plan, "idx", "_turn", ("domain",))
     turn = F.col("_turn" if draw == "counter" else "idx")
-    asked = plan.join(F.broadcast(sizes), "domain").withColumn("_local", (turn % F.col("_n")).cast("long"))  # one row a domain
-    return asked.join(numbered, ["domain", "_local"]).withColumnRenamed("_local", "local_idx").drop("_n", "_turn")
+    asked = plan.join(F.broadcast(sizes), "domain").withColumn("local_idx", (turn % F.col("_n")).cast("long"))  # one row a domain
+    return asked.join(numbered, ["domain", "local_idx"]).drop("_n", "_turn")
 
 
 def batches(rows: DataFrame, rank: str, size: int, drop_last: bool = True, total: int | None = None) -> DataFrame:

@@ -220,9 +220,9 @@ def line_pack(spark, sf):
 
 @query(f"""WITH t AS (SELECT doc_id, list_concat(list_concat([1], {TOK}), [2]) AS ids FROM documents),
 o AS (SELECT *, CAST(coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t),
-u AS (SELECT start + generate_subscripts(ids, 1) - 1 AS at, unnest(ids) AS tok FROM o),
+u AS (SELECT start + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS tok FROM o),
 n AS (SELECT count(*) // 512 * 512 AS whole FROM u)
-SELECT at // 384 AS seq_id, md5(string_agg(CAST(tok AS VARCHAR), ',' ORDER BY at)) AS ids_md5 FROM u, n WHERE at < whole GROUP BY 1 HAVING count(*) = 384""")
+SELECT pos // 384 AS seq_id, md5(string_agg(CAST(tok AS VARCHAR), ',' ORDER BY pos)) AS ids_md5 FROM u, n WHERE pos < whole GROUP BY 1 HAVING count(*) = 384""")
 def rechunk(spark, sf):
     rows = packing.pack(encoded(spark, sf), 512)
     return packing.rechunk(rows, 384, "seq_id").select("seq_id", digest("input_ids", "ids_md5"))
@@ -537,7 +537,7 @@ def latest_checkpoint(spark, sf):
     return telemetry.latest(table(spark, sf, "events"), F.struct("ts", "event_id"), "event_id")
 
 
-@query("""WITH e AS (SELECT event_id, CAST(epoch(ts) AS BIGINT) - 1704067200 AS s FROM events), p AS (SELECT *, s / 3600.0::DOUBLE * 2.06 AS spent FROM e)
+@query("""WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS s FROM events), p AS (SELECT *, s / 3600.0::DOUBLE * 2.06 AS spent FROM e)
 SELECT event_id, CASE WHEN s // 3600 < 100 THEN lpad(CAST(s // 3600 AS VARCHAR), 2, '0') ELSE CAST(s // 3600 AS VARCHAR) END || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' AS elapsed_str,
  round(spent, 6) AS spent, round(greatest(0.0::DOUBLE, 440.49 - spent), 6) AS balance, round(294.58::DOUBLE, 6) AS est_total, round(greatest(0.0::DOUBLE, 440.49 - spent) - 294.58, 6) AS est_surplus FROM p""")
 def metered_cost(spark, sf):
