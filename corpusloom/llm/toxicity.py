@@ -36,8 +36,7 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu
 LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"[^\W\d_]+")
 UPPER = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de]")
-ODD = re.compile(r"[^\W\d_]+(?:[\d@$!*|._-]+[^\W\d_]+)+|\d+[^\W\d_]+[\d@$]*[^\W\d_]*")
-LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
+ODD = re.compile(r"(?<![^\W_])(?:[^\W\d_]+(?:[\d@$!*|._-]+[^\W\d_]+)+|\d+[^\W\d_]+[\d@$]*[^\W\d_]*)")
 NAMES = (
     "words", "insult_count", "insult_rate", "learned_count", "learned_rate", "begin_count", "begin_rate", "weight_top",
     "near_you", "you_rate", "capital_rate", "capital_words", "exclaim_rate", "question_rate", "punct_rate", "odd_rate",
@@ -51,6 +50,18 @@ class Lexicon:
 
     words: dict[str, float]
     begins: dict[str, float]
+    all_words: frozenset[str] = INSULTS  # insults and words
+
+    def __post_init__(self):
+        object.__setattr__(self, "all_words", INSULTS | self.words.keys())
+
+
+def letter_runs(low: str) -> int:
+    """How often one of a to z stands three times or more in a row."""
+    a = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+    same = np.flatnonzero((a[1:] == a[:-1]) & (a[1:] >= 97) & (a[1:] <= 122))
+    pairs = same[1:][np.diff(same) == 1]  # where a third equal letter stands
+    return int(len(pairs) and 1 + np.count_nonzero(np.diff(pairs) > 1))
 
 
 def features(text: str | None, lex: Lexicon) -> list[float]:
@@ -60,28 +71,29 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
     low = text.lower()
     words = WORD.findall(low)
     n, chars = max(1, len(words)), len(text)
-    hits = [i for i, w in enumerate(words) if w in INSULTS or w in lex.words]
-    insults = sum(words[i] in INSULTS for i in hits)
-    learned = [lex.words[words[i]] for i in hits if words[i] in lex.words]
-    begins = [x for x in map(lex.begins.get, [w[:PREFIX] for w in words if len(w) >= PREFIX]) if x]
-    you = [i for i, w in enumerate(words) if w in YOU]
-    near = 0
-    if hits and you:
-        at, of = np.array(hits), np.array(you)
-        near = int((np.abs(at[:, None] - of[_nearest(of, at)]) <= 5).any(axis=1).sum())
+    insults, learned, near = 0, [], 0
+    if not lex.all_words.isdisjoint(words):
+        hits = [i for i, w in enumerate(words) if w in lex.all_words]
+        insults = sum(words[i] in INSULTS for i in hits)
+        learned = [lex.words[words[i]] for i in hits if words[i] in lex.words]
+        if you := [i for i, w in enumerate(words) if w in YOU]:
+            at, of = np.array(hits), np.array(you)
+            near = int((np.abs(at[:, None] - of[_nearest(of, at)]) <= 5).any(axis=1).sum())
+    begins = list(filter(None, map(lex.begins.get, [w[:PREFIX] for w in words]))) if lex.begins else []
     odd = ODD.findall(low)
     undone = 0
     for x in odd:
         plain = "".join(WORD.findall(x.translate(LEET)))
-        undone += plain in INSULTS or plain in lex.words
+        undone += plain in lex.all_words
     upper = len(UPPER.findall(text))
     shout = sum(w.isupper() and len(w) > 2 for w in text.split()) if upper > 3 else 0
     exclaim, question = text.count("!"), text.count("?")
     punct = exclaim + question + sum(map(text.count, ".,;:'\"-()"))
+    you_words = sum(map(YOU.__contains__, words))
     return [
         float(len(words)), insults, 100 * insults / n, len(learned), 100 * len(learned) / n, len(begins), 100 * len(begins) / n,
-        max(learned, default=0.0), near, 100 * len(you) / n, upper / chars, shout / n, 100 * exclaim / chars,
-        100 * question / chars, 100 * punct / chars, 100 * len(odd) / n, undone, 100 * len(LONG_RUN.findall(low)) / n,
+        max(learned, default=0.0), near, 100 * you_words / n, upper / chars, shout / n, 100 * exclaim / chars,
+        100 * question / chars, 100 * punct / chars, 100 * len(odd) / n, undone, 100 * letter_runs(low) / n,
     ]
 
 
@@ -230,8 +242,8 @@ def train_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> t
         return pd.Series([features(t, lex) for t in text])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    got = train.select(dense("text").alias("x"), F.col("toxic").cast("int").alias("y"), fold.alias("fold"), "doc_id").orderBy("doc_id").toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
+    got = train.select(dense("text").alias("x"), F.col("toxic").cast("int").alias("y"), fold.alias("fold"), "doc_id").toPandas().sort_values("doc_id")
+    x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))  # at most ``rows`` rows, or more where an id repeats
     return lex, fit(x, got["y"].to_numpy(), got["fold"].to_numpy(bool))
 
 
