@@ -201,3 +201,33 @@ def long_metrics(rows: DataFrame, step: str) -> DataFrame:
     """One row a step and metric."""
     names = [c for c in rows.columns if c != step]
     return rows.select(step, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([step], names, "metric", "value")
+
+
+def step_line(phase: Column, step: Column, loss: Column, lr: Column, gnorm: Column, tok_s: Column, mfu: Column, mem: Column, total: Column) -> Column:
+    """The log line that :func:`step_metrics` reads; ``mfu`` is a share."""
+    return F.format_string(
+        "[Ph%d|Step %,d] loss=%.4f | ppl=%.2f | lr=%.2e | gnorm=%.3f | tok/s=%,.0f | MFU=%.1f%% | mem=%.1f/%.1fGB",
+        phase, step, loss, perplexity(loss), lr, gnorm, tok_s.cast("double"), mfu * 100, mem, total,
+    )
+
+
+def summary_table(manifest: DataFrame, domain: str = "domain") -> DataFrame:
+    """One printable line a domain of a manifest with train_tokens and, where it failed, error."""
+    good = F.format_string("  %-15s %,18d tokens", F.col(domain), F.coalesce("train_tokens", F.lit(0)).cast("long"))
+    return manifest.select(domain, F.when(F.col("error").isNotNull(), F.format_string("  %-15s FAILED: %s", domain, "error")).otherwise(good).alias("line"))
+
+
+def dashboard(lines: DataFrame, order: str, now: Column, start: int, line: str = "value") -> DataFrame:
+    """One row of JSON: the last step, progress, the chart series, the log's tail and the cost.
+
+    Series and tail are what a page shows, so they meet in one row by intent; the series have one entry a step line.
+    """
+    steps = step_metrics(lines, line)
+    series = ["step", "loss", "lr", "gnorm", "tok_s", "mfu", "mem"]
+    charts = steps.agg(F.array_sort(F.collect_list(F.struct(order, *series))).alias("s")).select(F.struct(*[F.transform("s", lambda x, n=n: x[n]).alias(n) for n in series]).alias("charts"))
+    micro = micro_losses(lines, order, line).agg(F.array_sort(F.collect_list(F.struct("micro_index", "micro_loss"))).alias("micro"))
+    tail = log_tail(lines, order).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(line).alias("text")))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("logs"))
+    last = progress(steps, order)
+    cost = F.struct(*[c.alias(n) for n, c in metered(now, start).items()]).alias("cost")
+    rows = last.join(charts, F.lit(True)).join(micro, F.lit(True)).join(tail, F.lit(True))  # one row each
+    return rows.select(F.to_json(F.struct(*last.columns, "charts", "micro", "logs", cost)).alias("payload"))

@@ -307,11 +307,12 @@ def batches_drop_last(spark, sf):
     return mixture.batches(ranked, "rank", 32).select("doc_id", "batch_id", "pos_in_batch")
 
 
-@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents), w AS (SELECT unnest(range(0, 3000, 7)) AS idx)
-SELECT idx, doc_id FROM w, r WHERE rn = idx % n""")
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents), w AS (SELECT 7 * unnest(range((SELECT count(*) FROM documents))) AS idx)
+SELECT idx, doc_id FROM w JOIN r ON rn = idx % n""")
 def locate_rows(spark, sf):
-    wanted = spark.range(0, 3000, 7).withColumnRenamed("id", "idx")
-    return packing.locate(documents(spark, sf).select("doc_id"), wanted, ("doc_id",)).select("idx", "doc_id")
+    docs = documents(spark, sf).select("doc_id")
+    wanted = spark.range(docs.count()).select((F.col("id") * 7).alias("idx"))
+    return packing.locate(docs, wanted, ("doc_id",)).select("idx", "doc_id")
 
 
 # --- conversations -------------------------------------------------------------------------------------------------

@@ -67,3 +67,8 @@ def test_features():
     assert got["insult_count"] == 1 and got["learned_count"] == 1 and got["near_you"] == 2
     assert got["undone_count"] == 2 and got["run_rate"] > 0 and got["exclaim_rate"] > 0
     assert tx.features(None, lex) == tx.features("", lex) == [0.0] * len(tx.NAMES)
+
+
+def test_letter_runs():
+    for text, want in (("", 0), ("aab", 0), ("aaa", 1), ("aaaa", 1), ("aaabbb", 2), ("aaa aaa", 2), ("111", 0), ("ééé", 0), ("xaaayyy zzz", 3)):
+        assert tx.letter_runs(text) == want, text
