@@ -6,8 +6,8 @@ random-projection leaves. Each round of NN-descent joins every node's neighbours
 neighbours of neighbours that beat a node's worst neighbour replace it. A search keeps a beam of the best nodes seen by
 each query and expands all that are not yet expanded, until none is left.
 
-At scale: nodes are dealt by hash into blocks of about ``BLOCK`` nodes, and a block receives each vector that it needs
-once, whatever the number of its edges to it. What a block sends on is cut to what can still matter: the best
+At scale: nodes are dealt by hash into blocks, two for each core of the cluster and of at most about ``BLOCK`` nodes. A
+block receives each vector that it needs once, whatever the number of its edges to it. What a block sends on is cut to what can still matter: the best
 ``NEIGHBOURS`` per node, the best ``BEAM`` per query. Reverse lists are sampled where they are made, so a hub sends a
 bounded number of edges per task. Queries are distinct vectors; copies are expanded at the end.
 
@@ -35,7 +35,7 @@ ROUNDS = 4
 SETTLED = 0.02  # share of new edges below which the graph is taken as it is
 BEAM = 160
 HOPS = 30
-BLOCK = 2048
+BLOCK = 16_384  # nodes at most, on average
 LEAF = 512
 TREES = 2
 EXTRA = 8  # nodes more than wanted that are scored again in double precision
@@ -237,7 +237,7 @@ def descend(edges: DataFrame, nodes: DataFrame, blocks: int, turn: int, k: int =
 def build_graph(nodes: DataFrame, rounds: int = ROUNDS, k: int = NEIGHBOURS, seed: int = 11) -> tuple[DataFrame, int]:
     """Edges (u, v, score, new) of every node, and the number of blocks."""
     n = nodes.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK))  # as many as run at once, more where memory asks for it
     if not n:
         return nodes.sparkSession.createDataFrame([], EDGES), blocks
     start = _leaves(nodes, n, TREES, LEAF, seed).groupBy("leaf", "part").applyInPandas(_leaf_neighbours(k), EDGES)
