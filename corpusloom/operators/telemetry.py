@@ -224,7 +224,8 @@ def dashboard(lines: DataFrame, order: str, now: Column, start: int, line: str =
     """
     steps = step_metrics(lines, line)
     series = ["step", "loss", "lr", "gnorm", "tok_s", "mfu", "mem"]
-    charts = steps.agg(F.array_sort(F.collect_list(F.struct(order, *series))).alias("s")).select(F.struct(*[F.transform("s", lambda x, n=n: x[n]).alias(n) for n in series]).alias("charts"))
+    pick = lambda name: F.transform("s", lambda x: x[name]).alias(name)
+    charts = steps.agg(F.array_sort(F.collect_list(F.struct(order, *series))).alias("s")).select(F.struct(*map(pick, series)).alias("charts"))
     micro = micro_losses(lines, order, line).agg(F.array_sort(F.collect_list(F.struct("micro_index", "micro_loss"))).alias("micro"))
     tail = log_tail(lines, order).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(line).alias("text")))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("logs"))
     last = progress(steps, order)
