@@ -32,14 +32,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
+def forget(*tables: DataFrame, collect: bool = True) -> None:
     """Delete tables of :func:`materialize` that nothing lazy reads any more, and let Spark drop their shuffle files."""
     for df in tables:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
+    if tables and collect:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects their owners
 

@@ -185,6 +185,14 @@ class Words:
         self.words = Cache(self.encode_words)
         self.cache = Cache(self._encode_pieces)
 
+    def _split(self, piece: str) -> list[str]:
+        """Words of the pattern; letters alone, and letters before a full stop or comma, need no search."""
+        if piece.isalpha():
+            return [piece]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.split.findall(piece)
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of words of the pattern."""
         out: list[bytes] = []
@@ -197,7 +205,7 @@ class Words:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of what stands between two spaces."""
         plain = ["<|" not in p and (p.isascii() or bool(LATIN.fullmatch(p))) and p.isprintable() for p in pieces]
-        got = self.words.join([self.split.findall(p.lower()) if ok else [] for p, ok in zip(pieces, plain, strict=True)])
+        got = self.words.join([self._split(p.lower()) if ok else [] for p, ok in zip(pieces, plain, strict=True)])
         other = [k for k, ok in enumerate(plain) if not ok]
         for k, e in zip(other, self.tok.encode_batch_fast([pieces[k] for k in other], add_special_tokens=False), strict=True):
             got[k] = pack_ids(e.ids)
