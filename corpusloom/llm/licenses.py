@@ -1,8 +1,8 @@
 """Licence scans over a positional index of rare tokens, in DataFrame functions only.
 
 Templates of licence notices are indexed by their rarest words and the places of these words. Rarity is the inverse
-document frequency over the whole corpus, so the index follows the corpus. For a file, its licence words of highest IDF
-are looked up; postings that agree on the relative position (place in file minus place in template) add up; and a
+document frequency over the whole corpus, so the index follows the corpus. For a file, all its indexed words are looked
+up, however many notices it holds; postings that agree on the relative position (place in file minus place in template) add up; and a
 template whose matched share is high enough counts once one of its mandatory key phrases is verified in the file.
 
 Base labels come from four phrases and always stay.
@@ -46,7 +46,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 RARE_PER_TEMPLATE = 8
-LOOKED_UP = 24
 MIN_SCORE = 0.7
 
 
@@ -86,7 +85,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_S
     spark = docs.sparkSession
     idf = word_idf(docs, templates)
     index = postings(idf, templates)
-    indexed = sorted({p[0] for p in index}, key=lambda w: (-idf[w], w))
+    indexed = sorted({p[0] for p in index})
     phrases = sorted({p for _, _, ps in templates for p in ps})
 
     starts = []
@@ -97,15 +96,14 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_S
     places = f"filter(transform(words, (w, i) -> CASE WHEN {' OR '.join(f'({s})' for s in starts)} THEN i END), x -> x IS NOT NULL)"
     base_labels = "array_compact(array(" + ", ".join(f"CASE WHEN contains(canon, ' {p} ') THEN '{lab}' END" for p, lab in BASE.items()) + "))"
     verified = "array_compact(array(" + ", ".join(f"CASE WHEN contains(canon, ' {p} ') THEN '{p}' END" for p in phrases) + "))"
-    # ``indexed`` stands in the order of falling IDF, so the first common words are the file's rarest.
-    rarest = f"slice(array_intersect({_array(indexed)}, words), 1, {LOOKED_UP})"
+    known = f"array_intersect({_array(indexed)}, words)"
 
     files = (
         _words(docs, "doc_id")
         .withColumn("places", F.expr(f"CASE WHEN {any_base} THEN {places} ELSE CAST(array() AS array<int>) END"))
         .withColumn("base", F.expr(base_labels))
         .withColumn("verified", F.expr(verified))
-        .withColumn("rarest", F.expr(f"CASE WHEN size(verified) > 0 THEN {rarest} ELSE CAST(array() AS array<string>) END"))
+        .withColumn("known", F.expr(f"CASE WHEN size(verified) > 0 THEN {known} ELSE CAST(array() AS array<string>) END"))
         .select(
             F.monotonically_increasing_id().alias("row_id"),
             "doc_id",
@@ -115,7 +113,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_S
             F.array_max("places").cast("long").alias("last_word"),
             "base",
             "verified",
-            F.expr("CASE WHEN size(rarest) > 0 THEN filter(transform(words, (w, i) -> CASE WHEN array_contains(rarest, w) THEN named_struct('place', i, 'word', w) END), x -> x IS NOT NULL) END").alias("hits"),
+            F.expr("CASE WHEN size(known) > 0 THEN filter(transform(words, (w, i) -> CASE WHEN array_contains(known, w) THEN named_struct('place', i, 'word', w) END), x -> x IS NOT NULL) END").alias("hits"),
         )
     )
     files = materialize(files, "licence-hits")  # narrow; fixes row_id too

@@ -30,3 +30,11 @@ def test_templates_and_key_phrases(spark):
             assert out[i]["score"] > 0.99
     assert out[100]["labels"] == out[102]["labels"] == out[103]["labels"] == ""
     assert out[101]["labels"] == "cc-by,cc-by-nc"
+
+
+def test_file_of_every_notice(spark):
+    held = [(label, text) for label, text, phrases in li.TEMPLATES if any(p in text for p in phrases)]
+    rows = [(1, " prose between the notices ".join(text for _, text in held)), (2, "plain prose")]
+    out = {r["doc_id"]: r for r in li.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {label for label, _ in held} <= set(out[1]["labels"].split(","))
+    assert out[1]["score"] > 0.99 and out[2]["labels"] == ""
