@@ -200,6 +200,12 @@ def _met(postings: DataFrame, turn: int) -> DataFrame:
     return met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
 
 
+def _accompanied(postings: DataFrame) -> DataFrame:
+    """(key): every member of a bucket that has more than one, whatever its size; later comparisons may need any of them."""
+    shared = postings.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    return postings.join(shared, ["band", "value"]).select("key").distinct()
+
+
 def _in_groups(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """``postings`` with the root of each text's group; a text without links is its own."""
     out = postings.join(groups.withColumnRenamed("node", "key"), "key", "left")
@@ -247,7 +253,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = materialize(reps, "texts")
     postings = reps.select("key", "n", F.posexplode("sketch").alias("band", "value"))
     met = materialize(_met(postings, 0), "candidates")
-    texts = _texts(docs, met.select("key").unionByName(met.select(F.col("pivot").alias("key"))).distinct().join(reps.select("key", "first_id"), "key"))
+    texts = _texts(docs, _accompanied(postings).join(reps.select("key", "first_id"), "key"))
 
     links = groups = None
     order = W.partitionBy("key").orderBy(F.desc("times"), "pivot")  # at most two pivots a sketch

@@ -99,6 +99,11 @@ def test_large_family_of_copies(spark):
     assert {x["class_id"] for x in out} == {0}
 
 
+def test_every_member_of_a_shared_bucket_has_its_text(spark):
+    rows = spark.createDataFrame([(b"a", 1, 1, 100), (b"b", 1, 1, 100), (b"c", 1, 1, 300), (b"d", 1, 2, 100), (b"a", 2, 1, 100)], "key binary, band int, value long, n long")
+    assert {bytes(x["key"]) for x in om._accompanied(rows).collect()} == {b"a", b"b", b"c"}
+
+
 def test_odd_rows_and_keep_one(spark, odd_docs, clashing, no_docs, odd_rows):
     want = brute_classes([x for x in odd_rows if len(x[1] or "") < 10_000])
     for docs in (odd_docs, clashing):
