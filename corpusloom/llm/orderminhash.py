@@ -9,10 +9,10 @@ n and m shingles are near duplicates if M / (n + m - M) is at least 0.8. The ban
 cuts off no alignment that could reach it.
 
 At scale: equal texts collapse first. Within a bucket of equal sketches every member is compared with the bucket's two
-pivots only, so pairs grow with members, never with their square. Pivots are drawn anew for each sketch. A text's most
-frequent pivots are verified first, and pairs that end up in one group are not verified again. Buckets that still hold
-several groups get other pivots, again and again, until a turn finds no link. Groups are the connected components, found
-by alternating large and small stars.
+pivots first, drawn anew for each sketch. A text's most frequent pivots are verified first, and pairs that end up in one
+group are not verified again. Texts of buckets that then still hold several groups are compared across groups by an exact
+join on their rarest shingles (``_across``): no pair that shares a bucket and reaches 0.8 stays apart, however frequent
+what the bucket shares is. Groups are the connected components, found by alternating large and small stars.
 
 Edge cases: null counts as the empty text; empty texts (and other equal texts) form one class; a text of one to four
 words has one shingle, of all its words; a class without any id has a null class id; repeated rows share a class;
@@ -38,6 +38,7 @@ SIMILARITY = 0.8
 SKETCHES = 12
 TAKEN = 2  # shingles a sketch takes
 STAGES = ((0, 1), (1, 4), (4, 2 * SKETCHES))  # pivots of each text that are verified together, the most frequent first
+FREQUENT = 1 << 17  # shingles whose frequency is known when pairs across groups are sought; for speed only
 BITMAP_LOG2 = 27  # 16 MB
 _SEEDS = np.array([xxh64_intdigest(b"sketch %d" % i) for i in range(SKETCHES)], np.uint64)
 
@@ -178,28 +179,71 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_verify, "a binary, b binary")
 
 
-def _met(postings: DataFrame, turn: int) -> DataFrame:
+def _met(postings: DataFrame) -> DataFrame:
     """(key, pivot, times): members of a bucket and its two pivots, where their sizes allow a link.
 
-    Pivots are the members whose hash is least and greatest; it differs by band and turn, so a family of copies has many
-    pivots. With a column ``root``, only buckets of several groups count, and only pairs across groups; two pivots have
-    been compared with all members of a bucket of up to three, so these are done.
+    Pivots are the members whose hash is least and greatest; it differs by band, so a family of copies has many pivots.
     """
-    grouped = "root" in postings.columns
-    end = F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("luck"), "key", "n", *["root"] * grouped)
-    first, last = ("root", "root") if grouped else ("key", "key")
-    pivots = postings.groupBy("band", "value").agg(
-        F.min(end).alias("lo"), F.max(end).alias("hi"), F.min(first).alias("first"), F.max(last).alias("last"), F.count(F.lit(1)).alias("members")
-    )
-    pivots = pivots.filter((F.col("first") != F.col("last")) & (F.col("members") > 3 * grouped)).drop("first", "last", "members")
-    pivots = materialize(pivots, "pivots")
+    end = F.struct(F.xxhash64("key", "band").alias("luck"), "key", "n")
+    pivots = postings.groupBy("band", "value").agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
+    pivots = materialize(pivots.filter(F.col("lo.key") != F.col("hi.key")), "pivots")
     met = postings.join(pivots, ["band", "value"]).withColumn("p", F.explode(F.array("lo", "hi")))
     met = met.filter((F.col("key") != F.col("p.key")) & (F.least("n", "p.n") >= SIMILARITY * F.greatest("n", "p.n")))  # else they cannot pass
-    if grouped:
-        met = met.filter(F.col("root") != F.col("p.root"))
     return met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
 
 
+def _unsettled(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, root): members of buckets that still hold several groups; with up to three members all pairs have been compared."""
+    grouped = _in_groups(postings, groups)
+    open_ = grouped.groupBy("band", "value").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("members"))
+    open_ = open_.filter((F.col("first") != F.col("last")) & (F.col("members") > 3)).select("band", "value")
+    return grouped.join(open_, ["band", "value"]).select("key", "root").distinct()
+
+
+def _across(unsettled: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, pivot): every pair of unsettled texts of different groups that can be similar enough; exact, nothing is drawn.
+
+    A link of n and m shingles has need = SIMILARITY (n + m) / (1 + SIMILARITY) in common. Sort the shingles of all texts
+    by one order: at the first common one, both texts have at least ``need`` left, itself included. So only each text's
+    first fifth is posted, and pairs meet where both have enough left. The order is by frequency, rarest first; a table
+    of the ``FREQUENT`` most frequent ones serves for that, and any order gives the same links.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingles(t)[1] for t in batch["text"])]), return_counts=True)
+            yield pd.DataFrame({"h": h.view(np.int64), "c": c})
+
+    texts = materialize(texts.join(unsettled, "key").select("key", "root", "text"), "unsettled")
+    counts = texts.select("text").mapInPandas(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
+    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    known, often = np.r_[top["h"].to_numpy(np.int64), np.iinfo(np.int64).max], np.r_[top["c"].to_numpy(np.int64), 0]
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, root, text in zip(batch["key"], batch["root"], batch["text"], strict=True):
+                h = shingles(text)[1].view(np.int64)
+                at = np.searchsorted(known, h)
+                h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
+                n = len(h)
+                first = h[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+                out.append(pd.DataFrame({"h": first, "key": key, "root": root, "n": n, "rest": n - np.arange(len(first))}))
+            yield pd.concat(out) if out else pd.DataFrame({"h": [], "key": [], "root": [], "n": [], "rest": []})
+
+    posts = materialize(texts.mapInPandas(posted, "h long, key binary, root binary, n long, rest long"), "posts")
+    # Of two groups at a shingle one is not its largest: pairs start there, so a large family never meets itself.
+    sizes = posts.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("h").agg(F.max_by("root", "size").alias("largest"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several")
+    lesser = materialize(posts.join(largest, "h").filter(F.col("root") != F.col("largest")).drop("largest"), "lesser-posts")
+    a, b = lesser.alias("a"), posts.alias("b")
+    need = SIMILARITY / (1 + SIMILARITY) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    enough = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rest") >= need) & (F.col("b.rest") >= need)
+    pairs = materialize(a.join(b, enough).select(F.col("a.key").alias("key"), F.col("b.key").alias("pivot")).distinct(), "across")
+    forget(texts, posts, lesser)
+    return pairs
+
+
 def _accompanied(postings: DataFrame) -> DataFrame:
     """(key): every member of a bucket that has more than one, whatever its size; later comparisons may need any of them."""
     shared = postings.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
@@ -252,7 +296,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     reps = materialize(reps, "texts")
     postings = reps.select("key", "n", F.posexplode("sketch").alias("band", "value"))
-    met = materialize(_met(postings, 0), "candidates")
+    met = materialize(_met(postings), "candidates")
     texts = _texts(docs, _accompanied(postings).join(reps.select("key", "first_id"), "key"))
 
     links = groups = None
@@ -260,12 +304,11 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = materialize(met.withColumn("nth", F.row_number().over(order)), "ranked")
     for lo, hi in STAGES:
         links, groups, _ = _link(ranked.filter((F.col("nth") > lo) & (F.col("nth") <= hi)), texts, links, groups)
-    turn, found = 0, 1
-    while found:  # other pivots for buckets that still hold several groups, until they bring nothing new
-        turn += 1
-        links, groups, found = _link(_met(_in_groups(postings, groups), turn), texts, links, groups)
+    unsettled = materialize(_unsettled(postings, groups), "unsettled-keys")
+    across = _across(unsettled, texts)
+    links, groups, _ = _link(across, texts, links, groups)
 
-    forget(texts, ranked, met)
+    forget(texts, ranked, met, unsettled, across)
     named = reps.select("key", "first_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
     named = materialize(named.select("key", "first_id", F.coalesce("root", "key").alias("class_key")), "named")
     ids = materialize(named.groupBy("class_key").agg(F.min("first_id").alias("class_id")), "class-ids")

@@ -99,11 +99,44 @@ def test_large_family_of_copies(spark):
     assert {x["class_id"] for x in out} == {0}
 
 
+def around_passage(shared, sizes, seed, families=12, others=150):
+    """Texts of one passage and ``sizes`` own words;  Ids of a family follow each other."""
+    r, passage, rows = random.Random(seed), words(shared, seed), []
+    own = lambda k: " ".join(f"own{r.randint(0, 10**9)}" for _ in range(k))
+    for _ in range(families):
+        tail = own(r.choice(sizes)).split()
+        for _ in range(2):
+            rows.append(doc(len(rows), passage + " " + " ".join(tail[: len(tail) // 2]) + " " + own(len(tail) - len(tail) // 2)))
+    return rows + [doc(len(rows) + i, passage + " " + own(r.choice(sizes))) for i in range(others)]
+
+
 def test_every_member_of_a_shared_bucket_has_its_text(spark):
     rows = spark.createDataFrame([(b"a", 1, 1, 100), (b"b", 1, 1, 100), (b"c", 1, 1, 300), (b"d", 1, 2, 100), (b"a", 2, 1, 100)], "key binary, band int, value long, n long")
     assert {bytes(x["key"]) for x in om._accompanied(rows).collect()} == {b"a", b"b", b"c"}
 
 
+def test_pairs_across_groups_are_all_found(spark):
+    rows = around_passage(160, [28, 30, 40], 5, others=40)
+    true = {(a, b) for a in range(len(rows)) for b in range(a) if abs(len(rows[a][1].split()) - len(rows[b][1].split())) <= 50 and similarity_bound(rows[a][1], rows[b][1])}
+    texts = spark.createDataFrame([(b"%04d" % r[0], r[1]) for r in rows], "key binary, text string")
+    keys = texts.select("key", texts["key"].alias("root"))
+    met = {tuple(sorted((int(x["key"]), int(x["pivot"])), reverse=True)) for x in om._across(keys, texts).collect()}
+    assert {(2 * i + 1, 2 * i) for i in range(12)} <= true <= met
+    assert len(met) < len(rows) ** 2 / 20
+    family = texts.filter("key < '0024'").selectExpr("key", "cast('f' as binary) as root").unionByName(keys.filter("key >= '0024'"))
+    assert not {p for p in om._across(family, texts).collect() if max(int(p["key"]), int(p["pivot"])) < 24}
+
+
+def similarity_bound(a, b):
+    return om.aligned(om.shingles(a)[1], om.shingles(b)[1]) >= om.SIMILARITY
+
+
+def test_families_around_a_passage(spark):
+    rows = around_passage(160, [28, 30], 5)
+    out = {x["doc_id"]: x["class_id"] for x in om.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {r[0]: r[0] - r[0] % 2 if r[0] < 24 else r[0] for r in rows}
+
+
 def test_odd_rows_and_keep_one(spark, odd_docs, clashing, no_docs, odd_rows):
     want = brute_classes([x for x in odd_rows if len(x[1] or "") < 10_000])
     for docs in (odd_docs, clashing):
