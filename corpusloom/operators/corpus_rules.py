@@ -3,8 +3,6 @@ upsampling, composition and near duplicates."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,41 +78,31 @@ def composition(docs: DataFrame, group: str, tokens: Column) -> DataFrame:
     return per.withColumn("share", F.col("tokens") / F.sum("tokens").over(W.partitionBy()))  # one row a group
 
 
-def _bands(hashes: int, bands: int):
-    """array<long> of shingles -> one number a band of MinHash minima, over Arrow batches."""
-    seeds = np.random.default_rng(1).integers(1, 2**63, hashes, np.uint64) | np.uint64(1)
+def shingle_jaccard(docs: DataFrame, key: str = "doc_id", k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(key_a, key_b, jaccard): all pairs of different shingle sets at ``threshold`` or above, and each key whose set repeats with the least one.
 
-    @F.pandas_udf("array<long>")
-    def run(sets: pd.Series) -> pd.Series:
-        out = []
-        for s in sets:
-            x = np.asarray(s, np.int64).view(np.uint64)
-            minima = np.array([((x * m) ^ ((x * m) >> np.uint64(29))).min() for m in seeds]).reshape(bands, -1)
-            folded = np.zeros(bands, np.uint64)
-            for col in minima.T:
-                folded = (folded ^ col) * np.uint64(0x9E3779B97F4A7C15)
-                folded ^= folded >> np.uint64(31)
-            out.append((folded ^ np.arange(bands, dtype=np.uint64)).astype(np.int64))
-        return pd.Series(out)
-
-    return run
-
-
-def shingle_jaccard(docs: DataFrame, key: str = "doc_id", k: int = 5, hashes: int = 128, bands: int = 16, threshold: float = 0.8) -> DataFrame:
-    """(key_a, key_b, jaccard): pairs of near duplicates by MinHash bands and exact verification.
-
-    ``hashes`` minima over word shingles are cut into ``bands``; texts that share a band are compared with the least text
-    of the band, so a frequent band yields one pair a member and no square.
+    Sets are equal, or differ and are joined exactly, without MinHash: two sets of n and m shingles need
+    ``threshold`` (n + m) / (1 + ``threshold``) in common. With shingles in one order, rarest first, both sets have at
+    least as many left at their first common one, so only the first n - ceil(``threshold`` n) + 1 of a set are joined.
     """
     w = words(F.col("text"))
     prepared = docs.select(key, w.alias("w")).filter(F.size("w") > 0)
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
-    sets = prepared.select(key, F.array_distinct(shingles).alias("s"))
-    banded = _bands(hashes, bands)("s")
-    signed = sets.select(key, F.explode(banded).alias("band"))
-    least = signed.groupBy("band").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = signed.join(least, "band").filter(F.col(key) != F.col("least")).select(F.col("least").alias("key_a"), F.col(key).alias("key_b")).distinct()
-    a, b = sets.select(F.col(key).alias("key_a"), F.col("s").alias("sa")), sets.select(F.col(key).alias("key_b"), F.col("s").alias("sb"))
+    sets = prepared.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(shingles)).alias("s"))
+    distinct = sets.groupBy("s").agg(F.min("key").alias("key"))
+    equal = sets.join(distinct.withColumnRenamed("key", "least"), "s").filter(F.col("key") != F.col("least"))
+    equal = equal.select(F.col("least").alias("key_a"), F.col("key").alias("key_b"), F.lit(1.0).alias("jaccard"))
+
+    terms = distinct.select("key", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = terms.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    ranked = terms.join(often, "h").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("r"))
+    first = F.slice("r", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
+    posted = ranked.select("key", "n", F.posexplode(first).alias("at", "x")).filter("x.often > 1").select("key", "n", (F.col("n") - F.col("at")).alias("rest"), "x.h")
+    a, b = posted.alias("a"), posted.alias("b")
+    need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    met = (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.rest") >= need) & (F.col("b.rest") >= need)
+    pairs = a.join(b, met).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+    sa, sb = distinct.select(F.col("key").alias("key_a"), F.col("s").alias("sa")), distinct.select(F.col("key").alias("key_b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    out = pairs.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
-    return out.filter(F.col("jaccard") >= threshold)
+    near = pairs.join(sa, "key_a").join(sb, "key_b").select("key_a", "key_b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    return near.filter(F.col("jaccard") >= threshold).unionByName(equal.distinct())

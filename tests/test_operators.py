@@ -205,6 +205,21 @@ def test_near_duplicates_by_shingles(spark):
     assert math.isclose(got[1, 2], len(s(base) & s(near)) / len(s(base) | s(near)))
 
 
+def test_near_duplicates_of_families_and_a_passage(spark):
+    r = random.Random(6)
+    fresh = lambda n: [f"u{r.randint(0, 10**9)}" for _ in range(n)]
+    passage, texts = fresh(120), []
+    for _ in range(25):
+        tail = fresh(40)
+        texts += [passage + tail[:30] + fresh(10) for _ in range(3)]
+    texts = [passage + fresh(40), *texts]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {(i, i + 1) for i in range(1, 76, 3)} <= want
+    assert {(x["key_a"], x["key_b"]) for x in corpus_rules.shingle_jaccard(docs).collect()} == want
+
+
 def test_plans(spark):
     sf = "/root/testdata/sf0.001"
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
