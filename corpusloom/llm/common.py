@@ -5,18 +5,26 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_scratch: list[dict[str, DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster executors could not read each other's files
+    there, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="corpusloom-"))
     return _own_dir[0]
@@ -29,6 +37,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _scratch:
+        _scratch[-1][path] = out
     return out
 
 
@@ -36,14 +46,32 @@ def forget(*tables: DataFrame, collect: bool = True) -> None:
     """Delete tables of :func:`materialize` that nothing lazy reads any more, and let Spark drop their shuffle files."""
     for df in tables:
         spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for names in _scratch:
+            names.pop(df.written_at, None)
     if tables and collect:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects their owners
 
 
+@contextmanager
+def scratch():
+    """Forget all tables that are written inside, but those given to the function this yields."""
+    _scratch.append({})
+
+    def keep(*tables: DataFrame) -> None:
+        for df in tables:
+            _scratch[-1].pop(df.written_at, None)
+            if len(_scratch) > 1:
+                _scratch[-2][df.written_at] = df
+
+    try:
+        yield keep
+    finally:
+        forget(*_scratch.pop().values())
+
+
 def utf8_crc32(text):
     """Unsigned CRC-32 of a string column's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

@@ -1,46 +1,61 @@
 """Near duplicates by order MinHash.
 
-A text is the sequence of its five-word shingles, each labelled with how often it came before. A sketch takes the few
+A text is the sequence of its five-word shingles, each labelled with how often it came before. A sketch takes the two
 labelled shingles of least hash and keeps them in text order; several sketches are drawn. Two texts that agree in a
 sketch share shingles in the same order, so agreement follows edit similarity and not only the overlap of sets.
 
-Candidates are verified by banded alignment of the labelled shingle sequences: with M shingles aligned in order, texts of
-n and m shingles are near duplicates if M / (n + m - M) is at least 0.8. The band is as wide as that bound allows, so it
-cuts off no alignment that could reach it.
+Candidates are verified by banded alignment of their words: with an edit distance of E words (insertions, deletions and
+substitutions), texts of n and m words are near duplicates if 1 - E / max(n, m) is at least 0.8. The band is as wide as
+that bound allows, so it cuts off no alignment that could reach it. Groups are the connected components of these links.
 
-At scale: equal texts collapse first. Within a bucket of equal sketches every member is compared with the bucket's two
-pivots first, drawn anew for each sketch. A text's most frequent pivots are verified first, and pairs that end up in one
-group are not verified again. Texts of buckets that then still hold several groups are compared across groups by an exact
-join on their rarest shingles (``_across``): no pair that shares a bucket and reaches 0.8 stays apart, however frequent
-what the bucket shares is. Groups are the connected components, found by alternating large and small stars.
+Every pair of texts that agree in a sketch ends up compared or in one group, however many texts share the bucket:
 
-Edge cases: null counts as the empty text; empty texts (and other equal texts) form one class; a text of one to four
-words has one shingle, of all its words; a class without any id has a null class id; repeated rows share a class;
-an empty table gives an empty result.
+1. Equal texts collapse first; buckets of one text go.
+2. Each text is compared with one pivot, that of most of its buckets. ``ROUNDS`` more rounds contract groups to their
+   roots, look at buckets that still hold several, draw a pivot in each, and compare one pair of each two groups.
+3. In the buckets that still hold several groups, all pairs across groups are compared: pair by pair in buckets of at most
+   ``SMALL`` texts, and in larger ones by an exact join on rare words (``_across``), which skips only pairs whose words
+   cannot overlap enough. Rounds make step 3 cheap and decide nothing.
+
+At scale: the sketches are computed once, on arrays of many texts; only texts that share a bucket are loaded again; of
+each table only narrow columns are shuffled. Buckets are never gathered in one task. Components alternate large and small
+stars and stop when all are stars. Every step ends in a table in the shared folder, which goes when it has been used.
+
+Edge cases: null counts as the empty text; texts without words form one class each, by equality; white space does not
+count in comparisons; a text of one to four words has one shingle, of all its words; very long texts are sketched alone
+and aligned in a band that is widened only as far as needed; a class without any id has a null class id; repeated rows
+share a class; of texts that tie for a class's least id, the least content hash is kept; further columns are left alone,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import forget, materialize
+from .common import forget, materialize, scratch
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 12
+SKETCHES = 48
 TAKEN = 2  # shingles a sketch takes
-STAGES = ((0, 1), (1, 4), (4, 2 * SKETCHES))  # pivots of each text that are verified together, the most frequent first
-FREQUENT = 1 << 17  # shingles whose frequency is known when pairs across groups are sought; for speed only
+ROUNDS = 2
+SMALL = 16
+CHUNK = 1 << 15  # words that are sketched together
+FREQUENT = 1 << 16  # words whose frequency is known when pairs across groups are sought; for speed only
 BITMAP_LOG2 = 27  # 16 MB
+_MAX = np.uint64(2**64 - 1)
 _SEEDS = np.array([xxh64_intdigest(b"sketch %d" % i) for i in range(SKETCHES)], np.uint64)
+_FACTORS = np.array([xxh64_intdigest(b"factor %d" % i) | 1 for i in range(SKETCHES)], np.uint64)
+
+
+# --- sketches --------------------------------------------------------------------------------------------------------
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,113 +64,166 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles in text order, plain and labelled by occurrence."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    k = min(WORDS, len(w))
-    plain = np.zeros(len(w) - k + 1, np.uint64)
-    for i in range(k):
-        plain = _mix(plain ^ w[i : len(w) - k + 1 + i])
-    order = np.argsort(plain, kind="stable")
-    ranked = plain[order]
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def _labels(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes told apart by how often each came before in its text."""
+    own = hashes ^ _mix(owner.astype(np.uint64))
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    if len(first) == len(plain):
-        return plain, _mix(plain)
-    nth = np.empty(len(plain), np.uint64)
-    nth[order] = np.arange(len(plain)) - np.repeat(first, np.diff(np.r_[first, len(plain)]))
-    return plain, _mix(plain + nth * np.uint64(0x9E3779B97F4A7C15))
-
-
-def sketch(text: str | None) -> list[int]:
-    """One signed 64-bit number a sketch; none for a text without words."""
-    plain, labelled = shingles(text or "")
-    if not len(plain):
-        return []
-    take, out = min(TAKEN, len(plain)), []
-    for seed in _SEEDS:
-        least = np.argpartition(_mix(labelled ^ seed), take - 1)[:take]
-        got = seed
-        for at in np.sort(least):
-            got = int(_mix(np.array([got ^ plain[at]], np.uint64))[0])
-            got = np.uint64(got)
-        out.append(int(got.astype(np.int64)))
+    nth = np.empty(len(own), np.uint64)
+    nth[order] = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+    return _mix(hashes + nth * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _sketch(texts: list[list[bytes]]) -> np.ndarray:
+    """A row of sketches for each text; all have words."""
+    padded = [w + [b""] * (WORDS - len(w)) for w in texts]
+    sizes = np.array([len(w) for w in padded])
+    h = np.fromiter((xxh64_intdigest(x) for w in padded for x in w), np.uint64, sizes.sum())
+    plain = np.zeros(len(h) - WORDS + 1, np.uint64)
+    for i in range(WORDS):
+        plain = _mix(plain ^ h[i : len(h) - WORDS + 1 + i])
+    inside = np.ones(len(plain), bool)  # shingles that do not run into the next text
+    for i in range(1, WORDS):
+        inside[np.cumsum(sizes)[:-1] - i] = False
+    plain, counts = plain[inside], sizes - WORDS + 1
+    starts, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(texts)), counts)
+    labelled = _labels(plain, owner)
+    out = np.empty((len(texts), SKETCHES), np.uint64)
+    for s, (seed, factor) in enumerate(zip(_SEEDS, _FACTORS, strict=True)):
+        rank, taken = (labelled ^ seed) * factor, []
+        for _ in range(TAKEN):  # a text of fewer shingles takes its last one again
+            at = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, starts), counts))
+            if len(at) > len(texts):
+                at = at[np.unique(owner[at], return_index=True)[1]]
+            taken.append(at)
+            rank[at] = _MAX
+        value = np.full(len(texts), seed)
+        for at in np.sort(taken, axis=0):  # in text order
+            value = _mix(value ^ plain[at])
+        out[:, s] = value
     return out
 
 
 def sketches(texts) -> pd.DataFrame:
-    """Number of shingles and sketches of each text."""
-    out = [sketch(t) for t in texts]
-    return pd.DataFrame({"n": [max(0, len((t or "").encode("utf-8", "surrogatepass").split()) - WORDS + 1) or int(bool(s)) for t, s in zip(texts, out, strict=True)], "sketch": out})
+    """Number of words and sketches (signed 64-bit numbers; none without words) of each text."""
+    split = [words_of(t) for t in texts]
+    n = np.array([len(w) for w in split], np.int64)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(split)
+    some = np.flatnonzero(n)
+    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(n[some]) // CHUNK)) + 1):
+        if len(part):
+            for i, row in zip(part, _sketch([split[i] for i in part]).view(np.int64), strict=True):
+                out[i] = row
+    return pd.DataFrame({"n": n, "sketch": out})
 
 
-def aligned(a: np.ndarray, b: np.ndarray, bound: float = SIMILARITY) -> float:
-    """In-order similarity of two labelled shingle sequences; exact where it is at least ``bound``, else 0."""
-    n, m = len(a), len(b)
-    if not n or not m or min(n, m) < bound * max(n, m):
-        return 0.0
-    need = int(np.ceil(bound * (n + m) / (1 + bound) - 1e-9))
-    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(at_a) < need:
+# --- alignment -------------------------------------------------------------------------------------------------------
+
+
+def banded_distance(a: list, b: list, most: int) -> int | None:
+    """Edit distance of two sequences if it is at most ``most``, else None.
+
+    Bit-parallel: the band is one integer, whose bit k stands for the cell of b's row j and a's column j - below + k and
+    says whether a cell is one more or one less than its neighbour. The distance is read along the diagonal that ends
+    in the last cell.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    distance = len(a) - len(b)
+    if distance > most:
+        return None
+    below = (most - distance) // 2
+    diagonal = below + distance
+    band = (1 << (diagonal + below + 1)) - 1
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    more, less = band & ~((1 << below) - 1), 0  # cells of row 0 are one more than the cell before
+    for j, x in enumerate(b):
+        at = places.get(x, 0)
+        same = (at >> (j - below) if j >= below else at << (below - j)) & band
+        kept = ((((same & more) + more) ^ more) | same | less) & band  # as cheap as the cell before on the diagonal
+        across_more = (less | ~(kept | more)) & band
+        across_less = kept & more
+        if not kept >> diagonal & 1:
+            distance += 1
+            if distance > most:
+                return None
+        kept >>= 1
+        more = (across_less | ~(kept | across_more)) & band
+        less = across_more & kept
+    return distance
+
+
+def similarity(a: list, b: list, bound: float = SIMILARITY) -> float:
+    """1 - (edit distance) / (longer length) of two word sequences; exact where it is at least ``bound``, else 0."""
+    longer = max(len(a), len(b))
+    most = int((1 - bound) * longer + 1e-9)
+    if not a or not b or abs(len(a) - len(b)) > most:
         return 0.0
-    inside = np.abs(at_a - at_b) <= n + m - 2 * need
-    at_a, at_b = at_a[inside], at_b[inside]
-    path = at_b[np.argsort(at_a)]
-    if len(path) < need:
+    if (Counter(a) & Counter(b)).total() < longer - most:
         return 0.0
-    if (np.diff(path) > 0).all():
-        common = len(path)
-    else:
-        tails: list[int] = []
-        for x in path.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        common = len(tails)
-    return common / (n + m - common) if common >= need else 0.0
+    band = max(64, most // 64)
+    while True:
+        distance = banded_distance(a, b, min(band, most))
+        if distance is not None:
+            return 1 - distance / longer
+        if band >= most:
+            return 0.0
+        band *= 4
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, labelled = None, None
+    key, words = None, []
     for batch in batches:
         keep = []
         for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
             if b != key:
-                key, labelled = b, shingles(text_b)[1]
-            keep.append(aligned(shingles(text_a)[1], labelled) >= SIMILARITY)
+                key, words = b, words_of(text_b)
+            keep.append(similarity(words_of(text_a), words) >= SIMILARITY)
         yield batch.loc[keep, ["a", "b"]]
 
 
+# --- components ------------------------------------------------------------------------------------------------------
+
+
 def content_key(text):
     """128 bits that name a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """Each link once, from its greater end u to its lesser end v."""
+    a, b = F.col("a"), F.col("b")
+    return links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; root is the least node of its component. ``links`` has a and b."""
-    state, edges = None, materialize(_stars(links.select("a", "b")), "links")
+    u, v = F.col("u"), F.col("v")
+    edges = materialize(_stars(links.select("a", "b")), "edges")
     while True:
-        u, v = F.col("u"), F.col("v")
+        ends = edges.select(u.alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(v.alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty():  # all are stars
+            return edges.select(u.alias("node"), v.alias("root")).unionByName(edges.select(v.alias("node"), v.alias("root")).distinct())
         both = edges.select("u", "v").unionByName(edges.select(v.alias("u"), u.alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter(v > u).join(least, "u").filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")).distinct()
-        large, old = materialize(large, "large-star"), [edges, least]
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
-        small = small.filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(_stars(small.select(u.alias("a"), v.alias("b"))), "small-star")
-        forget(*old, large, least, collect=False)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(u.alias("node"), v.alias("root")).unionByName(edges.select(v.alias("node"), v.alias("root")).distinct())
-        state = now
+        large = materialize(large, "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter(v != F.col("m")).select(v.alias("a"), F.col("m").alias("b"))
+        small = materialize(_stars(small.unionByName(least.select(u.alias("a"), F.col("m").alias("b")))), "small-star")
+        forget(edges, large, collect=False)
+        edges = small
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """Each link once, from its greater to its lesser end."""
-    a, b = F.col("a"), F.col("b")
-    return links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+# --- candidates ------------------------------------------------------------------------------------------------------
 
 
 def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
@@ -172,116 +240,131 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return found.filter(F.col("mask_").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit_") % 64).cast("int"))) != 0).select(*df.columns)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that pass the alignment."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_verify, "a binary, b binary")
+def _near_in_size(n, m):
+    return F.least(n, m) >= F.greatest(n, m) * SIMILARITY - 1e-9
 
 
-def _met(postings: DataFrame) -> DataFrame:
-    """(key, pivot, times): members of a bucket and its two pivots, where their sizes allow a link.
+def _shared(texts: DataFrame) -> DataFrame:
+    """(value, key, n): the sketches of the texts that other texts have too."""
+    posted = texts.select(F.explode("sketch").alias("value"), "key", "n")
+    shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("value")
+    shared = materialize(shared, "shared")
+    out = materialize(maybe_in(posted, "value", shared).join(shared, "value"), "postings")
+    forget(shared, collect=False)
+    return out
 
-    Pivots are the members whose hash is least and greatest; it differs by band, so a family of copies has many pivots.
-    """
-    end = F.struct(F.xxhash64("key", "band").alias("luck"), "key", "n")
-    pivots = postings.groupBy("band", "value").agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
-    pivots = materialize(pivots.filter(F.col("lo.key") != F.col("hi.key")), "pivots")
-    met = postings.join(pivots, ["band", "value"]).withColumn("p", F.explode(F.array("lo", "hi")))
-    met = met.filter((F.col("key") != F.col("p.key")) & (F.least("n", "p.n") >= SIMILARITY * F.greatest("n", "p.n")))  # else they cannot pass
-    return met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, text) of the needed (key, first_id), once each."""
+    needed = materialize(needed, "needed")
+    texts = docs.select(content_key(F.col("text")).alias("key"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = needed.withColumnRenamed("key", "needed_key")
+    texts = maybe_in(texts, "key", needed)
+    texts = texts.join(n, (texts["key"] == n["needed_key"]) & texts["id"].eqNullSafe(n["first_id"]))
+    out = materialize(texts.dropDuplicates(["needed_key", "first_id"]).select("key", "text"), "candidate-texts")
+    forget(needed, collect=False)
+    return out
+
+
+def _first_pairs(postings: DataFrame) -> DataFrame:
+    """(a, b): each text and the pivot, the least text of a bucket, of most of its buckets."""
+    pivots = postings.groupBy("value").agg(F.min(F.struct("key", "n")).alias("p"))
+    met = postings.join(pivots, "value").filter((F.col("key") != F.col("p.key")) & _near_in_size(F.col("n"), F.col("p.n")))
+    met = met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("key").agg(F.min(F.struct((-F.col("times")).alias("rank"), "pivot")).alias("best"))
+    return best.select(F.greatest("key", "best.pivot").alias("a"), F.least("key", "best.pivot").alias("b")).distinct()
 
 
-def _unsettled(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, root): members of buckets that still hold several groups; with up to three members all pairs have been compared."""
-    grouped = _in_groups(postings, groups)
-    open_ = grouped.groupBy("band", "value").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("members"))
-    open_ = open_.filter((F.col("first") != F.col("last")) & (F.col("members") > 3)).select("band", "value")
-    return grouped.join(open_, ["band", "value"]).select("key", "root").distinct()
+def _open(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """(value, key, n, root, texts) of the buckets that hold several groups; a text without links is its own group."""
+    rooted = postings.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = rooted.groupBy("value").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("texts"))
+    return rooted.join(several.filter(F.col("first") != F.col("last")).select("value", "texts"), "value")
 
 
-def _across(unsettled: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, pivot): every pair of unsettled texts of different groups that can be similar enough; exact, nothing is drawn.
+def _round_pairs(opened: DataFrame, nth: int) -> DataFrame:
+    """(a, b): of each two groups that a bucket's pivot brings together, the pair that meets most often."""
+    pivots = opened.groupBy("value").agg(F.min(F.struct(F.xxhash64("key", "value", F.lit(nth)).alias("luck"), "key", "n", "root")).alias("p"))
+    met = opened.join(pivots, "value").filter((F.col("root") != F.col("p.root")) & _near_in_size(F.col("n"), F.col("p.n")))
+    met = met.groupBy("key", "root", F.col("p.key").alias("pivot"), F.col("p.root").alias("other")).agg(F.count(F.lit(1)).alias("times"))
+    best = F.min(F.struct((-F.col("times")).alias("rank"), F.least("key", "pivot").alias("b"), F.greatest("key", "pivot").alias("a")))
+    return met.groupBy(F.least("root", "other").alias("r"), F.greatest("root", "other").alias("s")).agg(best.alias("best")).select("best.a", "best.b")
 
-    A link of n and m shingles has need = SIMILARITY (n + m) / (1 + SIMILARITY) in common. Sort the shingles of all texts
-    by one order: at the first common one, both texts have at least ``need`` left, itself included. So only each text's
-    first fifth is posted, and pairs meet where both have enough left. The order is by frequency, rarest first; a table
-    of the ``FREQUENT`` most frequent ones serves for that, and any order gives the same links.
+
+def _last_pairs(opened: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): all pairs across groups in a bucket that can be similar enough; and the tables behind them."""
+    a, b = (opened.filter(F.col("texts") <= SMALL).alias(x) for x in "ab")
+    met = (F.col("a.value") == F.col("b.value")) & (F.col("a.key") > F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _near_in_size(F.col("a.n"), F.col("b.n"))
+    small = a.join(b, met).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    large = opened.filter(F.col("texts") > SMALL)
+    if large.isEmpty():
+        return small.distinct(), []
+    pairs, tables = _across(large, texts)
+    return small.unionByName(pairs).distinct(), tables
+
+
+def _across(opened: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): every pair of texts of different groups in a bucket whose words can overlap enough; exact, nothing is drawn.
+
+    Words are labelled by occurrence. Texts of n and m words with an edit distance of at most E = (1 - ``SIMILARITY``)
+    max(n, m) have max(n, m) - E labelled words in common. Sort these by one order: at the first common one, both texts
+    have at least as many left, itself included. So only each text's first fifth is posted, in each of its buckets, and
+    pairs meet where both have enough left. The order is by frequency, rarest first, so what a bucket shares comes last;
+    a table of the ``FREQUENT`` most frequent words serves for that, and any order gives the same links.
     """
 
+    def labelled(text: str) -> np.ndarray:
+        w = words_of(text)
+        return _labels(np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w)), np.zeros(len(w), np.int64)).view(np.int64)
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingles(t)[1] for t in batch["text"])]), return_counts=True)
-            yield pd.DataFrame({"h": h.view(np.int64), "c": c})
+            h, c = np.unique(np.concatenate([np.zeros(0, np.int64), *map(labelled, batch["text"])]), return_counts=True)
+            yield pd.DataFrame({"h": h, "c": c})
 
-    texts = materialize(texts.join(unsettled, "key").select("key", "root", "text"), "unsettled")
-    counts = texts.select("text").mapInPandas(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
+    per_text = opened.groupBy("key", "n", "root").agg(F.collect_list("value").alias("values"))  # at most ``SKETCHES``
+    held = materialize(texts.join(per_text, "key"), "held")
+    counts = held.select("text").mapInPandas(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
     known, often = np.r_[top["h"].to_numpy(np.int64), np.iinfo(np.int64).max], np.r_[top["c"].to_numpy(np.int64), 0]
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, root, text in zip(batch["key"], batch["root"], batch["text"], strict=True):
-                h = shingles(text)[1].view(np.int64)
+            for key, root, n, values, text in zip(batch["key"], batch["root"], batch["n"], batch["values"], batch["text"], strict=True):
+                h = labelled(text)
                 at = np.searchsorted(known, h)
-                h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
-                n = len(h)
-                first = h[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
-                out.append(pd.DataFrame({"h": first, "key": key, "root": root, "n": n, "rest": n - np.arange(len(first))}))
-            yield pd.concat(out) if out else pd.DataFrame({"h": [], "key": [], "root": [], "n": [], "rest": []})
-
-    posts = materialize(texts.mapInPandas(posted, "h long, key binary, root binary, n long, rest long"), "posts")
-    # Of two groups at a shingle one is not its largest: pairs start there, so a large family never meets itself.
-    sizes = posts.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("h").agg(F.max_by("root", "size").alias("largest"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several")
-    lesser = materialize(posts.join(largest, "h").filter(F.col("root") != F.col("largest")).drop("largest"), "lesser-posts")
-    a, b = lesser.alias("a"), posts.alias("b")
-    need = SIMILARITY / (1 + SIMILARITY) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    enough = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rest") >= need) & (F.col("b.rest") >= need)
-    pairs = materialize(a.join(b, enough).select(F.col("a.key").alias("key"), F.col("b.key").alias("pivot")).distinct(), "across")
-    forget(texts, posts, lesser)
-    return pairs
-
+                first = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+                for value in values:
+                    place = _mix(first.view(np.uint64) ^ _mix(np.array([value], np.int64).view(np.uint64))).view(np.int64)
+                    yield pd.DataFrame({"place": place, "key": key, "root": root, "n": n, "rest": n - np.arange(len(first))})
+
+    schema = "place long, key binary, root binary, n long, rest long"
+    posts = materialize(held.mapInPandas(posted, schema), "posts")
+    # Of two groups at a place one is not its largest: pairs start there, so a large family never meets itself.
+    sizes = posts.groupBy("place", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("place").agg(F.max_by("root", "size").alias("largest"), F.count(F.lit(1)).alias("several"))
+    largest = materialize(largest.filter("several > 1").drop("several"), "places")
+    met = materialize(maybe_in(posts, "place", largest.select("place")).join(largest, "place"), "met")
+    a, b = met.filter(F.col("root") != F.col("largest")).alias("a"), met.alias("b")
+    need = SIMILARITY * F.greatest("a.n", "b.n") - 1e-9
+    enough = (F.col("a.place") == F.col("b.place")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rest") >= need) & (F.col("b.rest") >= need)
+    pairs = a.join(b, enough).select(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b"))
+    return pairs, [held, posts, largest, met]
 
-def _accompanied(postings: DataFrame) -> DataFrame:
-    """(key): every member of a bucket that has more than one, whatever its size; later comparisons may need any of them."""
-    shared = postings.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    return postings.join(shared, ["band", "value"]).select("key").distinct()
 
-
-def _in_groups(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """``postings`` with the root of each text's group; a text without links is its own."""
-    out = postings.join(groups.withColumnRenamed("node", "key"), "key", "left")
-    return out.withColumn("root", F.coalesce("root", "key"))
-
-
-def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(key, text) of the needed (key, first_id), once each."""
-    needed = materialize(needed, "needed")
-    texts = docs.select(content_key(F.col("text")).alias("key"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = needed.withColumnRenamed("key", "needed_key")
-    texts = maybe_in(texts, "key", needed)
-    texts = texts.join(n, (texts["key"] == n["needed_key"]) & texts["id"].eqNullSafe(n["first_id"]))
-    return materialize(texts.dropDuplicates(["needed_key", "first_id"]).select("key", "text"), "candidate-texts")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose alignment passes; only the texts that they name are sent."""
+    ends = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "ends")
+    named = maybe_in(texts, "key", ends)
+    left = named.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    right = named.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    links = pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_verify, "a binary, b binary")
+    links = materialize(links, "links")
+    forget(ends, collect=False)
+    return links
 
 
-def _link(met: DataFrame, texts: DataFrame, links: DataFrame | None, groups: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
-    """Verify the pairs that are not in one group yet; all links, the groups they form, and the number of new links."""
-    pairs = _stars(met.select(F.col("key").alias("a"), F.col("pivot").alias("b"))).toDF("a", "b")
-    if groups is not None:
-        root = lambda end: groups.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        pairs = pairs.filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
-    pairs = materialize(pairs, "pairs")
-    ends = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "ends")
-    new = materialize(_verified(pairs, maybe_in(texts, "key", ends)), "links")
-    forget(pairs, ends)
-    n = new.count()
-    if groups is not None and not n:
-        return links, groups, 0
-    links = new if links is None else materialize(links.unionByName(new), "links")
-    return links, materialize(components(links), "groups"), n
+# --- classes ---------------------------------------------------------------------------------------------------------
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -291,28 +374,38 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def sketched(text: pd.Series) -> pd.DataFrame:
         return sketches(text)
 
-    rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), sketched("text").alias("s")).select("doc_id", "key", "s.n", "s.sketch")
-    rows = materialize(rows, "sketches")
-    reps = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    reps = materialize(reps, "texts")
-    postings = reps.select("key", "n", F.posexplode("sketch").alias("band", "value"))
-    met = materialize(_met(postings), "candidates")
-    texts = _texts(docs, _accompanied(postings).join(reps.select("key", "first_id"), "key"))
-
-    links = groups = None
-    order = W.partitionBy("key").orderBy(F.desc("times"), "pivot")  # at most two pivots a sketch
-    ranked = materialize(met.withColumn("nth", F.row_number().over(order)), "ranked")
-    for lo, hi in STAGES:
-        links, groups, _ = _link(ranked.filter((F.col("nth") > lo) & (F.col("nth") <= hi)), texts, links, groups)
-    unsettled = materialize(_unsettled(postings, groups), "unsettled-keys")
-    across = _across(unsettled, texts)
-    links, groups, _ = _link(across, texts, links, groups)
-
-    forget(texts, ranked, met, unsettled, across)
-    named = reps.select("key", "first_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
-    named = materialize(named.select("key", "first_id", F.coalesce("root", "key").alias("class_key")), "named")
-    ids = materialize(named.groupBy("class_key").agg(F.min("first_id").alias("class_id")), "class-ids")
-    return rows.select("doc_id", "key"), materialize(named.join(ids, "class_key"), "classes")
+    with scratch() as keep:
+        rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), sketched("text").alias("s")).select("doc_id", "key", "s.n", "s.sketch")
+        rows = materialize(rows, "sketches")
+        reps = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+        reps = materialize(reps, "texts")
+        groups = _groups(docs, reps)
+        named = reps.select("key", "first_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
+        named = materialize(named.select("key", "first_id", F.coalesce("root", "key").alias("class_key")), "named")
+        ids = named.groupBy("class_key").agg(F.min("first_id").alias("class_id"))
+        classes = materialize(named.join(ids, "class_key"), "classes")
+        keep(rows, classes)
+    return rows.select("doc_id", "key"), classes
+
+
+def _groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, root) of every distinct text that has a link."""
+    postings = _shared(reps)
+    texts = _texts(docs, postings.select("key").distinct().join(reps.select("key", "first_id"), "key"))
+    tried = materialize(_first_pairs(postings), "pairs")
+    links = _verified(tried, texts)
+    groups = components(links)
+    for nth in range(ROUNDS):
+        opened = materialize(_open(postings, groups), "open")
+        pairs = materialize(_round_pairs(opened, nth).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried, links = tried.unionByName(pairs), links.unionByName(_verified(pairs, texts))
+        groups = components(links)
+        forget(opened)
+    opened = materialize(_open(postings, groups), "open")
+    pairs, behind = _last_pairs(opened, texts)
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    forget(opened, postings, *behind)
+    return components(links.unionByName(_verified(pairs, texts)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -323,15 +416,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of least id, and of its repetitions any one."""
-    rows, classes = near_classes(docs)
-    chosen = rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows_"))
-    # Of the texts that share the class's least id, the least key.
-    first = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("key").alias("key"))
-    first = materialize(first.join(classes.select("key", "class_id"), "key").select("key", "class_id"), "kept")
-    c, f = chosen.withColumnRenamed("key", "k"), first
-    chosen = f.join(c, (c["k"] == f["key"]) & c["doc_id"].eqNullSafe(f["class_id"]))
-    chosen = chosen.select(F.col("key").alias("_omh_key"), F.col("doc_id").alias("_omh_id"), F.col("rows_").alias("_omh_rows"))
-    chosen = materialize(chosen, "chosen")
+    with scratch() as keep:
+        rows, classes = near_classes(docs)
+        # Of the texts that share the class's least id, the least key.
+        first = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("key").alias("key"))
+        first = first.join(classes.select("key", "class_id"), "key").select("key", "class_id")
+        c = rows.groupBy(F.col("key").alias("k"), "doc_id").agg(F.count(F.lit(1)).alias("rows_"))
+        chosen = first.join(c, (c["k"] == first["key"]) & c["doc_id"].eqNullSafe(first["class_id"]))
+        chosen = chosen.select(F.col("key").alias("_omh_key"), F.col("doc_id").alias("_omh_id"), F.col("rows_").alias("_omh_rows"))
+        chosen = materialize(chosen, "chosen")
+        keep(chosen)
     keyed = docs.withColumn("_omh_text", content_key(F.col("text")))
     kept = keyed.join(chosen, (keyed["_omh_text"] == chosen["_omh_key"]) & keyed["doc_id"].eqNullSafe(chosen["_omh_id"]))
     if chosen.filter("_omh_rows > 1").isEmpty():
