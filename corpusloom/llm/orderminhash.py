@@ -11,11 +11,12 @@ that bound allows, so it cuts off no alignment that could reach it. Groups are t
 Every pair of texts that agree in a sketch ends up compared or in one group, however many texts share the bucket:
 
 1. Equal texts collapse first; buckets of one text go.
-2. Each text is compared with one pivot, that of most of its buckets. ``ROUNDS`` more rounds contract groups to their
-   roots, look at buckets that still hold several, draw a pivot in each, and compare one pair of each two groups.
+2. Each text is compared with one pivot, that of most of its buckets; a bucket's pivot is its text with the most company.
+   ``ROUNDS`` more rounds contract groups to their roots, look at buckets that still hold several, draw a pivot in each,
+   and compare one pair of each two groups.
 3. In the buckets that still hold several groups, all pairs across groups are compared: pair by pair in buckets of at most
-   ``SMALL`` texts, and in larger ones by an exact join on rare words (``_across``), which skips only pairs whose words
-   cannot overlap enough. Rounds make step 3 cheap and decide nothing.
+   ``SMALL`` texts, and in larger ones by an exact join on rare words (``_posts``, ``_meetings``), which skips only pairs
+   whose words cannot overlap enough. Rounds and probes make this cheap and decide nothing.
 
 At scale: the sketches are computed once, on arrays of many texts; only texts that share a bucket are loaded again; of
 each table only narrow columns are shuffled. Buckets are never gathered in one task. Components alternate large and small
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -45,10 +47,12 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 48
 TAKEN = 2  # shingles a sketch takes
-ROUNDS = 2
+ROUNDS = 1
 SMALL = 16
+PART, PROBES = 4, 3  # of the places one in ``PART`` is probed, and as many texts of each group there
 CHUNK = 1 << 15  # words that are sketched together
 FREQUENT = 1 << 16  # words whose frequency is known when pairs across groups are sought; for speed only
+COMMON = 1 << 12  # words of a cluster's chosen text that come last then; for speed only
 BITMAP_LOG2 = 27  # 16 MB
 _MAX = np.uint64(2**64 - 1)
 _SEEDS = np.array([xxh64_intdigest(b"sketch %d" % i) for i in range(SKETCHES)], np.uint64)
@@ -245,12 +249,14 @@ def _near_in_size(n, m):
 
 
 def _shared(texts: DataFrame) -> DataFrame:
-    """(value, key, n): the sketches of the texts that other texts have too."""
+    """(value, key, n, degree): the sketches of the texts that other texts have too; ``degree`` sums a text's bucket sizes."""
     posted = texts.select(F.explode("sketch").alias("value"), "key", "n")
-    shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("value")
+    shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     shared = materialize(shared, "shared")
-    out = materialize(maybe_in(posted, "value", shared).join(shared, "value"), "postings")
-    forget(shared, collect=False)
+    found = materialize(maybe_in(posted, "value", shared.select("value")).join(shared, "value"), "found")
+    out = found.select("value", "key", "n").join(found.groupBy("key").agg(F.sum("texts").alias("degree")), "key")
+    out = materialize(out, "postings")
+    forget(shared, found, collect=False)
     return out
 
 
@@ -267,17 +273,25 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _first_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): each text and the pivot, the least text of a bucket, of most of its buckets."""
-    pivots = postings.groupBy("value").agg(F.min(F.struct("key", "n")).alias("p"))
+    """(a, b): each text and the pivot of most of its buckets.
+
+    A bucket's pivot is its text of greatest degree: of a family of copies that are edited apart, the one nearest to all.
+    """
+    pivots = postings.groupBy("value").agg(F.max(F.struct("degree", "key", "n")).alias("p"))
     met = postings.join(pivots, "value").filter((F.col("key") != F.col("p.key")) & _near_in_size(F.col("n"), F.col("p.n")))
-    met = met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("key").agg(F.min(F.struct((-F.col("times")).alias("rank"), "pivot")).alias("best"))
+    met = met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("times"), F.max("p.degree").alias("degree"))
+    best = met.groupBy("key").agg(F.max(F.struct("times", "degree", "pivot")).alias("best"))
     return best.select(F.greatest("key", "best.pivot").alias("a"), F.least("key", "best.pivot").alias("b")).distinct()
 
 
+def _rooted(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` with the root of each key's group; a text without links is its own group."""
+    return df.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def _open(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """(value, key, n, root, texts) of the buckets that hold several groups; a text without links is its own group."""
-    rooted = postings.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    """(value, key, n, degree, root, texts) of the buckets that hold several groups."""
+    rooted = _rooted(postings, groups)
     several = rooted.groupBy("value").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("texts"))
     return rooted.join(several.filter(F.col("first") != F.col("last")).select("value", "texts"), "value")
 
@@ -291,38 +305,47 @@ def _round_pairs(opened: DataFrame, nth: int) -> DataFrame:
     return met.groupBy(F.least("root", "other").alias("r"), F.greatest("root", "other").alias("s")).agg(best.alias("best")).select("best.a", "best.b")
 
 
-def _last_pairs(opened: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): all pairs across groups in a bucket that can be similar enough; and the tables behind them."""
+def _small_pairs(opened: DataFrame) -> DataFrame:
+    """(a, b): all pairs across groups in buckets of at most ``SMALL`` texts, where their sizes allow a link."""
     a, b = (opened.filter(F.col("texts") <= SMALL).alias(x) for x in "ab")
     met = (F.col("a.value") == F.col("b.value")) & (F.col("a.key") > F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _near_in_size(F.col("a.n"), F.col("b.n"))
-    small = a.join(b, met).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-    large = opened.filter(F.col("texts") > SMALL)
-    if large.isEmpty():
-        return small.distinct(), []
-    pairs, tables = _across(large, texts)
-    return small.unionByName(pairs).distinct(), tables
+    return a.join(b, met).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
 
+def _posts(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """(place, key, n, rest): where texts of a bucket whose words can overlap enough meet; exact, nothing is drawn.
 
-def _across(opened: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): every pair of texts of different groups in a bucket whose words can overlap enough; exact, nothing is drawn.
+    Buckets of one passage hold much the same texts: those with the same text of greatest degree are one cluster, and a
+    text is posted once a cluster.
 
     Words are labelled by occurrence. Texts of n and m words with an edit distance of at most E = (1 - ``SIMILARITY``)
-    max(n, m) have max(n, m) - E labelled words in common. Sort these by one order: at the first common one, both texts
-    have at least as many left, itself included. So only each text's first fifth is posted, in each of its buckets, and
-    pairs meet where both have enough left. The order is by frequency, rarest first, so what a bucket shares comes last;
-    a table of the ``FREQUENT`` most frequent words serves for that, and any order gives the same links.
+    max(n, m) have max(n, m) - E labelled words in common. Sort these by one order a cluster: at the first common one,
+    both texts have at least as many left, itself included. So only each text's first fifth is posted, and pairs meet
+    where both have enough left. Any order gives the same links; this one makes few meet: words of the cluster's chosen
+    text, and so what a cluster shares, come last, and before that the rarest come first.
     """
 
     def labelled(text: str) -> np.ndarray:
         w = words_of(text)
         return _labels(np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w)), np.zeros(len(w), np.int64)).view(np.int64)
 
+    def short(h: np.ndarray) -> np.ndarray:
+        return (h >> 32).astype(np.int32)
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"top": batch["key"], "common": [np.unique(short(labelled(t)))[:COMMON] for t in batch["text"]]})
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h, c = np.unique(np.concatenate([np.zeros(0, np.int64), *map(labelled, batch["text"])]), return_counts=True)
             yield pd.DataFrame({"h": h, "c": c})
 
-    per_text = opened.groupBy("key", "n", "root").agg(F.collect_list("value").alias("values"))  # at most ``SKETCHES``
+    tops = opened.groupBy("value").agg(F.max(F.struct("degree", "key")).alias("t")).select("value", F.col("t.key").alias("top"))
+    member = materialize(opened.join(tops, "value").select("key", "n", "top").distinct(), "members")
+    common = texts.join(member.select(F.col("top").alias("key")).distinct(), "key").mapInPandas(shared, "top binary, common array<int>")
+    per_text = member.join(common, "top").groupBy("key", "n")  # at most ``SKETCHES`` clusters
+    per_text = per_text.agg(F.collect_list(F.struct(F.xxhash64("top").alias("cluster"), "common")).alias("clusters"))
     held = materialize(texts.join(per_text, "key"), "held")
     counts = held.select("text").mapInPandas(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
@@ -330,26 +353,50 @@ def _across(opened: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFr
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, root, n, values, text in zip(batch["key"], batch["root"], batch["n"], batch["values"], batch["text"], strict=True):
+            for key, n, clusters, text in zip(batch["key"], batch["n"], batch["clusters"], batch["text"], strict=True):
                 h = labelled(text)
                 at = np.searchsorted(known, h)
-                first = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
-                for value in values:
-                    place = _mix(first.view(np.uint64) ^ _mix(np.array([value], np.int64).view(np.uint64))).view(np.int64)
-                    yield pd.DataFrame({"place": place, "key": key, "root": root, "n": n, "rest": n - np.arange(len(first))})
-
-    schema = "place long, key binary, root binary, n long, rest long"
-    posts = materialize(held.mapInPandas(posted, schema), "posts")
-    # Of two groups at a place one is not its largest: pairs start there, so a large family never meets itself.
-    sizes = posts.groupBy("place", "root").agg(F.count(F.lit(1)).alias("size"))
+                freq = np.where(known[at] == h, often[at], 0)
+                for c in clusters:
+                    order = np.lexsort((h, freq, np.isin(short(h), c["common"])))
+                    first = h[order[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]]
+                    place = _mix(first.view(np.uint64) ^ _mix(np.array([c["cluster"]], np.int64).view(np.uint64))).view(np.int64)
+                    yield pd.DataFrame({"place": place, "key": key, "n": n, "rest": n - np.arange(len(first))})
+
+    posts = materialize(held.mapInPandas(posted, "place long, key binary, n long, rest long"), "posts")
+    places = materialize(posts.groupBy("place").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("place"), "places")
+    met = materialize(maybe_in(posts, "place", places).join(places, "place"), "met")
+    forget(member, held, posts, places)
+    return met
+
+
+def _meetings(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b, other): the texts of different groups that meet at a place, once a place; ``other`` is the group of b.
+
+    Of two groups at a place one is not its largest: a is of such a group, so a large family never meets itself.
+    """
+    rooted = materialize(_rooted(posts, groups), "rooted")
+    sizes = rooted.groupBy("place", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("place").agg(F.max_by("root", "size").alias("largest"), F.count(F.lit(1)).alias("several"))
-    largest = materialize(largest.filter("several > 1").drop("several"), "places")
-    met = materialize(maybe_in(posts, "place", largest.select("place")).join(largest, "place"), "met")
+    met = rooted.join(largest.filter("several > 1").drop("several"), "place")
     a, b = met.filter(F.col("root") != F.col("largest")).alias("a"), met.alias("b")
     need = SIMILARITY * F.greatest("a.n", "b.n") - 1e-9
-    enough = (F.col("a.place") == F.col("b.place")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rest") >= need) & (F.col("b.rest") >= need)
-    pairs = a.join(b, enough).select(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b"))
-    return pairs, [held, posts, largest, met]
+    once = (F.col("b.root") == F.col("b.largest")) | (F.col("a.key") > F.col("b.key"))
+    enough = (F.col("a.place") == F.col("b.place")) & (F.col("a.root") != F.col("b.root")) & once & (F.col("a.rest") >= need) & (F.col("b.rest") >= need)
+    return a.join(b, enough).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("b.root").alias("other"))
+
+
+def _probes(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): of a part of the places, for each text and each group that it meets the texts that it meets most often.
+
+    A family of copies that have been edited apart meets itself in full, but one link joins a text to it: these pairs
+    are compared first, so that few are left.
+    """
+    met = _meetings(posts.filter(F.pmod("place", F.lit(PART)) == 0), groups)
+    met = met.groupBy("a", "b", "other").agg(F.count(F.lit(1)).alias("times"))
+    best = W.partitionBy("a", "other").orderBy(F.desc("times"), "b")
+    met = met.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PROBES)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -392,20 +439,31 @@ def _groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, root) of every distinct text that has a link."""
     postings = _shared(reps)
     texts = _texts(docs, postings.select("key").distinct().join(reps.select("key", "first_id"), "key"))
-    tried = materialize(_first_pairs(postings), "pairs")
-    links = _verified(tried, texts)
-    groups = components(links)
+    tried = links = groups = None
+
+    def link(pairs: DataFrame) -> None:
+        """Compare the pairs that have not been compared, and bring the groups up to date."""
+        nonlocal tried, links, groups
+        pairs = materialize(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = _verified(pairs, texts)
+        tried, links = (pairs, new) if tried is None else (tried.unionByName(pairs), links.unionByName(new))
+        groups = components(links)
+
+    link(_first_pairs(postings))
     for nth in range(ROUNDS):
         opened = materialize(_open(postings, groups), "open")
-        pairs = materialize(_round_pairs(opened, nth).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried, links = tried.unionByName(pairs), links.unionByName(_verified(pairs, texts))
-        groups = components(links)
+        link(_round_pairs(opened, nth))
         forget(opened)
     opened = materialize(_open(postings, groups), "open")
-    pairs, behind = _last_pairs(opened, texts)
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    forget(opened, postings, *behind)
-    return components(links.unionByName(_verified(pairs, texts)))
+    hot = opened.filter(F.col("texts") > SMALL)
+    if hot.isEmpty():
+        link(_small_pairs(opened))
+    else:
+        posts = _posts(hot, texts)
+        link(_small_pairs(opened).unionByName(_probes(posts, groups)))
+        met = _meetings(posts, groups)
+        link(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    return groups
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

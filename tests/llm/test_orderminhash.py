@@ -178,9 +178,15 @@ def test_last_pairs_are_all_that_can_be_similar(spark):
     texts = spark.createDataFrame([(name(i), r[1]) for i, r in enumerate(rows)], "key binary, text string")
 
     def met(values, root, count):
-        opened = [(v, name(i), len(r[1].split()), root(i), count) for i, r in enumerate(rows) for v in values]
-        opened = spark.createDataFrame(opened, "value long, key binary, n long, root binary, texts long")
-        return {(int(x["a"]), int(x["b"])) for x in om._last_pairs(opened, texts)[0].collect()}
+        opened = [(v, name(i), len(r[1].split()), 1, root(i), count) for i, r in enumerate(rows) for v in values]
+        opened = spark.createDataFrame(opened, "value long, key binary, n long, degree long, root binary, texts long")
+        if count <= om.SMALL:
+            return {(int(x["a"]), int(x["b"])) for x in om._small_pairs(opened).collect()}
+        groups = spark.createDataFrame([(name(i), root(i)) for i in range(len(rows))], "node binary, root binary")
+        posts = om._posts(opened, texts)
+        out = [{tuple(sorted((int(x["a"]), int(x["b"])), reverse=True)) for x in f(posts, groups).collect()} for f in (om._meetings, om._probes)]
+        assert out[1] <= out[0]
+        return out[0]
 
     everyone = met([1, 2], name, len(rows))  # one hot bucket, or two
     assert {(2 * i + 1, 2 * i) for i in range(12)} <= true <= everyone
