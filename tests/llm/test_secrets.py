@@ -27,23 +27,55 @@ def test_base_findings():
         assert se.base_findings(t) == brute(t)
 
 
+def rates(net, **how):
+    windows, y = se.labelled_findings(2000, **how)
+    found = net.probability(windows) >= net.threshold
+    return found[y == 1].mean(), found[y == 0].mean()
+
+
 def test_network_finds_what_patterns_do_not_name():
     net = se.train_network()
-    windows, y = se.labelled_findings(1500, 123)
-    p = net.probability(windows)
-    assert (p[y == 1] >= net.threshold).mean() >= 0.97
-    assert (p[y == 0] >= net.threshold).mean() <= 0.02
-    assert (np.diff(net.steps_y) >= 0).all()
+    recall, false = rates(net, seed=123)
+    assert recall >= 0.95 and false <= 0.03
+    recall, false = rates(net, seed=124, unseen=True)  # shapes that it was not trained on
+    assert recall >= 0.93 and false <= 0.1
     secret = "see ghp_16C7e42F292c6912E7710c838347Ae178B4a and user.name1999@mail.example.com plus 2024-01-02T10.11.12.000Z"
     [found] = se.scan([secret], net)
     assert [secret[s:e] for s, k, e in found if k == 3] == ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
 
 
+def test_calibration_and_threshold():
+    net = se.train_network()
+    assert (np.diff(net.steps_y) >= 0).all() and len(set(net.steps_y)) >= 8
+    assert 0.05 < net.threshold < 0.99 * net.steps_y.max()
+    windows, y = se.labelled_findings(4000, 125)
+    p = net.probability(windows)
+    assert ((p - y) ** 2).mean() < 0.03
+    for lo, hi in ((0.0, 0.2), (0.2, 0.8), (0.8, 1.01)):  # what is given as a probability is near the share of secrets
+        part = (p >= lo) & (p < hi)
+        assert not part.sum() >= 50 or abs(p[part].mean() - y[part].mean()) < 0.12
+    low, high = se.train_network(3000, 0.9, 3, 5), se.train_network(3000, 0.999, 3, 5)
+    assert high.threshold <= low.threshold
+
+
+def test_candidates():
+    text = 'x token=abcdefgh12345678 id=0123456789abcdef0123456789abcdefXYZ short1a twelvechars1 onlylettersonly onlylettersonlyx end.'
+    base = se.base_findings(text)
+    got = [text[s:e] for s, e in se.candidates(text, base)]
+    # within a base finding: none; reaching beyond one: the whole run
+    assert got == ["id=0123456789abcdef0123456789abcdefXYZ", "twelvechars1", "onlylettersonlyx"]
+    assert se.candidates("", []) == se.candidates("a b", []) == []
+
+
 def test_long_candidates_are_read_whole():
     net = se.train_network()
     text = "x1" * 300_000
     found = se.scan([text, "a " + "Zk3" * 40], net)
     assert len(found) == 2
+    r = np.random.default_rng(1)
+    for n in (se.BLOCK - 3, se.BLOCK + 1, 2 * se.BLOCK + 17):
+        w = r.integers(1, 2 * se.SYMBOLS, n).astype(np.int32)
+        assert np.isclose(net._long_logit(se.padded([w])), net.forward(se.padded([w]))[0][0])
 
 
 def test_gradients():
