@@ -8,11 +8,13 @@ partner at least as large as any two that fit together), again and again until n
 falling length packs the remainder. Whole runs of equal sets are fixed in one step, so the work grows with the capacity
 and not with the corpus.
 
-Spark then numbers the pieces of each length, in hash buckets so that no length lands in one task, and looks each number
-up in the plan.
+Full pieces, nearly all of a corpus of long texts, are sequences as they stand. Spark numbers the other pieces of each
+length, in hash buckets whose number grows with the pieces of that length, and looks each number up in the plan.
 
-Edge cases: null and empty texts are one separator; a text of many sequences is cut into full pieces and a rest; repeated
-rows are packed one by one; an empty table gives an empty result.
+Edge cases: null and empty texts are one separator; a text of many sequences, however long, is cut into full pieces and a
+rest; repeated rows are packed one by one and tied pieces (equal lengths) in the order of id, piece and checksum, rows
+equal in all of these in any order; further columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,19 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Cache, pack_ids, vocabulary_path
+from .bpe import CACHE, LONG, pack_ids, vocabulary_path
 from .common import materialize
 
 CAPACITY = 2048
 SEPARATOR = 0
-BUCKETS = 256
+NUMBERED = 1 << 16  # pieces of one length that are numbered together, about
 LATIN = re.compile("[\x00-\xff]*")
-STEP = 256
+STEP = 512
+CHUNK = 1 << 21  # characters that are encoded together, about
 
 
 # --- the plan, on counts of lengths --------------------------------------------------------------------------------
@@ -166,10 +170,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 class Words:
     """Ids by the tokenizers library.
 
-    No token of this vocabulary spans white space, and the last token of each of its words is marked. So distinct words
-    are encoded once, many in one call, and their ids are told apart by that mark. Words are taken apart here only where
-    all characters are below U+0100, which normalization leaves alone but for their case; others go to the library
-    with all that stands between two spaces.
+    No token of this vocabulary spans white space, and the last token of each of its words is marked. So what stands
+    between spaces is encoded once if it occurs again, many in one call, and the ids are told apart by counting marks.
+    That holds where all characters are below U+0100, which normalization leaves alone but for their case; others go to
+    the library one by one.
     """
 
     def __init__(self, path: str):
@@ -182,39 +186,71 @@ class Words:
         last = {i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
         self.last = np.isin(np.arange(self.tok.get_vocab_size(with_added_tokens=True)), list(last))
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the vocabulary's words
-        self.words = Cache(self.encode_words)
-        self.cache = Cache(self._encode_pieces)
+        self.known: dict[str, bytes] = {}
 
-    def _split(self, piece: str) -> list[str]:
+    def _count(self, piece: str) -> int:
         """Words of the pattern; letters alone, and letters before a full stop or comma, need no search."""
         if piece.isalpha():
-            return [piece]
+            return 1
         if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.split.findall(piece)
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of words of the pattern."""
-        out: list[bytes] = []
-        for k in range(0, len(words), 512):
-            ids = np.array(self.tok.encode_batch_fast([" ".join(words[k : k + 512])], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        return out
+            return 2
+        return len(self.split.findall(piece))
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of what stands between two spaces."""
-        plain = ["<|" not in p and (p.isascii() or bool(LATIN.fullmatch(p))) and p.isprintable() for p in pieces]
-        got = self.words.join([self._split(p.lower()) if ok else [] for p, ok in zip(pieces, plain, strict=True)])
-        other = [k for k, ok in enumerate(plain) if not ok]
+        plain, other = [], []
+        for k, p in enumerate(pieces):
+            (plain if (p.isascii() or LATIN.fullmatch(p)) and p.isprintable() and "<|" not in p else other).append(k)
+        out = [b""] * len(pieces)
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            some = [pieces[i].lower() for i in part]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends, counts = 4 * np.flatnonzero(self.last[ids]) + 4, np.cumsum([0, *map(self._count, some)])
+            if len(ends) != counts[-1]:
+                other += part
+                continue
+            raw, at = ids.tobytes(), np.r_[0, ends][counts].tolist()
+            for i, a, b in zip(part, at, at[1:], strict=False):
+                out[i] = raw[a:b]
         for k, e in zip(other, self.tok.encode_batch_fast([pieces[k] for k in other], add_special_tokens=False), strict=True):
-            got[k] = pack_ids(e.ids)
-        return got
+            out[k] = pack_ids(e.ids)
+        return out
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of distinct pieces."""
+        if len(self.known) > CACHE:
+            self.known = {}
+        out = list(map(self.known.get, pieces))
+        open_ = [i for i, ids in enumerate(out) if ids is None]
+        new = [pieces[i] for i in open_]
+        for i, p, ids in zip(open_, new, self._encode_pieces(new), strict=True):
+            out[i] = ids
+            if len(p) <= LONG:
+                self.known[p] = ids
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts, as unsigned little-endian numbers of 32 bits."""
-        low = (t.lower() if "<|" not in t and (t.isascii() or LATIN.fullmatch(t)) else t for t in texts)
-        return self.cache.join([t.replace("\n", " ").split(" ") for t in low])
+        ends, out = np.cumsum([len(t) for t in texts]), []
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // CHUNK)) + 1):
+            out += self._encode_texts([texts[i] for i in part])
+        return out
+
+    def _encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Each distinct piece is looked up once; its ids are then copied, by array, to all its places."""
+        low = [t.lower() if "<|" not in t and (t.isascii() or LATIN.fullmatch(t)) else t for t in texts]
+        cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in low], pa.large_string()), " ")
+        pieces = cut.flatten().dictionary_encode()
+        packed = self._look_up(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(packed), "<u4")
+        at = pieces.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        raw = ids[np.arange(n.sum()) + np.repeat(starts[at] - ends + n, n)].tobytes()
+        bounds = (4 * np.r_[0, ends][cut.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _loaded: dict[str, Words] = {}
@@ -249,11 +285,16 @@ def cut_documents(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: in
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset. ``pieces`` is read three times: pass a written table."""
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    rows, _ = plan(counts, capacity)
+    rows, _ = plan({n: c for n, c in counts.items() if n < capacity}, capacity)
     keys = rows[:, 0] * (1 << 44) + rows[:, 1]
 
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
-    sums = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * BUCKETS rows
+    # A full piece is a sequence of its own: it needs no place among the others of its length.
+    full = F.col("length") == capacity
+    alone = pieces.filter(full).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    parts = F.array([F.lit(1 + counts.get(n, 0) // NUMBERED) for n in range(1, capacity + 1)])
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts, F.col("length").cast("int")))
+    bucketed = pieces.filter(~full).withColumn("bucket", bucket)
+    sums = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))  # a row for each ``NUMBERED`` pieces of a length
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
@@ -266,7 +307,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": rows[at, 3] + nth // rows[at, 2], "offset": rows[at, 4] + nth % rows[at, 2] * rows[at, 0]})
 
     placed = numbered.withColumn("at", place("length", F.col("before") + F.col("nth")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    return placed.select(*columns[:5], "at.*").select(*columns).unionByName(alone.select(*columns))
 
 
 def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
