@@ -1,41 +1,74 @@
 """Running totals and row numbers over a total order without sorting everything in one task.
 
-The order key is cut into ranges at approximate quantiles. Totals run within a range; what lies before a range is summed
-over one row a range. A stream may be split further by ``within`` columns.
+The order key is cut into ranges at approximate quantiles, as many as the rows need. A key value that spans several
+quantiles is cut further by the first tie breaker, so ties do not meet in one task either. Totals run within a range;
+what lies before a range is summed over one row a range. A stream may be split further by ``within`` columns; a null
+there is a stream like any other. Null keys come first.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RANGES = 32
+GRID = 2048  # quantiles that are looked at, and the most ranges
+ROWS = 100_000  # of a range, about
 
 
-def range_bucket(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
-    """Number of the range of a numeric ``key``, rising with the key; nulls come first."""
-    at = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, at, 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
+def past_cuts(key: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` are at or below ``key``, plus one; 0 for a null. Looks at two rows of about the root of their number."""
     if not cuts:
-        return F.lit(0)
-    past = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))
-    return F.coalesce(F.size(past) + 1, F.lit(0))
+        return F.when(key.isNull(), F.lit(0)).otherwise(F.lit(1))
+    step = isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    group = F.size(F.filter(lit([g[0] for g in groups]), lambda c: c <= key))
+    inside = F.size(F.filter(F.element_at(F.array(*map(lit, groups)), F.greatest(group, F.lit(1))), lambda c: c <= key))
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.greatest(group - 1, F.lit(0)) * step + inside + 1)
+
+
+def range_bucket(df: DataFrame, key: str, ties: tuple[str, ...] = ()) -> Column:
+    """Number of the range of a numeric ``key``, and of the first of ``ties`` within a frequent key, rising with the order."""
+    at = [i / GRID for i in range(1, GRID)]
+    columns = [key, *(t for t in ties[:1] if isinstance(df.schema[t].dataType, T.NumericType))]
+    got = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, at, 20 * GRID).alias(f"cuts{i}") for i, c in enumerate(columns)]).first()
+    keep = max(1, GRID * ROWS // max(1, got["n"]))  # every so many quantiles make a range
+    quantiles = got["cuts0"] or []
+    cuts = sorted(set(quantiles[keep - 1 :: keep]))
+    often = sorted({a for a, b in zip(quantiles, quantiles[keep:], strict=False) if a == b}) if len(columns) > 1 else []
+    if not often:
+        return past_cuts(F.col(key), cuts)
+    cuts = sorted({*cuts, *often})
+    parts = sorted(set((got["cuts1"] or [])[keep - 1 :: keep]))
+    frequent = F.col(key).isin(*often)
+    # A range starts at a frequent key: its rows come first there, in parts, and the others after them.
+    return past_cuts(F.col(key), cuts) * (len(parts) + 3) + F.when(frequent, past_cuts(F.col(columns[1]), parts)).otherwise(F.lit(len(parts) + 2))
 
 
 def running_total(df: DataFrame, value: Column, key: str, name: str, within: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the rows before, in the order of ``key`` and then ``ties``."""
-    df = df.withColumn("_range", range_bucket(df, key)).withColumn("_value", value)
+    """``df`` with ``name``: the sum of ``value`` over the rows before, in the order of ``key`` and then ``ties``.
+
+    ``df`` is read three times; pass a written table where it is costly.
+    """
+    df = df.withColumn("_range", range_bucket(df, key, ties)).withColumn("_value", value)
     rows = W.partitionBy(*within, "_range").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, -1)
     sums = df.groupBy(*within, "_range").agg(F.sum("_value").alias("_sum"))
     # One row a range and stream: small, so the window over it is too.
     before = W.partitionBy(*within).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    joined = df.withColumn("_local", F.coalesce(F.sum("_value").over(rows), F.lit(0))).join(sums, [*within, "_range"])
+    names = {c: f"_of_{i}" for i, c in enumerate(within)}
+    sums = sums.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_of")
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    joined = df.withColumn("_local", F.coalesce(F.sum("_value").over(rows), F.lit(0))).join(sums, same).drop("_of", *names.values())
     return joined.withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_range", "_value", "_local", "_before")
 
 
 def row_index(df: DataFrame, key: str, name: str, within: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``name``: the number of rows before, from 0."""
     return running_total(df, F.lit(1).cast("long"), key, name, within, ties)
+

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key_digest
 from ..functions.ordering import row_index
+from ..functions.tables import written
 
 #: Bands and patterns.
 DROP_TOP, DROP_BOTTOM = 0.20, 0.05
 LONG_TOKENS = 4096
+FREQUENT = 10_000  # words that are broadcast with their frequencies
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
@@ -26,13 +28,17 @@ def words(text: Column) -> Column:
 def unigram_perplexity(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_words, perplexity) under the unigram model of the corpus itself.
 
-    Word counts are summed on the map side first; a text meets the model through its distinct words only.
+    The model is written once; a text meets it through its distinct words only. Words of most texts would be keys with a
+    row a text: the ``FREQUENT`` most frequent meet the model by broadcast instead.
     """
     terms = docs.filter(F.col("text") != "").select(key, F.explode(words(F.col("text"))).alias("word"))
     own = terms.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    model = own.groupBy("word").agg(F.sum("n").alias("freq"))
+    model = written(terms.groupBy("word").agg(F.count(F.lit(1)).alias("freq")), "word-counts")
     total = model.agg(F.sum("freq").alias("total"))
-    scored = own.join(model, "word").join(F.broadcast(total), F.lit(True))  # one row
+    frequent = model.orderBy(F.desc("freq"), "word").limit(FREQUENT)
+    scored = own.join(F.broadcast(frequent), "word").unionByName(
+        own.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(model, "word")
+    ).join(F.broadcast(total), F.lit(True))  # one row
     bits = F.sum(F.col("n") * -F.log(F.col("freq") / F.col("total")))
     return scored.groupBy(key).agg(F.sum("n").alias("n_words"), bits.alias("nll")).withColumn("perplexity", F.exp(F.col("nll") / F.col("n_words"))).drop("nll")
 

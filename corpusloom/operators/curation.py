@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.tables import written
 
 #: Thresholds, domains and per-domain overrides.
 MIN_CHARS, MAX_CHARS, MIN_ALPHA, MAX_NEWLINE, MAX_SYMBOL = 150, 1_000_000, 0.60, 0.30, 0.10
@@ -58,16 +59,27 @@ def dedup_key(text: Column) -> Column:
     return F.sha2(tx.strip(F.substring(text, 1, KEY_CHARS)), 256)
 
 
-def dedup_exact(docs: DataFrame, order: str = "doc_id", domain: str | None = "source") -> DataFrame:
+def dedup_exact(docs: DataFrame, order: str = "doc_id", domain: str | None = "source", among: DataFrame | None = None) -> DataFrame:
     """The first row, in stream order, of each key within a domain; ``domain=None`` looks at all rows together.
 
-    The first order value of each key is aggregated on the map side, so a key that holds most rows shuffles one narrow
-    row a task; the texts are then read once more and joined to the winners.
+    ``among`` are the rows that count, by default all; they are rows of ``docs``. Null domains are one domain, null
+    order values come first; of rows that tie, the one whose content has the least hash stays, and of repetitions of a
+    row any one.
+
+    The first row of each key is aggregated on the map side, so a key that holds most rows shuffles one narrow row a
+    task; that table is written, the texts are read once more and joined to it by order and content, without a key.
     """
     scope = [domain] if domain else []
-    keyed = docs.withColumn("_key", dedup_key(F.col("text")))
-    first = keyed.groupBy(*scope, "_key").agg(F.min(order).alias(order))
-    return keyed.join(first, [*scope, "_key", order], "left_semi").drop("_key")
+    row = F.xxhash64(*docs.columns)
+    named = [F.col(c).alias(f"_scope_{c}") for c in scope]
+    keyed = (docs if among is None else among).select(*named, dedup_key(F.col("text")).alias("_key"), F.struct(F.col(order).alias("order"), row.alias("row")).alias("at"))
+    same = [f"_scope_{c}" for c in scope]
+    first = keyed.groupBy(*same, "_key", "at").agg(F.count(F.lit(1)).alias("n")).groupBy(*same, "_key")
+    first = written(first.agg(F.min(F.struct("at", "n")).alias("first")).select("_key", F.col("first.at.order").alias("_order"), F.col("first.at.row").alias("_row"), F.col("first.n").alias("_n"), *same), "first-rows")
+    kept = docs.join(first.drop(*same), F.col(order).eqNullSafe(F.col("_order")) & (row == F.col("_row")))
+    if not first.filter("_n > 1").isEmpty():  # repeated rows: any one of them
+        kept = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["_order", "_row"]))
+    return kept.select(*docs.columns)
 
 
 def seen_counts(docs: DataFrame, domain: str = "source") -> DataFrame:
@@ -77,8 +89,9 @@ def seen_counts(docs: DataFrame, domain: str = "source") -> DataFrame:
 
 def curate(docs: DataFrame, order: str = "doc_id", domain: str = "source", rules: QualityRules = QualityRules(), filtered: bool = True, deduplicated: bool = True) -> DataFrame:
     """Filter, then deduplicate: rejected texts never enter the set of keys."""
-    kept = filter_quality(docs, domain, rules) if filtered else docs.filter(tx.present(F.col("text")))
-    return dedup_exact(kept, order, domain) if deduplicated else kept
+    there = docs.filter(tx.present(F.col("text")))
+    kept = filter_quality(there, domain, rules) if filtered else there
+    return dedup_exact(there, order, domain, among=kept) if deduplicated else kept
 
 
 def domain_manifest(docs: DataFrame, domain: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:

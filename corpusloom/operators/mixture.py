@@ -71,7 +71,7 @@ def mixture_rows(plan: DataFrame, rows: DataFrame, domain: str, order: str, draw
     if draw == "counter":
         plan = row_index(plan, "idx", "_turn", ("domain",))
     turn = F.col("_turn" if draw == "counter" else "idx")
-    asked = plan.join(F.broadcast(sizes), "domain").withColumn("local_idx", (turn % F.col("_n")).cast("long"))  # one row a domain
+    asked = plan.join(sizes, "domain").withColumn("local_idx", (turn % F.col("_n")).cast("long"))  # one row a domain: Spark checks its size
     return asked.join(numbered, ["domain", "local_idx"]).drop("_n", "_turn")
 
 

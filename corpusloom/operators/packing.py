@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key_digest
 from ..functions.ordering import row_index, running_total
+from ..functions.tables import written
 from .tokens import PAD, wrap
 
 
@@ -32,7 +33,7 @@ def pack(
     documents without tokens; otherwise they contribute their markers.
     """
     rows = docs.filter(F.size("ids") > 0) if skip_empty else docs
-    rows = rows.select(*streams, order, *ties, wrap(F.col("ids"), bos, eos).alias("wrapped"))
+    rows = written(rows.select(*streams, order, *ties, wrap(F.col("ids"), bos, eos).alias("wrapped")), "wrapped")  # tokens are made once
     rows = running_total(rows, F.size("wrapped").cast("long"), order, "start", streams, ties).filter(F.size("wrapped") > 0)
     n = F.size("wrapped")
     last = F.floor((F.col("start") + n - 1) / length)

@@ -240,3 +240,54 @@ def test_lines_and_payload(spark):
     assert payload["cost"]["elapsed_str"] == "02h 00m 00s"
     manifest = spark.createDataFrame([("books", 1234, None), ("arxiv", None, "gone")], "domain string, train_tokens long, error string")
     assert sorted(r["line"].split()[-1] for r in telemetry.summary_table(manifest).collect()) == ["gone", "tokens"]
+
+
+def test_order_with_nulls_and_ties(spark):
+    import random
+
+    from corpusloom.functions import ordering
+
+    r = random.Random(5)
+    rows = [(r.choice([None, "a", "b"]), r.choice([None, 1, 1, 1, 1, 2, 3, 9]), i, r.randint(0, 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "stream string, k long, id long, n long")
+    want, sums = {}, {}
+    for stream, k, i, n in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+        want[i] = sums.get(stream, 0)
+        sums[stream] = want[i] + n
+    for size in (ordering.ROWS, 100):
+        ordering.ROWS, was = size, ordering.ROWS
+        try:
+            ranges = df.select(ordering.range_bucket(df, "k", ("id",)).alias("r")).groupBy("r").count().collect()
+            got = ordering.running_total(df, F.col("n"), "k", "before", ("stream",), ("id",)).collect()
+        finally:
+            ordering.ROWS = was
+        assert {x["id"]: x["before"] for x in got} == want and len(got) == len(rows)
+        if size == 100:  # half of the rows share a key and do not meet in one range
+            assert max(x["count"] for x in ranges) < 700
+
+
+def test_past_cuts(spark):
+    from bisect import bisect_right
+
+    from corpusloom.functions.ordering import past_cuts
+
+    for cuts in ([], [3], list(range(0, 40, 2)), list(range(100))):
+        df = spark.range(-1, 50).withColumn("c", past_cuts(F.col("id"), cuts))
+        assert [x["c"] for x in df.orderBy("id").collect()] == [bisect_right(cuts, i) + 1 for i in range(-1, 50)]
+    assert spark.sql("SELECT CAST(NULL AS LONG) AS id").select(past_cuts(F.col("id"), [1, 2])).first()[0] == 0
+
+
+def test_dedup_keeps_null_sources_and_one_of_repeated_rows(spark):
+    rows = [(1, "x", "a"), (1, "x", "a"), (2, "x", "a"), (None, "y", "a"), (3, "y", "a"), (4, "x", None), (5, "x", None), (None, "z", None), (None, "z", None), (6, "w", "b"), (6, "w", "b2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, curation.dedup_exact(docs).collect()), key=repr)
+    assert got == sorted([(1, "x", "a"), (None, "y", "a"), (4, "x", None), (None, "z", None), (6, "w", "b"), (6, "w", "b2")], key=repr)
+    got = sorted(map(tuple, curation.dedup_exact(docs, domain=None).collect()), key=repr)
+    assert [x[:2] for x in got] == [(1, "x"), (6, "w"), (None, "y"), (None, "z")]
+    assert curation.dedup_exact(docs.limit(0)).count() == 0
+
+
+def test_packing_keeps_streams_without_a_name(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "s", [7] * 5) for i in range(20)], "doc_id long, source string, ids array<int>")
+    out = packing.pack(docs, 7, streams=("source",)).groupBy("source").count().collect()
+    assert {x["source"]: x["count"] for x in out} == {None: 10, "s": 10}
