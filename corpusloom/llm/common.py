@@ -51,8 +51,13 @@ def forget(*tables: DataFrame, collect: bool = True) -> None:
         for names in _scratch:
             names.pop(df.written_at, None)
     if tables and collect:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects their owners
+        collect_garbage(tables[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects their owners."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager

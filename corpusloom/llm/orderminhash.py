@@ -16,7 +16,7 @@ Every pair of texts that agree in a sketch ends up compared or in one group, how
    and compare one pair of each two groups.
 3. In the buckets that still hold several groups, all pairs across groups are compared: pair by pair in buckets of at most
    ``SMALL`` texts, and in larger ones by an exact join on rare words (``_posts``, ``_meetings``), which skips only pairs
-   whose words cannot overlap enough. Rounds and probes make this cheap and decide nothing.
+   whose words cannot overlap enough. The rounds make this cheap and decide nothing.
 
 At scale: the sketches are computed once, on arrays of many texts; only texts that share a bucket are loaded again; of
 each table only narrow columns are shuffled. Buckets are never gathered in one task. Components alternate large and small
@@ -37,22 +37,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import forget, materialize, scratch
+from .common import collect_garbage, forget, materialize, scratch
 
 WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 48
 TAKEN = 2  # shingles a sketch takes
 ROUNDS = 1
-SMALL = 16
-PART, PROBES = 4, 3  # of the places one in ``PART`` is probed, and as many texts of each group there
+SMALL = 32
 CHUNK = 1 << 15  # words that are sketched together
 FREQUENT = 1 << 16  # words whose frequency is known when pairs across groups are sought; for speed only
 COMMON = 1 << 12  # words of a cluster's chosen text that come last then; for speed only
+BEFORE = 256  # earlier words of a text that are looked at when it meets another; with more, a pair may be named twice
 BITMAP_LOG2 = 27  # 16 MB
 _MAX = np.uint64(2**64 - 1)
 _SEEDS = np.array([xxh64_intdigest(b"sketch %d" % i) for i in range(SKETCHES)], np.uint64)
@@ -313,7 +312,7 @@ def _small_pairs(opened: DataFrame) -> DataFrame:
 
 
 def _posts(opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """(place, key, n, rest): where texts of a bucket whose words can overlap enough meet; exact, nothing is drawn.
+    """(place, key, n, rest, own, before): where texts of a bucket whose words can overlap enough meet; nothing is drawn.
 
     Buckets of one passage hold much the same texts: those with the same text of greatest degree are one cluster, and a
     text is posted once a cluster.
@@ -353,50 +352,54 @@ def _posts(opened: DataFrame, texts: DataFrame) -> DataFrame:
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, n, clusters, text in zip(batch["key"], batch["n"], batch["clusters"], batch["text"], strict=True):
+            places, owners, rests, own = [], [], [], []
+            for i, (n, clusters, text) in enumerate(zip(batch["n"], batch["clusters"], batch["text"], strict=True)):
                 h = labelled(text)
                 at = np.searchsorted(known, h)
                 freq = np.where(known[at] == h, often[at], 0)
                 for c in clusters:
-                    order = np.lexsort((h, freq, np.isin(short(h), c["common"])))
-                    first = h[order[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]]
-                    place = _mix(first.view(np.uint64) ^ _mix(np.array([c["cluster"]], np.int64).view(np.uint64))).view(np.int64)
-                    yield pd.DataFrame({"place": place, "key": key, "n": n, "rest": n - np.arange(len(first))})
-
-    posts = materialize(held.mapInPandas(posted, "place long, key binary, n long, rest long"), "posts")
+                    last = np.isin(short(h), c["common"])
+                    first = h[np.lexsort((h, freq, last))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]]
+                    cluster = np.full(len(first), c["cluster"], np.int64)
+                    places.append((cluster, _mix(first.view(np.uint64) ^ _mix(cluster.view(np.uint64))).view(np.int64)))
+                    owners.append(np.full(len(first), i))
+                    rests.append(n - np.arange(len(first)))
+                    own.append(np.full(len(first), n - last.sum()))
+            if owners:
+                of = np.concatenate(owners)
+                cluster, place = (np.concatenate(x) for x in zip(*places, strict=True))
+                yield pd.DataFrame({"cluster": cluster, "place": place, "key": batch["key"].to_numpy()[of], "n": batch["n"].to_numpy()[of], "rest": np.concatenate(rests), "own": np.concatenate(own)})
+
+    posts = materialize(held.mapInPandas(posted, "cluster long, place long, key binary, n long, rest long, own long"), "posts")
     places = materialize(posts.groupBy("place").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("place"), "places")
-    met = materialize(maybe_in(posts, "place", places).join(places, "place"), "met")
+    met = maybe_in(posts, "place", places).join(places, "place")
+    met = met.groupBy("cluster", "key", "n", "own").agg(F.array_sort(F.collect_list(F.struct((-F.col("rest")).alias("left"), "place"))).alias("p"))  # of one text
+    met = met.select("key", "n", "own", F.transform("p", lambda x: x["place"]).alias("places"), F.posexplode("p").alias("at", "p"))
+    before = F.slice("places", F.greatest(F.lit(1), F.col("at") - BEFORE + 1), F.least(F.col("at"), F.lit(BEFORE)))
+    met = materialize(met.select("p.place", "key", "n", (-F.col("p.left")).alias("rest"), "own", before.alias("before")), "met")
     forget(member, held, posts, places)
     return met
 
 
 def _meetings(posts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b, other): the texts of different groups that meet at a place, once a place; ``other`` is the group of b.
+    """(a, b): the texts of different groups that meet, the greater first.
 
-    Of two groups at a place one is not its largest: a is of such a group, so a large family never meets itself.
+    Two texts meet where the first word stands that they have in common: not where they share a word before it. Of two
+    groups at a place one is not its largest: a is of such a group, so a large family never meets itself.
     """
     rooted = materialize(_rooted(posts, groups), "rooted")
     sizes = rooted.groupBy("place", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("place").agg(F.max_by("root", "size").alias("largest"), F.count(F.lit(1)).alias("several"))
     met = rooted.join(largest.filter("several > 1").drop("several"), "place")
     a, b = met.filter(F.col("root") != F.col("largest")).alias("a"), met.alias("b")
-    need = SIMILARITY * F.greatest("a.n", "b.n") - 1e-9
     once = (F.col("b.root") == F.col("b.largest")) | (F.col("a.key") > F.col("b.key"))
-    enough = (F.col("a.place") == F.col("b.place")) & (F.col("a.root") != F.col("b.root")) & once & (F.col("a.rest") >= need) & (F.col("b.rest") >= need)
-    return a.join(b, enough).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("b.root").alias("other"))
-
-
-def _probes(posts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): of a part of the places, for each text and each group that it meets the texts that it meets most often.
-
-    A family of copies that have been edited apart meets itself in full, but one link joins a text to it: these pairs
-    are compared first, so that few are left.
-    """
-    met = _meetings(posts.filter(F.pmod("place", F.lit(PART)) == 0), groups)
-    met = met.groupBy("a", "b", "other").agg(F.count(F.lit(1)).alias("times"))
-    best = W.partitionBy("a", "other").orderBy(F.desc("times"), "b")
-    met = met.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PROBES)
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    need = SIMILARITY * F.greatest("a.n", "b.n") - 1e-9
+    # What is left of both: of their own words, and of those that the cluster shares.
+    left = F.least(F.col("a.rest") - F.col("a.n") + F.col("a.own"), F.col("b.rest") - F.col("b.n") + F.col("b.own"))
+    left = F.greatest(left, F.lit(0)) + F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
+    enough = (F.col("a.root") != F.col("b.root")) & once & (F.least("a.rest", "b.rest") >= need) & (left >= need)
+    met = a.join(b, (F.col("a.place") == F.col("b.place")) & enough & ~F.arrays_overlap("a.before", "b.before"))
+    return met.select(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -446,6 +449,7 @@ def _groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
         nonlocal tried, links, groups
         pairs = materialize(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         new = _verified(pairs, texts)
+        collect_garbage(docs.sparkSession)  # the texts that were sent
         tried, links = (pairs, new) if tried is None else (tried.unionByName(pairs), links.unionByName(new))
         groups = components(links)
 
@@ -456,13 +460,8 @@ def _groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
         forget(opened)
     opened = materialize(_open(postings, groups), "open")
     hot = opened.filter(F.col("texts") > SMALL)
-    if hot.isEmpty():
-        link(_small_pairs(opened))
-    else:
-        posts = _posts(hot, texts)
-        link(_small_pairs(opened).unionByName(_probes(posts, groups)))
-        met = _meetings(posts, groups)
-        link(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    pairs = _small_pairs(opened)
+    link(pairs if hot.isEmpty() else pairs.unionByName(_meetings(_posts(hot, texts), groups)))
     return groups
 
 
