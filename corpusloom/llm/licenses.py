@@ -1,15 +1,17 @@
 """Licence scans over a positional index of rare tokens, in DataFrame functions only.
 
 Templates of licence notices are indexed by their rarest words and the places of these words. Rarity is the inverse
-document frequency over the whole corpus, so the index follows the corpus. For a file, all its indexed words are looked
-up, however many notices it holds; postings that agree on the relative position (place in file minus place in template) add up; and a
-template whose matched share is high enough counts once one of its mandatory key phrases is verified in the file.
+document frequency over the whole corpus, so the index follows the corpus. For every file, all its indexed words are
+looked up, however many notices it holds; postings that agree on the relative position (place in file minus place in
+template) add up, and a template is a candidate where their share is high enough. A candidate counts once one of its
+mandatory key phrases is verified in the file.
 
 Base labels come from four phrases and always stay.
 
 Edge cases: a null text is empty (no words, score 0); a text that is one long run of licence words costs in proportion
-to its length, because a word has a bounded number of postings; repeated rows are scanned one by one; an empty table
-gives an empty result.
+to its length, because a word has a bounded number of postings; words of equal rarity are indexed by their place;
+repeated rows are scanned one by one; further columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -80,6 +82,19 @@ def postings(idf: dict[str, float], templates=TEMPLATES, rare: int = RARE_PER_TE
     return out
 
 
+def _fewest(entries: list[tuple[str, int, int, float]], least: float) -> int:
+    """How many distinct words of a template's entries make up a share of ``least``, at the fewest."""
+    share: dict[str, float] = {}
+    for word, _, _, x in entries:
+        share[word] = share.get(word, 0.0) + x
+    total, n = 0.0, 0
+    for x in sorted(share.values(), reverse=True):
+        if total >= least - 1e-9:
+            break
+        total, n = total + x, n + 1
+    return max(1, n)
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``."""
     spark = docs.sparkSession
@@ -97,13 +112,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_S
     base_labels = "array_compact(array(" + ", ".join(f"CASE WHEN contains(canon, ' {p} ') THEN '{lab}' END" for p, lab in BASE.items()) + "))"
     verified = "array_compact(array(" + ", ".join(f"CASE WHEN contains(canon, ' {p} ') THEN '{p}' END" for p in phrases) + "))"
     known = f"array_intersect({_array(indexed)}, words)"
+    # Words that a template needs at least to reach the share: files with fewer cannot have a candidate.
+    least = min(_fewest([p for p in index if p[1] == t], min_score) for t in range(len(templates)))
 
     files = (
         _words(docs, "doc_id")
         .withColumn("places", F.expr(f"CASE WHEN {any_base} THEN {places} ELSE CAST(array() AS array<int>) END"))
         .withColumn("base", F.expr(base_labels))
-        .withColumn("verified", F.expr(verified))
-        .withColumn("known", F.expr(f"CASE WHEN size(verified) > 0 THEN {known} ELSE CAST(array() AS array<string>) END"))
+        .withColumn("known", F.expr(known))
+        .withColumn("looked_up", F.size("known") >= least)
         .select(
             F.monotonically_increasing_id().alias("row_id"),
             "doc_id",
@@ -112,8 +129,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_S
             F.array_min("places").cast("long").alias("first_word"),
             F.array_max("places").cast("long").alias("last_word"),
             "base",
-            "verified",
-            F.expr("CASE WHEN size(known) > 0 THEN filter(transform(words, (w, i) -> CASE WHEN array_contains(known, w) THEN named_struct('place', i, 'word', w) END), x -> x IS NOT NULL) END").alias("hits"),
+            F.expr(f"CASE WHEN looked_up THEN {verified} END").alias("verified"),
+            F.expr("CASE WHEN looked_up THEN filter(transform(words, (w, i) -> CASE WHEN array_contains(known, w) THEN named_struct('place', i, 'word', w) END), x -> x IS NOT NULL) END").alias("hits"),
         )
     )
     files = materialize(files, "licence-hits")  # narrow; fixes row_id too
@@ -128,11 +145,13 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_S
         .join(F.broadcast(table), "word")  # bounded by the templates
         .groupBy(*row, "verified", "template", (F.col("place") - F.col("at")).alias("shift"))
         .agg(F.sum("share").alias("matched"))
+        .groupBy(*row, "verified", "template")
+        .agg(F.max("matched").alias("matched"))
         .join(F.broadcast(wanted), "template")  # bounded by the templates
-        .withColumn("good", F.arrays_overlap("verified", "phrases"))
+        .withColumn("good", (F.col("matched") >= min_score) & F.arrays_overlap("verified", "phrases"))
         .groupBy(*row)
         .agg(
-            F.collect_set(F.when(F.col("good") & (F.col("matched") >= min_score), F.col("label"))).alias("own"),
+            F.collect_set(F.when(F.col("good"), F.col("label"))).alias("own"),
             F.max(F.when(F.col("good"), F.least(F.round("matched", 9), F.lit(1.0)))).alias("score"),
         )
     )

@@ -1,3 +1,4 @@
+import random
 import re
 
 from corpusloom.llm import licenses as li
@@ -38,3 +39,41 @@ def test_file_of_every_notice(spark):
     out = {r["doc_id"]: r for r in li.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {label for label, _ in held} <= set(out[1]["labels"].split(","))
     assert out[1]["score"] > 0.99 and out[2]["labels"] == ""
+
+
+def brute_labels(text, index, templates=li.TEMPLATES):
+    """Labels and score of one text, template by template and shift by shift."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    held = lambda phrase: any(words[k : k + len(phrase.split())] == phrase.split() for k in range(len(words)))
+    labels, score = {lab for p, lab in li.BASE.items() if held(p)}, 0.0
+    for t, (label, notice, phrases) in enumerate(templates):
+        mine = [(w, at, share) for w, of, at, share in index if of == t]
+        matched = max((sum(x for w, at, x in mine if 0 <= k + at < len(words) and words[k + at] == w) for k in range(-len(notice.split()), len(words))), default=0.0)
+        if matched >= li.MIN_SCORE and any(map(held, phrases)):
+            labels.add(label)
+            score = max(score, min(1.0, round(matched, 9)))
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_score_against_brute_force(spark, odd_rows):
+    r = random.Random(8)
+    vocabulary = sorted({w for _, text, _ in li.TEMPLATES for w in text.split()})
+    texts = [x[1] for x in odd_rows if len(x[1] or "") < 5000]
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            w = r.choice(li.TEMPLATES)[1].split()
+            for _ in range(r.choice([0, 0, 1, 3, 6])):  # words changed, dropped or moved
+                at = r.randrange(len(w))
+                w[at : at + r.randint(0, 1)] = [r.choice(vocabulary)] * r.randint(0, 1)
+            parts.append(" ".join(w))
+            parts.append(" ".join(r.choice(["prose", "of", "the", "license", "gpl", "Version"]) for _ in range(r.randint(0, 9))))
+        texts.append(r.choice([" ", "\n", ", "]).join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = li.postings(li.word_idf(docs))
+    out = {x["doc_id"]: (x["labels"], x["score"]) for x in li.scan_licenses(docs).collect()}
+    for i, text in enumerate(texts):
+        want = brute_labels(text, index)
+        assert out[i][0] == want[0] and abs(out[i][1] - want[1]) < 1e-6, (text, out[i], want)
+    assert sum("," in a for a, _ in out.values()) > 20
