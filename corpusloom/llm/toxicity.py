@@ -3,8 +3,8 @@
 Features of a text: densities and counts of a fixed lexicon and of one learned from the labelled training rows (words
 and word beginnings), the share of lexicon words near a second-person pronoun, rates of capitals, of punctuation and of
 obfuscation (signs or digits within words, repeated letters), and lexicon words that show once the disguise is undone.
-Trees split on quantile bins and are grown on the driver from a bounded sample; isotonic regression on rows that the
-trees did not see turns their sum into a probability. Labels are read only where crc32(doc_id) mod 3 is not 1; the
+Trees split on quantile bins and are grown on the driver from a bounded sample; isotonic regression on a fold that
+neither the lexicon nor the trees saw turns their sum into a probability. Labels are read only where crc32(doc_id) mod 3 is not 1; the
 other rows are held out.
 
 Bound: ``TRAIN_ROWS`` labelled rows, those whose ids hash lowest; the learned lexicon has at most ``LEXICON_ROWS``
@@ -12,7 +12,9 @@ entries.
 
 Edge cases: null and empty texts have features of zero and get a score like any other; a null id is not held out and
 never trains; with one class only or no labels, the score is the share of that class (0 without labels); repeated rows
-score alike; an empty table gives an empty result.
+score alike and train once; very long texts are read whole; equal gains split on the first feature and lowest cut, and
+sums that tie share a step of the calibration; further columns are left alone but for one named ``toxicity_score``, which
+:func:`with_toxicity` replaces (:func:`score_column` adds none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, scratch
+
 TRAIN_ROWS = 20_000
 LEXICON_ROWS = 4_000
 DECISION = 0.7
@@ -206,11 +210,18 @@ def held_out(doc_id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, toxic of the training sample; at most ``rows`` ids are broadcast."""
+    """doc_id, text, toxic and calibration fold of the training sample: one row for each of at most ``rows`` ids.
+
+    Of rows that share an id, the least text counts; of labels that share one, the greatest. A fifth of the sample, by
+    hash of the id, is the fold.
+    """
     usable = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
+    sample = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # at most ``rows`` ids
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return materialize(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")), "toxicity-sample")
 
 
 def learn_lexicon(train: DataFrame, keep: int = LEXICON_ROWS, support: int = 6, lift: float = 8.0) -> Lexicon:
@@ -233,18 +244,18 @@ def learn_lexicon(train: DataFrame, keep: int = LEXICON_ROWS, support: int = 6,
 
 
 def train_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Lexicon, Trees]:
-    """Lexicon and calibrated trees. A fifth of the sample, by hash of the id, is kept for the calibration."""
-    train = training_rows(docs, labels, rows)
-    lex = learn_lexicon(train)
-
-    @F.pandas_udf("array<double>")
-    def dense(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t, lex) for t in text])
-
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    got = train.select(dense("text").alias("x"), F.col("toxic").cast("int").alias("y"), fold.alias("fold"), "doc_id").toPandas().sort_values("doc_id")
-    x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))  # at most ``rows`` rows, or more where an id repeats
-    return lex, fit(x, got["y"].to_numpy(), got["fold"].to_numpy(bool))
+    """Lexicon and calibrated trees. Neither sees the rows of the calibration fold."""
+    with scratch():
+        train = training_rows(docs, labels, rows)
+        lex = learn_lexicon(train.filter("NOT fold"))
+
+        @F.pandas_udf("array<double>")
+        def dense(text: pd.Series) -> pd.Series:
+            return pd.Series([features(t, lex) for t in text])
+
+        got = train.select(dense("text").alias("x"), "toxic", "fold", "doc_id").toPandas().sort_values("doc_id")  # at most ``rows`` rows
+    x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
+    return lex, fit(x, got["toxic"].to_numpy(), got["fold"].to_numpy(bool))
 
 
 def score_column(lex: Lexicon, trees: Trees):

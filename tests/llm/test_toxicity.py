@@ -72,3 +72,19 @@ def test_features():
 def test_letter_runs():
     for text, want in (("", 0), ("aab", 0), ("aaa", 1), ("aaaa", 1), ("aaabbb", 2), ("aaa aaa", 2), ("111", 0), ("ééé", 0), ("xaaayyy zzz", 3)):
         assert tx.letter_runs(text) == want, text
+
+
+def test_calibration_fold_is_unseen_and_ids_count_once(spark):
+    docs, labels = corpus(300)
+    d, lab = spark.createDataFrame(docs + [(0, "another text of an id"), (5, None)] * 3, "doc_id long, text string"), spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int")
+    rows = tx.training_rows(d, lab).collect()
+    ids = [x["doc_id"] for x in rows]
+    assert len(ids) == len(set(ids)) and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
+    assert 0.1 < sum(x["fold"] for x in rows) / len(rows) < 0.35
+    assert len(tx.training_rows(d, lab, 50).collect()) == 50
+    marked = spark.createDataFrame([(x["doc_id"], x["text"] + (" foldword" * (x["toxic"] and x["fold"])), x["toxic"], x["fold"]) for x in rows], "doc_id long, text string, toxic int, fold boolean")
+    assert "foldword" in tx.learn_lexicon(marked, support=1).words
+    assert "foldword" not in tx.learn_lexicon(marked.filter("NOT fold"), support=1).words
+    seen = {x["doc_id"]: x["text"] for x in rows}
+    lex, _ = tx.train_model(marked.select("doc_id", "text"), lab)
+    assert "foldword" not in lex.words and seen
