@@ -51,6 +51,7 @@ SMALL = 32
 CHUNK = 1 << 15  # words that are sketched together
 FREQUENT = 1 << 16  # words whose frequency is known when pairs across groups are sought; for speed only
 COMMON = 1 << 12  # words of a cluster's chosen text that come last then; for speed only
+DEALT = 2000  # texts that a task posts, about
 BEFORE = 256  # earlier words of a text that are looked at when it meets another; with more, a pair may be named twice
 BITMAP_LOG2 = 27  # 16 MB
 _MAX = np.uint64(2**64 - 1)
@@ -114,15 +115,28 @@ def _sketch(texts: list[list[bytes]]) -> np.ndarray:
 
 def sketches(texts) -> pd.DataFrame:
     """Number of words and sketches (signed 64-bit numbers; none without words) of each text."""
-    split = [words_of(t) for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(split)
-    some = np.flatnonzero(n)
-    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(n[some]) // CHUNK)) + 1):
-        if len(part):
-            for i, row in zip(part, _sketch([split[i] for i in part]).view(np.int64), strict=True):
+    n, out, rows, held = [], [np.zeros(0, np.int64)] * len(texts), [], []
+
+    def finish() -> None:
+        if rows:
+            for i, row in zip(rows, _sketch(held).view(np.int64), strict=True):
                 out[i] = row
-    return pd.DataFrame({"n": n, "sketch": out})
+        rows.clear()
+        held.clear()
+
+    many = 0
+    for i, text in enumerate(texts):
+        w = words_of(text)
+        n.append(len(w))
+        if w:
+            if many + len(w) > CHUNK:
+                finish()
+                many = 0
+            many += len(w)
+            rows.append(i)
+            held.append(w)
+    finish()
+    return pd.DataFrame({"n": np.array(n, np.int64), "sketch": out})
 
 
 # --- alignment -------------------------------------------------------------------------------------------------------
@@ -370,7 +384,9 @@ def _posts(opened: DataFrame, texts: DataFrame) -> DataFrame:
                 cluster, place = (np.concatenate(x) for x in zip(*places, strict=True))
                 yield pd.DataFrame({"cluster": cluster, "place": place, "key": batch["key"].to_numpy()[of], "n": batch["n"].to_numpy()[of], "rest": np.concatenate(rests), "own": np.concatenate(own)})
 
-    posts = materialize(held.mapInPandas(posted, "cluster long, place long, key binary, n long, rest long, own long"), "posts")
+    # Dealt by key: a text makes many rows, and the file splits of a small table would be few tasks.
+    tasks = max(2 * held.sparkSession.sparkContext.defaultParallelism, held.count() // DEALT)
+    posts = materialize(held.repartition(tasks, "key").mapInPandas(posted, "cluster long, place long, key binary, n long, rest long, own long"), "posts")
     places = materialize(posts.groupBy("place").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("place"), "places")
     met = maybe_in(posts, "place", places).join(places, "place")
     met = met.groupBy("cluster", "key", "n", "own").agg(F.array_sort(F.collect_list(F.struct((-F.col("rest")).alias("left"), "place"))).alias("p"))  # of one text
