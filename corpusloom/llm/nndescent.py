@@ -6,17 +6,19 @@ random-projection leaves. Each round of NN-descent joins every node's neighbours
 neighbours of neighbours that beat a node's worst neighbour replace it. A search keeps a beam of the best nodes seen by
 each query and expands all that are not yet expanded, until none is left.
 
-At scale: nodes are dealt by hash into blocks, two for each core of the cluster and of at most about ``BLOCK`` nodes. A
-block receives each vector that it needs once, whatever the number of its edges to it. What a block sends on is cut to what can still matter: the best
-``NEIGHBOURS`` per node, the best ``BEAM`` per query. Reverse lists are sampled where they are made, so a hub sends a
+At scale: nodes are dealt by hash into blocks, two for each core of the cluster, and more where one would receive more than
+``BLOCK_BYTES`` of vectors. A block receives each vector that it needs once, whatever the number of its edges to it, and a
+search sends only the vectors of the nodes that its frontier asks for. What a block sends on is cut to what can still
+matter: the best ``NEIGHBOURS`` per node, the best ``BEAM`` per query. Reverse lists are sampled where they are made, so a hub sends a
 bounded number of edges per task. Queries are distinct vectors; copies are expanded at the end.
 
 Parameters: ``NEIGHBOURS`` in the graph, ``REVERSE`` sampled reverse neighbours, ``ROUNDS`` at most, ``BEAM`` nodes kept
 per query. The graph holds every row; recall against brute force is part of the tests.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an
-id or of another dimension than most; of rows that share an id, the least vector counts; copies of a query are
-candidates; with too few candidates all are returned; an empty table gives an empty result.
+id or of another dimension than most (of two dimensions that tie, the smaller stays); of rows that share an id, the least
+vector counts, so repeated rows are one; copies of a query are candidates; equal scores go by id; with too few candidates
+all are returned; further columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, scratch
 
 NEIGHBOURS = 32
 REVERSE = 32
@@ -35,7 +37,7 @@ ROUNDS = 4
 SETTLED = 0.02  # share of new edges below which the graph is taken as it is
 BEAM = 160
 HOPS = 30
-BLOCK = 16_384  # nodes at most, on average
+BLOCK_BYTES = 128 << 20  # of vectors that a block of the graph receives, about and at most
 LEAF = 512
 TREES = 2
 EXTRA = 8  # nodes more than wanted that are scored again in double precision
@@ -80,10 +82,15 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 
 
 def build_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (vec_id, node, embedding) and nodes (node, vec): equal vectors share a node."""
-    members = materialize(vectors.select("vec_id", F.xxhash64("embedding").alias("node"), "embedding"), "members")
+    """Members (vec_id, node, embedding) and nodes (node, vec): equal vectors share a node.
+
+    Nodes are numbered in a written table of the distinct vectors, so no two vectors share a number; vectors are told
+    apart by 128 bits of their components.
+    """
+    bits = F.unhex(F.md5(F.concat_ws(",", F.transform("embedding", lambda x: (x + 0.0).cast("string"))).cast("binary")))
+    named = materialize(vectors.select("vec_id", bits.alias("bits"), "embedding"), "vectors")
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    longest = members.agg(F.max(square)).first()[0] or 0.0
+    longest = named.agg(F.max(square)).first()[0] or 0.0
 
     @F.pandas_udf("binary")
     def lift(rows: pd.Series) -> pd.Series:
@@ -91,8 +98,13 @@ def build_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         last = np.sqrt(np.maximum(0, longest - (x * x).sum(axis=1)))
         return pd.Series([r.tobytes() for r in np.column_stack([x, last]).astype(np.float32)])
 
-    nodes = members.groupBy("node").agg(F.any_value("embedding").alias("embedding"))
-    return members, materialize(nodes.select("node", lift("embedding").alias("vec")), "nodes")
+    distinct = named.groupBy("bits").agg(F.any_value("embedding").alias("embedding"))
+    distinct = materialize(distinct.select("bits", lift("embedding").alias("vec")), "distinct-vectors")
+    numbered = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "numbered-vectors")
+    members = materialize(named.join(numbered.select("bits", "node"), "bits").select("vec_id", "node", "embedding"), "members")
+    nodes = materialize(numbered.select("node", "vec"), "nodes")
+    forget(named, distinct, numbered)
+    return members, nodes
 
 
 # --- the graph -----------------------------------------------------------------------------------------------------
@@ -145,7 +157,7 @@ def _merge(k: int):
 
 
 def _block(col: str, blocks: int):
-    return F.pmod(F.col(col), F.lit(blocks)).cast("int").alias("block")
+    return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int").alias("block")
 
 
 def merge_edges(edges: DataFrame, blocks: int, k: int) -> DataFrame:
@@ -223,7 +235,7 @@ def _local_join(k: int, reverse: int):
 
 
 def descend(edges: DataFrame, nodes: DataFrame, blocks: int, turn: int, k: int = NEIGHBOURS, reverse: int = REVERSE) -> DataFrame:
-    """One round: join neighbours of neighbours, keep the best."""
+    """One round: join neighbours of neighbours, keep the best. ``edges`` is a written table, which the result replaces."""
     lists = materialize(neighbour_lists(edges, reverse, turn).withColumn("block", _block("owner", blocks)), "lists")
     worst = edges.groupBy("u").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
     worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")).cast("float").alias("worst"))
@@ -231,19 +243,22 @@ def descend(edges: DataFrame, nodes: DataFrame, blocks: int, turn: int, k: int =
     asked = lists.select(F.col("block").alias("to"), F.col("member").alias("node")).distinct()
     vectors = asked.join(known, "node").select("to", "node", "vec", "worst")
     found = lists.groupBy("block").cogroup(vectors.groupBy("to")).applyInPandas(_local_join(k, reverse), EDGES)
-    return merge_edges(edges.withColumn("new", F.lit(False)).unionByName(found), blocks, k)
+    better = materialize(merge_edges(edges.withColumn("new", F.lit(False)).unionByName(found), blocks, k), "edges")
+    forget(lists, edges)
+    return better
 
 
 def build_graph(nodes: DataFrame, rounds: int = ROUNDS, k: int = NEIGHBOURS, seed: int = 11) -> tuple[DataFrame, int]:
     """Edges (u, v, score, new) of every node, and the number of blocks."""
     n = nodes.count()
-    blocks = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK))  # as many as run at once, more where memory asks for it
+    blocks = 2 * nodes.sparkSession.sparkContext.defaultParallelism  # as many as run at once, more where memory asks for it
     if not n:
         return nodes.sparkSession.createDataFrame([], EDGES), blocks
+    blocks = max(blocks, -(-n * (k + REVERSE) * len(nodes.first()["vec"]) // BLOCK_BYTES))
     start = _leaves(nodes, n, TREES, LEAF, seed).groupBy("leaf", "part").applyInPandas(_leaf_neighbours(k), EDGES)
     edges = materialize(merge_edges(start, blocks, k), "edges")
     for turn in range(rounds):
-        edges = materialize(descend(edges, nodes, blocks, turn, k), "edges")
+        edges = descend(edges, nodes, blocks, turn, k)
         fresh = edges.filter("new").count()
         if fresh < SETTLED * n * k:
             break
@@ -301,71 +316,82 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, blocks: int,
         some = nodes.select("node").orderBy("node").limit(16)
         entries = queries.select("q", F.explode(F.array(*[F.lit(r[0]) for r in some.collect()]))).toDF("q", "node")
     q_blocks = max(1, -(-queries.count() // 1024))
-    everything = nodes.select(_block("node", blocks).alias("to"), F.col("node").alias("id"), "vec", F.lit(False).alias("query"), F.lit(0.0).cast("float").alias("worst"))
 
     def scored(pairs: DataFrame, worst: DataFrame | None) -> DataFrame:
-        pairs = materialize(pairs.withColumn("block", _block("node", blocks)), "pairs")
         asked = pairs.select(F.col("block").alias("to"), "q").distinct().join(queries, "q")
         low = F.lit(float("-inf")).cast("float")
         asked = asked.withColumn("worst", low) if worst is None else asked.join(worst, "q", "left").withColumn("worst", F.coalesce("worst", low))
         asked = asked.select("to", F.col("q").alias("id"), "vec", F.lit(True).alias("query"), "worst")
-        both = everything.unionByName(asked)
+        # Only the vectors of nodes that the frontier asks for are sent.
+        sent = pairs.select("node").distinct().join(nodes, "node")
+        sent = sent.select(_block("node", blocks).alias("to"), F.col("node").alias("id"), "vec", F.lit(False).alias("query"), F.lit(0.0).cast("float").alias("worst"))
+        both = sent.unionByName(asked)
         return pairs.groupBy("block").cogroup(both.groupBy("to")).applyInPandas(_score_pairs(beam), "q long, node long, score float")
 
     def merged(rows: DataFrame) -> DataFrame:
         by = F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("q_block")
         return materialize(rows.groupBy(by).applyInPandas(_merge_beam(beam), state_of), "beam")
 
-    state = merged(scored(entries.select("q", "node"), None).withColumn("expanded", F.lit(False)))
+    def placed(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.withColumn("block", _block("node", blocks)), "pairs")
+
+    pairs = placed(entries.select("q", "node"))
+    state = merged(scored(pairs, None).withColumn("expanded", F.lit(False)))
     for _ in range(HOPS):
+        forget(pairs)
         frontier = state.filter("NOT expanded").select("q", "node")
         if frontier.isEmpty():
             break
-        pairs = frontier.join(adjacency, F.col("node") == F.col("owner")).select("q", F.explode("near").alias("node"))
+        pairs = placed(frontier.join(adjacency, F.col("node") == F.col("owner")).select("q", F.explode("near").alias("node")))
         worst = state.groupBy("q").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
         worst = worst.filter(F.col("n") >= beam).select("q", F.col("low").alias("worst"))
         found = scored(pairs, worst).withColumn("expanded", F.lit(False))
-        state = merged(state.withColumn("expanded", F.lit(True)).unionByName(found))
+        old, state = state, merged(state.withColumn("expanded", F.lit(True)).unionByName(found))
+        forget(old, collect=False)
     return state.select("q", "node", "score")
 
 
 def nearest(table: DataFrame, wanted: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest other rows of each row whose vec_id is divisible by ``every``."""
-    members, nodes = build_nodes(valid_vectors(table))
-    edges, blocks = build_graph(nodes)
-    asked = members.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "node", "embedding")
-    starts = asked.select("node").distinct()
-
-    @F.pandas_udf("binary")
-    def flat(rows: pd.Series) -> pd.Series:
-        x = np.array(rows.tolist(), float)
-        return pd.Series([r.tobytes() for r in np.column_stack([x, np.zeros(len(x))]).astype(np.float32)])
-
-    vec_of = asked.groupBy("node").agg(F.any_value("embedding").alias("embedding"))
-    queries = vec_of.select(F.col("node").alias("q"), flat("embedding").alias("vec"))
-    entries = starts.select(F.col("node").alias("q"), "node")  # a query is a node of the graph and starts at itself
-    beams = search(queries, nodes, edges, blocks, entries=entries)
-    best = beams.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node"))).filter(F.col("nth") <= wanted + EXTRA)
-
-    originals = members.groupBy("node").agg(F.any_value("embedding").alias("there"))
-    few = members.select("node", "vec_id").withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("vec_id")))
-    few = few.filter(F.col("nth") <= wanted + 1).select("node", "vec_id")
-    product = F.aggregate(F.zip_with("here", "there", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    exact = (
-        best.select("q", "node")
-        .join(vec_of.select(F.col("node").alias("q"), F.col("embedding").alias("here")), "q")
-        .join(originals, "node")
-        .select("q", "node", product.alias("score"))
-        .join(few, "node")
-    )
-    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    exact = materialize(exact.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= wanted + 1).select("q", "vec_id", "score"), "nearest")
-    lists = exact.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("near"))
-    own = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).join(lists, "q")
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, wanted)
-    return own.select("query_id", F.posexplode(others)).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.minus")).alias("score")
-    )
+    with scratch() as keep:
+        members, nodes = build_nodes(valid_vectors(table))
+        edges, blocks = build_graph(nodes)
+        asked = members.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "node", "embedding")
+        starts = asked.select("node").distinct()
+
+        @F.pandas_udf("binary")
+        def flat(rows: pd.Series) -> pd.Series:
+            x = np.array(rows.tolist(), float)
+            return pd.Series([r.tobytes() for r in np.column_stack([x, np.zeros(len(x))]).astype(np.float32)])
+
+        vec_of = asked.groupBy("node").agg(F.any_value("embedding").alias("embedding"))
+        queries = vec_of.select(F.col("node").alias("q"), flat("embedding").alias("vec"))
+        entries = starts.select(F.col("node").alias("q"), "node")  # a query is a node of the graph and starts at itself
+        beams = search(queries, nodes, edges, blocks, entries=entries)
+        best = beams.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node"))).filter(F.col("nth") <= wanted + EXTRA)
+
+        originals = members.groupBy("node").agg(F.any_value("embedding").alias("there"))
+        few = members.select("node", "vec_id").withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("vec_id")))
+        few = few.filter(F.col("nth") <= wanted + 1).select("node", "vec_id")
+        product = F.aggregate(F.zip_with("here", "there", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        exact = (
+            best.select("q", "node")
+            .join(vec_of.select(F.col("node").alias("q"), F.col("embedding").alias("here")), "q")
+            .join(originals, "node")
+            .select("q", "node", product.alias("score"))
+            .join(few, "node")
+        )
+        order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        exact = materialize(exact.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= wanted + 1).select("q", "vec_id", "score"), "nearest")
+        lists = exact.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("near"))
+        own = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).join(lists, "q")
+        others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, wanted)
+        found = own.select("query_id", F.posexplode(others)).select(
+            "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.minus")).alias("score")
+        )
+        found = materialize(found, "found")
+        keep(found)
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
