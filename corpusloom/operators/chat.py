@@ -122,11 +122,18 @@ def collate(rows: DataFrame, batch: str = "batch_id", max_length: int = 4096, pa
     )
 
 
-COLLATORS = {"pretrain": None, "sft": collate}
+def stack(rows: DataFrame, batch: str = "batch_id", order: str = "pos_in_batch") -> DataFrame:
+    """(batch, input_ids, labels): packed rows of one length as matrices, labels being the ids; a batch is small by its setting."""
+    parts = rows.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(order, "input_ids"))).alias("parts"))
+    ids = F.transform("parts", lambda p: p["input_ids"])
+    return parts.select(batch, ids.alias("input_ids"), ids.alias("labels"))
+
+
+COLLATORS = {"pretrain": stack, "sft": collate}
 
 
 def collator(mode: str):
-    """The collating function of a mode; pretraining rows have equal lengths and need none."""
+    """The collating function of a mode; pretraining rows have equal lengths and are stacked."""
     from .preference import collate_pairs
 
     known = COLLATORS | {"dpo": collate_pairs}

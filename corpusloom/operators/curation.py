@@ -49,6 +49,11 @@ def filter_quality(docs: DataFrame, domain: str | None = None, rules: QualityRul
     return docs.filter(tx.present(F.col("text")) & passes)
 
 
+def allow(docs: DataFrame, domains: tuple[str, ...] = DOMAINS, domain: str = "source") -> DataFrame:
+    """Rows of the listed domains; a null domain is none of them."""
+    return docs.filter(F.col(domain).isin(*domains))
+
+
 def reason_counts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Rows by outcome."""
     return docs.groupBy(F.coalesce(reason(F.col("text"), rules), F.lit("pass")).alias("reason")).agg(F.count(F.lit(1)).alias("n_docs"))

@@ -8,6 +8,7 @@ sequence, so no stream passes through one task and nothing but a sequence's own
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_digest
@@ -62,6 +63,14 @@ def rechunk(rows: DataFrame, length: int, order: str, ids: str = "input_ids") ->
     return pack(flat, length, order, bos=False, eos=False)
 
 
+def number_sequences(packed: DataFrame, within: tuple[str, ...], unit: str, seq: str = "seq_id") -> DataFrame:
+    """``seq`` numbered on from unit (file) to unit within each of ``within``: dense, units in the order of their names."""
+    counts = packed.groupBy(*within, unit).agg(F.count(F.lit(1)).alias("_n"))  # one row a file
+    before = F.sum("_n").over(W.partitionBy(*within).orderBy(unit).rowsBetween(W.unboundedPreceding, -1))
+    first = counts.select(*within, unit, F.coalesce(before, F.lit(0)).cast("long").alias("_before"))
+    return packed.join(first, [*within, unit]).withColumn(seq, F.col(seq) + F.col("_before")).drop("_before")
+
+
 def shard(sequences: DataFrame, size: int, seq: str = "seq_id", first_shard: int = 0) -> DataFrame:
     """``shard_id`` and place of dense sequence numbers; the last shard may be smaller."""
     return sequences.withColumn("shard_id", F.floor(F.col(seq) / size) + first_shard).withColumn("row_in_shard", F.col(seq) % size)
@@ -92,10 +101,14 @@ def holdout(docs: DataFrame, key: str, share: float, seed: int = 7) -> Column:
     return u01(seed, F.col(key)) < share
 
 
-def packing_metadata(sequences: DataFrame, length: int, shard_size: int, split: str = "split") -> DataFrame:
-    """One row: sequences and tokens by split, with the settings."""
+def packing_metadata(
+    sequences: DataFrame, length: int, shard_size: int, split: str = "split", input_dir: str = "", output_dir: str = "", tokenizer_profile: str = "standard", n_input_files: int = 0
+) -> DataFrame:
+    """One row: the settings, and sequences and tokens by split."""
     n = lambda s: F.sum(F.when(F.col(split) == s, 1).otherwise(0)).cast("long")
-    return sequences.agg(n("train").alias("train_sequences"), n("val").alias("val_sequences")).select(
+    sums = sequences.agg(F.coalesce(n("train"), F.lit(0)).cast("long").alias("train_sequences"), F.coalesce(n("val"), F.lit(0)).cast("long").alias("val_sequences"))
+    return sums.select(
+        F.lit(input_dir).alias("input_dir"), F.lit(output_dir).alias("output_dir"), F.lit(tokenizer_profile).alias("tokenizer_profile"), F.lit(n_input_files).cast("long").alias("n_input_files"),
         F.lit(length).cast("long").alias("seq_len"), F.lit(shard_size).cast("long").alias("shard_size"), "train_sequences", "val_sequences",
         (F.col("train_sequences") * length).alias("train_tokens"), (F.col("val_sequences") * length).alias("val_tokens"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,6 +90,24 @@ def checkpoint_due(tokens: Column, every: int, batch_tokens: int, minutes: Colum
     return due | (minutes >= most) if minutes is not None else due
 
 
+def checkpoint_times(steps: DataFrame, run: str, order: str, tokens: str, seconds: str, every: int, batch_tokens: int, most: float = 20.0) -> DataFrame:
+    """``steps`` with ``due``: by tokens, or where ``most`` minutes have passed since the last save or the run's first second.
+
+    Each save starts the clock anew, so a run is a fold over its steps: its narrow rows meet in one group, runs side by side.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        last, due = rows[seconds].iloc[0], []
+        for n, at in zip(rows[tokens], rows[seconds], strict=True):
+            due.append(bool(n % every < batch_tokens or (at - last) / 60.0 >= most))
+            last = at if due[-1] else last
+        return rows[[run, order]].assign(due=due)
+
+    return steps.select(run, order, tokens, seconds).groupBy(run).applyInPandas(fold, f"{run} {kind[run]}, {order} {kind[order]}, due boolean")
+
+
 def surplus_checkpoints(saved: DataFrame, keep: int, order: str, ties: str, run: tuple[str, ...] = ()) -> DataFrame:
     """Regular checkpoints beyond the newest ``keep``; emergency saves are left alone."""
     w = W.partitionBy(*run).orderBy(F.desc(order), F.desc(ties))

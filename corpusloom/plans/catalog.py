@@ -140,6 +140,11 @@ def exact_dedup(spark, sf):
     return curation.curate(documents(spark, sf), domain=None).select("doc_id", "source", "n_chars")
 
 
+@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src4', 'src7')")
+def domain_allow_list(spark, sf):
+    return curation.allow(documents(spark, sf), ("src1", "src4", "src7")).select("doc_id", "source")
+
+
 @query(f"""SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source, {STRIP_KEY} ORDER BY doc_id) AS rn
  FROM documents WHERE text <> '') WHERE rn = 1""")
 def exact_dedup_by_domain(spark, sf):
@@ -245,10 +250,11 @@ def train_val_split(spark, sf):
 
 @query(f"""WITH {SPLIT}, t AS (SELECT split, CAST(sum(length(text) + 2) AS BIGINT) // 2048 AS n FROM documents JOIN sp USING (source) GROUP BY split),
 m AS (SELECT CAST(coalesce(sum(n) FILTER (WHERE split = 'train'), 0) AS BIGINT) AS tr, CAST(coalesce(sum(n) FILTER (WHERE split = 'val'), 0) AS BIGINT) AS va FROM t)
-SELECT CAST(2048 AS BIGINT) AS seq_len, CAST(100 AS BIGINT) AS shard_size, tr AS train_sequences, va AS val_sequences, tr * 2048 AS train_tokens, va * 2048 AS val_tokens FROM m""")
+SELECT 'documents' AS input_dir, 'packed' AS output_dir, 'standard' AS tokenizer_profile, (SELECT count(DISTINCT source) FROM documents) AS n_input_files, CAST(2048 AS BIGINT) AS seq_len, CAST(100 AS BIGINT) AS shard_size, tr AS train_sequences, va AS val_sequences, tr * 2048 AS train_tokens, va * 2048 AS val_tokens FROM m""")
 def packing_meta(spark, sf):
     split = packing.split_units(documents(spark, sf), "source", 0.15).select("doc_id", "split", tokens.encode(F.col("text")).alias("ids"))
-    return packing.packing_metadata(packing.pack(split, 2048, streams=("split",)), 2048, 100)
+    n_files = documents(spark, sf).agg(F.count_distinct("source")).first()[0]
+    return packing.packing_metadata(packing.pack(split, 2048, streams=("split",)), 2048, 100, input_dir="documents", output_dir="packed", n_input_files=n_files)
 
 
 @query("SELECT doc_id, rn // 64 AS shard_id, rn % 64 AS row_in_shard FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)")
@@ -257,6 +263,14 @@ def shard_index(spark, sf):
     return packing.shard(rows, 64).select("doc_id", "shard_id", "row_in_shard")
 
 
+@query(f"""WITH p AS ({pack_sql(2048)}) SELECT CAST(seq_id // 8 AS BIGINT) AS batch_id, count(*) AS n_rows, md5(string_agg(ids_md5, ',' ORDER BY seq_id)) AS rows_md5 FROM p GROUP BY 1""")
+def pretrain_batches(spark, sf):
+    rows = packing.pack(encoded(spark, sf), 2048)
+    rows = rows.select((F.floor(F.col("seq_id") / 8)).cast("long").alias("batch_id"), (F.col("seq_id") % 8).alias("pos_in_batch"), "input_ids")
+    each = F.transform("labels", lambda ids: F.md5(F.array_join(ids.cast("array<string>"), ",")))
+    return chat.collator("pretrain")(rows).select("batch_id", F.size("input_ids").cast("long").alias("n_rows"), F.md5(F.array_join(each, ",")).alias("rows_md5"))
+
+
 CURATED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, {STRIP_KEY} ORDER BY doc_id) AS rn
  FROM documents WHERE text <> '' AND {REASON} IS NULL) WHERE rn = 1)"""
 
@@ -527,6 +541,15 @@ def checkpoint_trigger(spark, sf):
     return token_runs(spark, sf).select("event_id", telemetry.checkpoint_due(F.col("tokens"), 200_000, 50_000).alias("due"))
 
 
+@query(f"""WITH RECURSIVE {STEPS}, t AS ({CUM}), x AS (SELECT s.user_id, s.step, t.tokens, CAST(floor(epoch(s.ts)) AS BIGINT) AS sec FROM t JOIN s USING (event_id)),
+f AS (SELECT user_id, step, tokens % 200000 < 50 AS due, sec AS last FROM x WHERE step = 1
+ UNION ALL SELECT x.user_id, x.step, x.tokens % 200000 < 50 OR (x.sec - f.last) / 60.0::DOUBLE >= 1500, CASE WHEN x.tokens % 200000 < 50 OR (x.sec - f.last) / 60.0::DOUBLE >= 1500 THEN x.sec ELSE f.last END FROM f JOIN x ON x.user_id = f.user_id AND x.step = f.step + 1)
+SELECT user_id, step, due FROM f""")
+def checkpoint_times(spark, sf):
+    rows = token_runs(spark, sf).select("event_id", "tokens").join(steps(spark, sf).select("event_id", "user_id", "step", F.unix_timestamp("ts").alias("at")), "event_id")
+    return telemetry.checkpoint_times(rows, "user_id", "step", "tokens", "at", 200_000, 50, 1500.0)
+
+
 @query("""SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 7 <> 0) WHERE rn > 3""")
 def topn_rotation(spark, sf):
     saved = table(spark, sf, "events").withColumn("is_emergency", F.col("event_id") % 7 == 0)
@@ -684,6 +707,13 @@ def composition(spark, sf):
     return corpus_rules.composition(documents(spark, sf), "lang", F.length("text")).withColumn("share", F.round("share", 9))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM w WHERE len(w) > 0),
+sig AS (SELECT doc_id, count(*) AS n, md5(string_agg(md5(s), ',' ORDER BY md5(s))) AS sig FROM sh GROUP BY doc_id),
+least AS (SELECT *, min(doc_id) OVER (PARTITION BY sig) AS rep FROM sig),
+met AS (SELECT a.doc_id AS key_a, b.doc_id AS key_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+ WHERE a.doc_id IN (SELECT rep FROM least) AND b.doc_id IN (SELECT rep FROM least) GROUP BY 1, 2),
+j AS (SELECT key_a, key_b, c / (x.n + y.n - c)::DOUBLE AS jaccard FROM met JOIN sig x ON x.doc_id = key_a JOIN sig y ON y.doc_id = key_b)
+SELECT key_a, key_b, jaccard FROM j WHERE jaccard >= 0.8 UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM least WHERE doc_id <> rep""")
 def shingle_near_duplicates(spark, sf):
     return corpus_rules.shingle_jaccard(documents(spark, sf).select("doc_id", "text"))

@@ -6,6 +6,7 @@ NumPy files are bytes to Spark: they are read as binary files by the executors a
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,30 @@ def read_sft(spark: SparkSession, path: str, length: int, most: int | None = Non
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "file", F.lit("|"), F.col("row").cast("string")))).limit(most)  # the sample is the feature
 
 
+PAIR_ARRAYS = ("chosen_full_ids", "rejected_full_ids", "chosen_loss_mask", "rejected_loss_mask")
+
+
+def read_preference_arrays(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(file, row, ids and masks of both sides) of preference archives, the first ``most`` by file and row.
+
+    Archives that cannot be read or lack an array are left out; so are pickled arrays, because unpickling runs code.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path_, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                        sides = {name: z[name] for name in PAIR_ARRAYS}
+                except (ValueError, KeyError, OSError, zipfile.BadZipFile):
+                    continue
+                n = len(sides[PAIR_ARRAYS[0]])
+                yield pd.DataFrame({"file": path_, "row": np.arange(n), **{k: list(v.astype(np.int32)) for k, v in sides.items()}})
+
+    rows = _files(spark, path, "*.npz").mapInPandas(parse, "file string, row long, " + ", ".join(f"{n} array<int>" for n in PAIR_ARRAYS))
+    return rows.orderBy("file", "row").limit(most) if most else rows  # a limit is the feature
+
+
 def write_shards(sequences: DataFrame, path: str, partition_by: tuple[str, ...] = ("split",)) -> None:
     """Packed sequences as Parquet; the committer makes each write whole or absent."""
     sequences.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -86,9 +86,12 @@ def turns(conversations: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 
 
 def read_token_pairs(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Tokenized preference pairs of JSON lines, the first ``most`` in file order."""
+    """Tokenized preference pairs of JSON lines, the first ``most`` by file and line."""
     rows = spark.read.schema(PAIR_TOKENS).option("mode", "FAILFAST").json(path)
-    return rows.limit(most) if most else rows  # a limit is the feature
+    if not most:
+        return rows
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    return rows.select("*", *place).orderBy("_file", "_block", "_line").limit(most).drop("_file", "_block", "_line")  # a limit is the feature
 
 
 def read_raw_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -108,3 +108,46 @@ def test_layout(spark, tmp_path):
     first = layout.write_once(spark.createDataFrame([("a",)], "text string"), once)
     again = layout.write_once(spark.createDataFrame([("b",)], "text string"), once)
     assert [r["text"] for r in again.collect()] == [r["text"] for r in first.collect()] == ["a"]
+
+
+def test_preference_arrays_and_first_rows(spark, tmp_path):
+    base = str(tmp_path / "pairs")
+    os.makedirs(base)
+    for name, n in (("b", 3), ("a", 2)):
+        np.savez(f"{base}/{name}.npz", **{k: np.full((n, 4), ord(name)) + np.arange(n)[:, None] for k in arrays.PAIR_ARRAYS})
+    np.savez(f"{base}/c.npz", other=np.zeros(3))
+    put(f"{base}/broken.npz", b"PK no archive")
+    rows = arrays.read_preference_arrays(spark, base).collect()
+    assert len(rows) == 5 and set(rows[0].asDict()) == {"file", "row", *arrays.PAIR_ARRAYS}
+    first = arrays.read_preference_arrays(spark, base, 3).collect()
+    assert [r["chosen_full_ids"][0] for r in first] == [97, 98, 98]
+    for k in range(3):
+        put(f"{base}/t{k}.jsonl", "\n".join(json.dumps({"prompt_ids": [10 * k + i], "chosen_ids": [2], "rejected_ids": [3]}) for i in range(4)))
+    got = text.read_token_pairs(spark, f"{base}/*.jsonl", 6).collect()
+    assert [r["prompt_ids"][0] for r in got] == [0, 1, 2, 3, 10, 11]
+
+
+def test_preprocess_all(spark, tmp_path):
+    from corpusloom.operators import packing
+    from corpusloom.plans.preprocess import preprocess_all
+
+    prose = lambda i: f"Some words of document {i} that go on and on for long enough. " * 5
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    lines = lambda key, ids: "\n".join(json.dumps({key: prose(i)}) for i in ids)
+    put(f"{raw}/wikipedia/a.jsonl", lines("text", [1, 2, 1, 3]) + "\n" + json.dumps({"text": "too short"}))
+    put(f"{raw}/wikipedia/b.jsonl", lines("text", [3, 4]))
+    put(f"{raw}/thestack/a.jsonl", lines("content", [7]) + "\n" + json.dumps({"content": "short code" * 9}))
+    put(f"{raw}/stackexchange/a.jsonl", lines("body", [8, 9]))
+    put(f"{raw}/books/nothing.csv", "1")
+    manifest = {r["domain"]: r for r in preprocess_all(spark, raw, out, length=64, shard_size=3, fraction=0.5).collect()}
+    assert set(manifest) == {"wikipedia", "thestack", "stackexchange", "books"}
+    assert "FileNotFoundError" in manifest["books"]["error"] and manifest["wikipedia"]["error"] is None
+    n = len(prose(1)) + 2
+    wiki = spark.read.parquet(f"{out}/wikipedia").collect()
+    assert len(wiki) == 3 * n // 64 + n // 64 and manifest["wikipedia"]["n_input_files"] == 2
+    for split in ("train", "val"):
+        mine = sorted((r["shard_id"], r["row_in_shard"]) for r in wiki if r["split"] == split)
+        assert mine == [(k // 3, k % 3) for k in range(len(mine))] and len(mine) == manifest["wikipedia"][f"{split}_sequences"]
+    assert len(spark.read.parquet(f"{out}/thestack").collect()) == (n + 90 + 2) // 64  # code is not filtered
+    assert os.path.exists(f"{out}/preprocessing_manifest.json")
+    assert packing.next_shard(spark.read.parquet(f"{out}/wikipedia").filter("split = 'train'")) >= 1
