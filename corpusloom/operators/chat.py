@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import range_bucket
+from ..functions.tables import written
 from .tokens import BOS, PAD, SPECIAL, CodePoints, Tokenizer, encode
 
 IGNORED = -100
@@ -64,27 +69,68 @@ def mask_coverage(rows: DataFrame, mask: str = "loss_mask") -> DataFrame:
     return rows.agg((F.sum(ones) / F.sum(F.size(mask))).alias("coverage"))
 
 
-def next_fit_bins(lengths: DataFrame, capacity: int, order: str = "conv_id", streams: tuple[str, ...] = ()) -> DataFrame:
-    """(streams, order, bin, start): a bin closes when the next row would exceed it.
+def _next_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a bin that starts at each row: where the next one starts, how many follow, and what the last one holds."""
+    n, total = len(lengths), np.r_[0, np.cumsum(lengths)]
+    following = np.maximum(np.arange(n) + 1, np.searchsorted(total, total[:-1] + capacity, side="right") - 1)
+    bins, held = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for i in range(n - 1, -1, -1):
+        if not lengths[i] and i + 1 < n:  # the bin is still empty
+            following[i] = following[i + 1]
+        k = following[i]
+        bins[i], held[i] = (bins[k] + 1, held[k]) if k < n else (0, total[n] - total[i])
+    return following, bins, held
+
+
+def next_fit_bins(lengths: DataFrame, capacity: int, order: str = "conv_id") -> DataFrame:
+    """(order, bin, start): a bin closes when the next row would exceed it.
 
-    Next fit is a fold over the stream, so a stream's (order, length) pairs, and nothing else, meet in one task; a
-    stream is a file, and files run side by side. Without ``streams`` there is one.
+    Next fit is a fold, but what a range of rows does with it depends only on how full the bin is that it finds, and then
+    on the row where that bin closes: a range gives one entry for each row that could be the one (no more than fit into a
+    bin). The driver goes through these entries, one range after the other; then all ranges place their rows side by side.
     """
-    fields = {f.name: f.dataType.simpleString() for f in lengths.schema.fields}
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        bins, starts, used, at = [], [], 0, 0
-        for n in rows["length"]:
-            if used and used + n > capacity:
-                at, used = at + 1, 0
-            bins.append(at)
-            starts.append(used)
-            used += n
-        return rows[[*streams, order]].assign(bin=bins, start=starts)
-
-    schema = ", ".join([*(f"{s} {fields[s]}" for s in streams), f"{order} {fields[order]}", "bin long", "start long"])
-    return lengths.select(*streams, order, "length").groupBy(*(streams or [F.lit("all")])).applyInPandas(fold, schema)
+    kind = {f.name: f.dataType.simpleString() for f in lengths.schema.fields}[order]
+    rows = written(lengths.select(order, F.col("length").cast("long").alias("length")), "lengths")
+    rows = rows.withColumn("range", range_bucket(rows, order))
+
+    def outcomes(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        n, total = group["length"].to_numpy(), np.cumsum(group["length"].to_numpy())
+        _, bins, held = _next_fit(n, capacity)
+        closing = np.flatnonzero((n > 0) & (np.r_[0, total[:-1]] < capacity))  # rows that may not fit into a bin that is found
+        return pd.DataFrame({
+            "range": [group["range"].iloc[0]], "upto": [total[closing].tolist()], "bins": [bins[closing].tolist()], "held": [held[closing].tolist()],
+            "all": [total[-1]], "fresh_bins": [bins[0]], "fresh_held": [held[0]],
+        })
+
+    schema = "range long, upto array<long>, bins array<long>, held array<long>, all long, fresh_bins long, fresh_held long"
+    at, used, starts = 0, 0, []
+    for r in rows.groupBy("range").applyInPandas(outcomes, schema).orderBy("range").collect():  # one row a range
+        starts.append((r["range"], at, used))
+        if not used:
+            at, used = at + r["fresh_bins"], r["fresh_held"]
+        elif (k := bisect_right(r["upto"], capacity - used)) < len(r["upto"]):
+            at, used = at + 1 + r["bins"][k], r["held"][k]
+        else:
+            used += r["all"]
+
+    def place(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        n, used = group["length"].to_numpy(), int(group["used"].iloc[0])
+        total = np.r_[0, np.cumsum(n)]
+        following, *_ = _next_fit(n, capacity)
+        first = int(np.argmax(np.r_[total[1:] > capacity - used, True])) if used else 0
+        bins, starts = np.zeros(len(n), np.int64), used + total[:-1]
+        k, b = first, int(bool(used))
+        while k < len(n):
+            to = following[k]
+            bins[k:to], starts[k:to] = b, total[k:to] - total[k]
+            k, b = to, b + 1
+        return pd.DataFrame({order: group[order], "bin": group["at"].iloc[0] + bins, "start": starts})
+
+    known = rows.sparkSession.createDataFrame(starts, "range long, at long, used long")
+    placed = rows.withColumn("range", F.col("range").cast("long")).join(F.broadcast(known), "range")  # one row a range
+    return placed.groupBy("range").applyInPandas(place, f"{order} {kind}, bin long, start long")
 
 
 def pack_next_fit(rows: DataFrame, capacity: int, order: str = "conv_id", split_last: bool = True) -> DataFrame:

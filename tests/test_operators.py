@@ -291,3 +291,25 @@ def test_packing_keeps_streams_without_a_name(spark):
     docs = spark.createDataFrame([(i, None if i % 2 else "s", [7] * 5) for i in range(20)], "doc_id long, source string, ids array<int>")
     out = packing.pack(docs, 7, streams=("source",)).groupBy("source").count().collect()
     assert {x["source"]: x["count"] for x in out} == {None: 10, "s": 10}
+
+
+def test_next_fit_over_ranges(spark):
+    from corpusloom.functions import ordering
+
+    r = random.Random(11)
+    for most, capacity in ((9, 10), (30, 40), (60, 40)):
+        lengths = [r.randint(1, most) for _ in range(700)]
+        at, used, want = 0, 0, {}
+        for i, n in enumerate(lengths):
+            if used and used + n > capacity:
+                at, used = at + 1, 0
+            want[i] = (at, used)
+            used += n
+        rows = spark.createDataFrame(list(enumerate(lengths)), "conv_id long, length int")
+        ordering.ROWS, was = 40, ordering.ROWS
+        try:
+            got = {x["conv_id"]: (x["bin"], x["start"]) for x in chat.next_fit_bins(rows, capacity).collect()}
+        finally:
+            ordering.ROWS = was
+        assert got == want
+    assert chat.next_fit_bins(rows.limit(0), 5).count() == 0
