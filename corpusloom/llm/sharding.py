@@ -4,9 +4,13 @@ Every record hashes into one of thousands of virtual slots. Bytes and rows are s
 number of rows, however large the input), and a versioned map says which shard owns each slot. Rebalancing edits the
 map: it moves whole slots and never rehashes a record.
 
-Edge cases: a null text has no bytes (size 1, the CRC of the empty string); a null id hashes by the rest of the row;
-repeated rows share a slot and still get different places; an empty table gives an empty result; other columns of the
-input are ignored, whatever their names.
+Groups of equal texts are spread by their ids: under the law ``bytes`` a shard has to get an equal part of a group that
+holds a third of all bytes, so such groups do not stay together. Rows are written once, narrow; where one row is repeated
+so often that its slot has more than ``HEAVY`` times the mean, the rows of that slot are dealt over all slots.
+
+Edge cases: a null text has no bytes (size 1, the CRC of the empty string); a null id hashes by the rest of the row; very
+long texts count whole; repeated rows get different places, and rows that tie in a slot any order of places; an empty
+table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, utf8_crc32
+from .common import materialize, shared_dir, utf8_crc32
 
 SLOTS = 8192
+HEAVY, HEAVY_ROWS = 8, 1000  # times the mean, and rows at least, from which a slot is dealt out
 
 
 @dataclass(frozen=True)
@@ -103,11 +108,16 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and the record's virtual slot."""
+    """doc_id, size, text_crc32 and the record's virtual slot, as a written table."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    return docs.select("doc_id", size.alias("size"), utf8_crc32(F.col("text")).alias("text_crc32")).withColumn(
-        "virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int")
-    )
+    rows = docs.select("doc_id", size.alias("size"), utf8_crc32(F.col("text")).alias("text_crc32"), F.monotonically_increasing_id().alias("row_id"))
+    rows = materialize(rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int")), "slotted")
+    counts = slot_weights(rows)[1]
+    heavy = [s for s, n in counts.items() if n > max(HEAVY_ROWS, HEAVY * sum(counts.values()) / slots)]
+    if not heavy:
+        return rows.drop("row_id")
+    dealt = F.pmod(F.xxhash64("row_id", "virtual_slot"), F.lit(slots)).cast("int")
+    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(*heavy), dealt).otherwise(F.col("virtual_slot"))).drop("row_id")
 
 
 def slot_weights(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:

@@ -55,3 +55,15 @@ def test_map_versions(spark, tmp_path):
 
 def test_same_again(spark, odd_docs):
     assert plain(sh.shard_documents(odd_docs)[0]) == plain(sh.shard_documents(odd_docs)[0])
+
+
+def test_a_row_repeated_over_and_over_is_dealt_out(spark):
+    docs = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "if(id % 3 = 0, repeat('y', 300), 'x') AS text")
+    out, slot_map = sh.shard_documents(docs)
+    rows = out.collect()
+    check([(r["doc_id"], r["text"]) for r in docs.collect()], rows)
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) - min(loads.values()) < 0.01 * sum(loads.values())
+    assert max(Counter(r["virtual_slot"] for r in rows).values()) < 100
