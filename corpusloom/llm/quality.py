@@ -9,8 +9,9 @@ The target is fitted on at most ``TARGET_ROWS`` labelled rows, those whose ids h
 and cover every byte of the corpus; they come back as one row a bucket.
 
 Edge cases: null and empty texts have no words and fail the base rules; a text of under three bytes scores 0; without
-labels every score is 0 and only the base rules decide; repeated rows are judged alike; an empty table gives an empty
-result.
+labels every score is 0 and only the base rules decide; a score equal to the threshold passes; very long texts are read
+whole; repeated rows are judged alike; further columns are left alone but for one named ``quality_rules``, which
+:func:`quality_stats` replaces (:func:`keep_good` adds none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,6 +121,11 @@ def quality_stats(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return docs.withColumn("quality_rules", quality_column(weights, threshold)(F.col("text")))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns they had."""
+    return docs.filter(quality_column(fit_weights(docs, labels), threshold)(F.col("text"))["kept"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the rules over all documents."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

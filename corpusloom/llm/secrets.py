@@ -333,6 +333,12 @@ def redact_column(net: Network):
     return clean
 
 
+def redact_secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
+    """``docs`` without their secrets; ``n_chars`` follows the text where there is such a column."""
+    clean = docs.withColumn("text", redact_column(net or train_network())("text"))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
 def digest_column(net: Network):
     @F.pandas_udf("struct<n_assign:long,n_access:long,n_hex:long,base_sha256:string,spans:string,n_model:long>")
     def digest(text: pd.Series) -> pd.DataFrame:

@@ -14,7 +14,7 @@ Edge cases: null and empty texts have features of zero and get a score like any
 never trains; with one class only or no labels, the score is the share of that class (0 without labels); repeated rows
 score alike and train once; very long texts are read whole; equal gains split on the first feature and lowest cut, and
 sums that tie share a step of the calibration; further columns are left alone but for one named ``toxicity_score``, which
-:func:`with_toxicity` replaces (:func:`score_column` adds none); an empty table gives an empty result.
+:func:`with_toxicity` replaces (:func:`drop_toxic` adds none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -274,6 +274,12 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None
     return docs.withColumn("toxicity_score", score_column(lex, trees)(F.col("text")))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, decision: float = DECISION) -> DataFrame:
+    """The rows of ``docs`` that score below ``decision``, with the columns they had."""
+    lex, trees = train_model(docs, labels)
+    return docs.filter(score_column(lex, trees)(F.col("text")) < decision)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: scores of all documents."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

@@ -8,7 +8,9 @@ up among the paths of the open hosts, so the work per URL depends on the nesting
 Ranges come from a sample of the keys; a key so frequent that it fills several ranges is dealt over all of them.
 
 Edge cases: a null URL and one without "://" have an empty host and path, fit no rule and get the default verdict; a URL
-without a path fits no rule, because every rule path starts with "/"; repeated rows are judged one by one.
+without a path fits no rule, because every rule path starts with "/"; very long URLs are read whole; of rules that fit, the
+longest host wins and then the longest path, so none tie; repeated rows are judged one by one; further columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -42,7 +42,7 @@ def clashing(odd_docs):
     from pyspark.sql import functions as F
 
     out = odd_docs
-    for name in ("key", "words", "canon", "size", "shard", "slot", "bucket", "length", "span", "kind", "trusted", "row_id", "sketch", "score", "kept"):
+    for name in ("key", "words", "canon", "size", "shard", "slot", "bucket", "length", "span", "kind", "trusted", "row_id", "sketch", "score", "kept", "host", "path", "verdict", "quality_rules", "toxicity_score", "a", "b", "root", "n", "value"):
         out = out.withColumn(name, F.lit("clash"))
     return out
 

@@ -84,3 +84,29 @@ def test_stages_and_run(spark, tmp_path):
 def test_constants_are_the_operators_own():
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "toxicity", "order_minhash", "secret_scans", "best_fit_packing"]
     assert cp.ORACLE_SQL is None and tx.DECISION == 0.7 and om.SIMILARITY == 0.8 and om.WORDS == 5
+
+
+def test_stages_on_odd_rows(spark, clashing, no_docs, tmp_path, odd_rows, labels):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names pass through every stage; so does an empty table."""
+    path = str(tmp_path)
+    clashing.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    clash = [c for c in docs.columns if c not in odd_rows_columns]
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and out.select(*clash).distinct().collect() in ([], [tuple(["clash"] * len(clash))]), name
+        assert out.count() <= len(odd_rows)
+    assert cp.STAGES[3][1](spark, docs, path).filter("text IS NULL").count() == sum(r[1] is None for r in odd_rows)
+    assert cp.STAGES[3][1](spark, docs.drop("n_chars"), path).columns == [c for c in docs.columns if c != "n_chars"]
+    good = {r["doc_id"] for r in cp.STAGES[0][1](spark, docs, path).collect()}
+    assert good <= {r[0] for r in odd_rows} and not good & {3, 4, 5, 6}
+    packed = cp.STAGES[-1][1](spark, docs, path)
+    assert packed.select("doc_id", "piece").count() >= len(odd_rows)
+    for _, stage in cp.STAGES:
+        assert stage(spark, no_docs, path).count() == 0
+    no_docs.write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    assert cp.run(spark, path).count() == 0
+
+
+odd_rows_columns = [c.split()[0] for c in DOCS.split(", ")]
