@@ -3,28 +3,31 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. What a stage returns is written as
 Parquet and read again as the next one's ``docs``; all stages but the last return the columns of ``documents``.
 
-Edge cases follow the operators: null and empty texts fail the base rules of the first stage and go there.
+Edge cases follow the operators. Null and empty texts fail the base rules of the first stage and go there; by themselves, a
+later stage keeps them (scored like any text, equal ones one class, no secrets, one separator). Very long texts are read
+whole. Repeated rows are judged alike and one of them stays after the near-duplicate stage; of rows that tie there, the
+one of least id and then least content hash. Further columns pass through, whatever their names, but for ``n_chars``,
+which follows the text. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import orderminhash, packing, quality, secrets, toxicity
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import forget, materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rejected documents go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_stats(docs, labels).filter("quality_rules.kept").select(*docs.columns)
+    return quality.keep_good(docs, labels)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents at or above the decision score go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.with_toxicity(docs, labels).filter(F.col("toxicity_score") < toxicity.DECISION).select(*docs.columns)
+    return toxicity.drop_toxic(docs, labels)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +37,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every finding is replaced by a mark, and n_chars follows the text."""
-    clean = docs.withColumn("text", secrets.redact_column(secrets.train_network())("text"))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return secrets.redact_secrets(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
