@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -388,7 +389,7 @@ def _posts(opened: DataFrame, texts: DataFrame) -> DataFrame:
     tasks = max(2 * held.sparkSession.sparkContext.defaultParallelism, held.count() // DEALT)
     posts = materialize(held.repartition(tasks, "key").mapInPandas(posted, "cluster long, place long, key binary, n long, rest long, own long"), "posts")
     places = materialize(posts.groupBy("place").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("place"), "places")
-    met = maybe_in(posts, "place", places).join(places, "place")
+    met = maybe_in(posts, "place", places)  # a few more pass, and meet nobody
     met = met.groupBy("cluster", "key", "n", "own").agg(F.array_sort(F.collect_list(F.struct((-F.col("rest")).alias("left"), "place"))).alias("p"))  # of one text
     met = met.select("key", "n", "own", F.transform("p", lambda x: x["place"]).alias("places"), F.posexplode("p").alias("at", "p"))
     before = F.slice("places", F.greatest(F.lit(1), F.col("at") - BEFORE + 1), F.least(F.col("at"), F.lit(BEFORE)))
@@ -403,10 +404,10 @@ def _meetings(posts: DataFrame, groups: DataFrame) -> DataFrame:
     Two texts meet where the first word stands that they have in common: not where they share a word before it. Of two
     groups at a place one is not its largest: a is of such a group, so a large family never meets itself.
     """
-    rooted = materialize(_rooted(posts, groups), "rooted")
-    sizes = rooted.groupBy("place", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("place").agg(F.max_by("root", "size").alias("largest"), F.count(F.lit(1)).alias("several"))
-    met = rooted.join(largest.filter("several > 1").drop("several"), "place")
+    here = W.partitionBy("place")
+    met = _rooted(posts, groups).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("place", "root")))
+    met = met.withColumn("largest", F.max(F.struct("size", "root")).over(here)["root"]).withColumn("other", F.min("root").over(here) != F.max("root").over(here))
+    met = materialize(met.filter("other").drop("size", "other"), "rooted")
     a, b = met.filter(F.col("root") != F.col("largest")).alias("a"), met.alias("b")
     once = (F.col("b.root") == F.col("b.largest")) | (F.col("a.key") > F.col("b.key"))
     need = SIMILARITY * F.greatest("a.n", "b.n") - 1e-9
