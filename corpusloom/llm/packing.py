@@ -42,6 +42,8 @@ SEPARATOR = 0
 NUMBERED = 1 << 16  # pieces of one length that are numbered together, about
 LATIN = re.compile("[\x00-\xff]*")
 STEP = 512
+LOWER = np.array([32 if c == 10 else ord(chr(c).lower()) for c in range(256)], np.uint8)  # and line ends as spaces
+LETTER = np.array([chr(c).isalpha() for c in range(256)])
 CHUNK = 1 << 21  # characters that are encoded together, about
 
 
@@ -164,6 +166,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(sorted(rows), np.int64).reshape(-1, 5), at
 
 
+def _spaced(texts: list[str]) -> str:
+    """Texts of characters below U+0100 in lower case, NUL as a piece after each, full stops and commas apart from the letter
+    before them where a space follows: each distinct word then occurs in one form."""
+    codes = LOWER[np.frombuffer(" \0 ".join([*texts, ""]).encode("latin-1"), np.uint8)][:-1]
+    if len(codes) < 3:
+        return codes.tobytes().decode("latin-1")
+    stop = (codes == 46) | (codes == 44)
+    at = np.flatnonzero(stop[1:-1] & (codes[2:] == 32) & LETTER[codes[:-2]]) + 1
+    return np.insert(codes, at, 32).tobytes().decode("latin-1")
+
+
 # --- tokens --------------------------------------------------------------------------------------------------------
 
 
@@ -239,18 +252,28 @@ class Words:
 
     def _encode_texts(self, texts: list[str]) -> list[bytes]:
         """Each distinct piece is looked up once; its ids are then copied, by array, to all its places."""
-        low = [t.lower() if "<|" not in t and (t.isascii() or LATIN.fullmatch(t)) else t for t in texts]
-        cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in low], pa.large_string()), " ")
-        pieces = cut.flatten().dictionary_encode()
-        packed = self._look_up(pieces.dictionary.to_pylist())
+        is_plain = [(t.isascii() or bool(LATIN.fullmatch(t))) and "<|" not in t and "\0" not in t for t in texts]
+        joined = _spaced([t for t, ok in zip(texts, is_plain, strict=True) if ok])
+        others = [t.replace("\n", " ") for t, ok in zip(texts, is_plain, strict=True) if not ok]
+        plain, other = (pc.split_pattern(pa.array(x, pa.large_string()), " ") for x in ([joined], others))
+        pieces = pa.concat_arrays([plain.flatten(), other.flatten()]).dictionary_encode()
+        words, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        packed = self._look_up(words)
+
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(packed), "<u4")
-        at = pieces.indices.to_numpy()
         n = sizes[at]
-        ends = np.cumsum(n)
-        raw = ids[np.arange(n.sum()) + np.repeat(starts[at] - ends + n, n)].tobytes()
-        bounds = (4 * np.r_[0, ends][cut.offsets.to_numpy()]).tolist()
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        ends = np.r_[0, np.cumsum(n)]
+        raw = ids[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], n)].tobytes()
+
+        n_plain = len(plain.flatten())
+        marks = np.flatnonzero(at[:n_plain] == words.index("\0")) if any(is_plain) else np.zeros(0, np.int64)
+        offsets = n_plain + other.offsets.to_numpy()
+        first, last = np.r_[0, marks + 1][: len(marks)], marks
+        first, last = (4 * ends[np.r_[a, b].astype(np.int64)] for a, b in ((first, offsets[:-1]), (last, offsets[1:])))
+        out = [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]  # plain texts, then the others
+        order = np.argsort(np.r_[np.flatnonzero(is_plain), np.flatnonzero(~np.array(is_plain, bool))], kind="stable")
+        return [out[k] for k in order]
 
 
 _loaded: dict[str, Words] = {}
