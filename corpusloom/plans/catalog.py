@@ -166,9 +166,9 @@ def domain_manifest(spark, sf):
 # --- tokens and packing --------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, md5(array_to_string(list_slice(list_concat(list_concat([1], {TOK}), [2]), 1, 512), ',')) AS ids_md5 FROM documents")
+@query(f"SELECT doc_id, md5(array_to_string(list_concat(list_concat([1], {TOK}), [2]), ',')) AS ids_md5 FROM documents")
 def encode_wrap(spark, sf):
-    rows = encoded(spark, sf).withColumn("ids", tokens.wrap(F.col("ids"), max_length=512))
+    rows = encoded(spark, sf).withColumn("ids", tokens.wrap(F.col("ids")))
     return rows.select("doc_id", digest("ids", "ids_md5"))
 
 
@@ -382,13 +382,13 @@ def mask_coverage(spark, sf):
     return chat.mask_coverage(masked(spark, sf)).select(F.round("coverage", 9).alias("coverage"))
 
 
-@query(f"""WITH {CHAT}, k AS (SELECT conv_id, conv_id // 8 AS batch_id, list_slice(input_ids, 1, 2048) AS i, list_slice(labels, 1, 2048) AS l FROM c),
+@query(f"""WITH {CHAT}, k AS (SELECT conv_id, conv_id // 8 AS batch_id, list_slice(input_ids, 1, 4096) AS i, list_slice(labels, 1, 4096) AS l FROM c),
 m AS (SELECT *, max(len(i)) OVER (PARTITION BY batch_id) AS n FROM k)
 SELECT conv_id, batch_id, md5(array_to_string(i, ',') || repeat(',0', CAST(n - len(i) AS INTEGER))) AS ids_md5, md5(array_to_string(l, ',') || repeat(',-100', CAST(n - len(l) AS INTEGER))) AS labels_md5,
  CAST(len(i) AS BIGINT) AS mask_sum FROM m""")
 def sft_collate(spark, sf):
     rows = chat.conversations(table(spark, sf, "conversations")).withColumn("batch_id", F.floor(F.col("conv_id") / 8))
-    out = chat.collate(rows, max_length=2048)
+    out = chat.collate(rows)
     return out.select("conv_id", "batch_id", digest("input_ids", "ids_md5"), digest("labels", "labels_md5"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"))
 
 
@@ -428,14 +428,14 @@ def dpo_raw(spark, sf):
     return raw(spark, sf).select("conv_id", *[digest(f"{s}_{k}", f"{s}_{n}_md5") for s in preference.SIDES for k, n in (("input_ids", "ids"), ("labels", "labels"))])
 
 
-@query(f"""WITH {PAIRS}, {PROMPT}, k AS (SELECT conv_id, conv_id // 8 AS batch_id, {_sides(lambda s: f"list_slice(list_concat(prompt_ids, list_concat({tok_of(s)}, [2])), 1, 700) AS {s}")} FROM pr),
+@query(f"""WITH {PAIRS}, {PROMPT}, k AS (SELECT conv_id, conv_id // 8 AS batch_id, {_sides(lambda s: f"list_slice(list_concat(prompt_ids, list_concat({tok_of(s)}, [2])), 1, 4096) AS {s}")} FROM pr),
 m AS (SELECT *, {_sides(lambda s: f"max(len({s})) OVER (PARTITION BY batch_id) AS {s}_n")} FROM k)
 SELECT conv_id, batch_id, {_sides(lambda s: f"md5(array_to_string({s}, ',') || repeat(',0', CAST({s}_n - len({s}) AS INTEGER))) AS {s}_ids_md5, CAST({s}_n AS BIGINT) AS {s}_width")} FROM m""")
 def dpo_collate(spark, sf):
     p = prompts(spark, sf)
     rows = p.select("conv_id", F.floor(F.col("conv_id") / 8).alias("batch_id"), *[F.concat("prompt_ids", tokens.wrap(tokens.encode(F.col(s)), bos=False)).alias(f"{s}_input_ids") for s in preference.SIDES])
     rows = rows.select("*", *[F.col(f"{s}_input_ids").alias(f"{s}_labels") for s in preference.SIDES])
-    out = preference.collate_pairs(rows, max_length=700)
+    out = preference.collate_pairs(rows)
     return out.select("conv_id", "batch_id", *[c for s in preference.SIDES for c in (digest(f"{s}_input_ids", f"{s}_ids_md5"), F.size(f"{s}_input_ids").cast("long").alias(f"{s}_width"))])
 
 

@@ -132,7 +132,7 @@ def test_chat(spark):
     assert list(cut[1]["labels"]) == [1, -100, c["s"], 5, -100, c["u"]] and len(cut[1]["input_ids"]) == 6
     with pytest.raises(ValueError):
         chat.collator("other")
-    assert chat.collator("pretrain") is None and chat.collator("sft") is chat.collate and chat.collator("dpo") is preference.collate_pairs
+    assert chat.collator("pretrain") is chat.stack and chat.collator("sft") is chat.collate and chat.collator("dpo") is preference.collate_pairs
 
 
 def sequential_next_fit(rows, capacity):
@@ -313,3 +313,15 @@ def test_next_fit_over_ranges(spark):
             ordering.ROWS = was
         assert got == want
     assert chat.next_fit_bins(rows.limit(0), 5).count() == 0
+
+
+def test_collators_cut_and_pad(spark):
+    rows = spark.createDataFrame([(0, i, list(range(n)), [7] * n) for i, n in enumerate((3, 9, 6))], "batch_id long, id long, input_ids array<int>, labels array<int>")
+    out = {r["id"]: r for r in chat.collate(rows, max_length=5).collect()}
+    assert out[0]["input_ids"] == [0, 1, 2, 0, 0] and out[0]["labels"] == [7, 7, 7, -100, -100] and out[0]["attention_mask"] == [1, 1, 1, 0, 0]
+    assert out[1]["input_ids"] == out[2]["input_ids"] == [0, 1, 2, 3, 4]
+    sides = rows.select("batch_id", "id", *[F.col(c).alias(f"{s}_{c}") for s in preference.SIDES for c in ("input_ids", "labels")])
+    pair = preference.collate_pairs(sides, max_length=4).filter("id = 0").first()
+    assert pair["rejected_input_ids"] == [0, 1, 2, 0] and pair["chosen_attention_mask"] == [1, 1, 1, 0]
+    one = chat.stack(rows.filter("id = 0").withColumn("pos_in_batch", F.lit(0))).first()
+    assert one["input_ids"] == one["labels"] == [[0, 1, 2]]
