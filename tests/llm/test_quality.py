@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -54,3 +56,33 @@ def test_ratio_tells_junk_from_prose(spark):
     text = good[0][1].encode()
     h = qu.trigrams(np.frombuffer(text, np.uint8))
     assert len(h) == len(text) - 2 and np.isclose(next(x["llr"] for x in out if x["doc_id"] == 0), weights[h].mean())
+
+
+def test_ratio_against_brute_force(spark, odd_docs, odd_rows, labels, label_rows):
+    """Buckets, counts, smoothing and mean in plain integers and floats, without the operator's functions."""
+
+    def buckets(text):
+        data, out = (text or "").encode("utf-8", "surrogatepass"), []
+        for a, b, c in zip(data, data[1:], data[2:]):
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+            h ^= h >> 15
+            out.append(h * 0x2C1B3C6D % 2**32 >> 17)
+        return out
+
+    good = {i for i, q, _ in label_rows if q == 1}
+    raw, target = Counter(), Counter()
+    for i, text, *_ in odd_rows:
+        got = buckets(text)
+        raw.update(got)
+        if i in good:
+            target.update(got)
+    n = 2**15
+    weight = lambda b: math.log((target[b] + 1) / (target.total() + n)) - math.log((raw[b] + 1) / (raw.total() + n))
+    want = Counter()
+    for i, text, *_ in odd_rows:
+        got = buckets(text)
+        llr = sum(map(weight, got)) / len(got) if got else 0.0
+        failed = brute(text)[0] < 50 or 100 * brute(text)[4] > 50 * brute(text)[0] if len(text or "") < 10_000 else False
+        want[i, round(llr, 6), not failed and llr >= qu.THRESHOLD] += 1
+    out = qu.quality_stats(odd_docs, labels).select("doc_id", "quality_rules.*").collect()
+    assert Counter((x["doc_id"], round(x["llr"], 6), x["kept"]) for x in out) == want

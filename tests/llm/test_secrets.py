@@ -102,3 +102,38 @@ def test_odd_rows(spark, odd_docs, clashing, no_docs, odd_rows):
             assert {f"{se.KINDS[k]}:{s}:{e}" for s, k, e in base} <= set(r["spans"].split(",")) | {""}
     assert no_docs.select(se.findings_column(net)("text")).count() == 0
     assert odd_docs.select(se.redact_column(net)("text").alias("t")).filter("t IS NULL").count() == sum(r[1] is None for r in odd_rows)
+
+
+def plain_logit(net, text, start, end):
+    """The network by its definition: loops over places, filters and weights."""
+    lo, hi = max(0, start - se.BEFORE), min(len(text), end + se.AFTER)
+    ids = [(ord(c) + 2 if ord(c) < 128 else 1) + (se.SYMBOLS if start <= i < end else 0) for i, c in enumerate(text[lo:hi], lo)]
+    half, rows = se.WIDTH // 2, []
+    for at in range(len(ids)):
+        row = net.bias.copy()
+        for w in range(se.WIDTH):
+            k = at + w - half
+            if 0 <= k < len(ids):
+                row = row + net.embed[ids[k]] @ net.conv[w * se.EMBED : (w + 1) * se.EMBED]
+        rows.append(np.maximum(row, 0))
+    z = np.array(rows)
+    return float(np.concatenate([z.max(axis=0), z.mean(axis=0)]) @ net.out + net.out_bias[0])
+
+
+def test_model_spans_against_brute_force():
+    net = se.train_network()
+    texts = [
+        "see ghp_16C7e42F292c6912E7710c838347Ae178B4a for keys", "commit 3f2a9c0b1d4e5f60 done", "é key: Zk3pQ9aLm2Xc8Vb7Nn1T, thanks", "password=abcdefgh12345678/tail+more",
+        "a-long-slug-of-words-12 and 192.168.100.200 and keitlichenlichkeitbe", "x" * 40 + "7", "token: short",
+    ]
+    for text, found in zip(texts, se.scan(texts, net), strict=True):
+        want = []
+        for start, end in se.candidates(text, brute(text)):
+            logit = plain_logit(net, text, start, end)
+            k = np.searchsorted(net.steps_x, logit)
+            lo, hi = max(0, k - 1), min(len(net.steps_x) - 1, k)
+            gap = net.steps_x[hi] - net.steps_x[lo]
+            p = net.steps_y[lo] if gap <= 0 else net.steps_y[lo] + (net.steps_y[hi] - net.steps_y[lo]) * (logit - net.steps_x[lo]) / gap
+            if p >= net.threshold:
+                want.append((start, 3, end))
+        assert [f for f in found if f[1] == 3] == want and [f for f in found if f[1] < 3] == brute(text)

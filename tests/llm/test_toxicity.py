@@ -88,3 +88,28 @@ def test_calibration_fold_is_unseen_and_ids_count_once(spark):
     seen = {x["doc_id"]: x["text"] for x in rows}
     lex, _ = tx.train_model(marked.select("doc_id", "text"), lab)
     assert "foldword" not in lex.words and seen
+
+
+def test_score_against_brute_force():
+    """Trees walked node by node, steps interpolated by hand."""
+    r = np.random.default_rng(5)
+    x = r.random((1500, len(tx.NAMES)))
+    y = (x[:, 2] + 0.3 * r.random(1500) > 0.7).astype(int)
+    trees = tx.fit(x, y, np.arange(1500) % 5 == 0, rounds=12)
+    for row, got in zip(x[:100], trees.score(x[:100]), strict=True):
+        total = trees.prior
+        for f, b, leaf in zip(trees.feature, trees.bin, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                right = sum(row[f[node]] > c for c in trees.cuts[f[node]]) > b[node]
+                node = 2 * node + 2 if right else 2 * node + 1
+            total += leaf[node - len(f)]
+        below = [k for k, s in enumerate(trees.steps_x) if s <= total]
+        if not below:
+            want = trees.steps_y[0]
+        elif below[-1] == len(trees.steps_x) - 1:
+            want = trees.steps_y[-1]
+        else:
+            (a, c), (p, q) = trees.steps_x[below[-1] :][:2], trees.steps_y[below[-1] :][:2]
+            want = p + (q - p) * (total - a) / (c - a)
+        assert abs(got - min(1, max(0, want))) < 1e-9
