@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
+_own: list[tempfile.TemporaryDirectory] = []  # deleted when the interpreter ends
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,8 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="corpusloom-tables-"))
-    return _own[0]
+        _own.append(tempfile.TemporaryDirectory(prefix="corpusloom-", ignore_cleanup_errors=True))
+    return _own[0].name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -325,3 +325,18 @@ def test_collators_cut_and_pad(spark):
     assert pair["rejected_input_ids"] == [0, 1, 2, 0] and pair["chosen_attention_mask"] == [1, 1, 1, 0]
     one = chat.stack(rows.filter("id = 0").withColumn("pos_in_batch", F.lit(0))).first()
     assert one["input_ids"] == one["labels"] == [[0, 1, 2]]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusloom.functions import tables
+
+    conf = {"spark.master": "spark://host:7077"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)))
+    with pytest.raises(ValueError):
+        tables.shared_dir(session)
+    conf["spark.checkpoint.dir"] = "s3://bucket/dir/"
+    assert tables.shared_dir(session) == "s3://bucket/dir"
+    df = spark.range(5).withColumn("x", F.lit("a"))
+    assert sorted(tables.written(df, "t").collect()) == sorted(df.collect())
