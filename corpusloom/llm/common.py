@@ -3,31 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-_scratch: list[dict[str, DataFrame]] = []
-
+from ..functions.tables import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder; on a cluster executors could not read each other's files
-    there, so that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="corpusloom-"))
-    return _own_dir[0]
+_scratch: list[dict[str, DataFrame]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
