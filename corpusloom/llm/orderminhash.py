@@ -12,11 +12,10 @@ Every pair of texts that agree in a sketch ends up compared or in one group, how
 
 1. Equal texts collapse first; buckets of one text go.
 2. Each text is compared with one pivot, that of most of its buckets; a bucket's pivot is its text with the most company.
-   ``ROUNDS`` more rounds contract groups to their roots, look at buckets that still hold several, draw a pivot in each,
-   and compare one pair of each two groups.
-3. In the buckets that still hold several groups, all pairs across groups are compared: pair by pair in buckets of at most
-   ``SMALL`` texts, and in larger ones by an exact join on rare words (``_posts``, ``_meetings``), which skips only pairs
-   whose words cannot overlap enough. The rounds make this cheap and decide nothing.
+   That brings families of copies together and decides nothing.
+3. Buckets are contracted to the groups found. In those that still hold several, all pairs across groups are compared:
+   pair by pair in buckets of at most ``SMALL`` texts, and in larger ones by an exact join on rare words (``_posts``,
+   ``_meetings``), which skips only pairs whose words cannot overlap enough.
 
 At scale: the sketches are computed once, on arrays of many texts; only texts that share a bucket are loaded again; of
 each table only narrow columns are shuffled. Buckets are never gathered in one task. Components alternate large and small
@@ -47,7 +46,6 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 48
 TAKEN = 2  # shingles a sketch takes
-ROUNDS = 1
 SMALL = 32
 CHUNK = 1 << 15  # words that are sketched together
 FREQUENT = 1 << 16  # words whose frequency is known when pairs across groups are sought; for speed only
@@ -295,7 +293,7 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
     met = postings.join(pivots, "value").filter((F.col("key") != F.col("p.key")) & _near_in_size(F.col("n"), F.col("p.n")))
     met = met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("times"), F.max("p.degree").alias("degree"))
     best = met.groupBy("key").agg(F.max(F.struct("times", "degree", "pivot")).alias("best"))
-    return best.select(F.greatest("key", "best.pivot").alias("a"), F.least("key", "best.pivot").alias("b")).distinct()
+    return best.select(F.greatest("key", "best.pivot").alias("a"), F.least("key", "best.pivot").alias("b"))
 
 
 def _rooted(df: DataFrame, groups: DataFrame) -> DataFrame:
@@ -310,15 +308,6 @@ def _open(postings: DataFrame, groups: DataFrame) -> DataFrame:
     return rooted.join(several.filter(F.col("first") != F.col("last")).select("value", "texts"), "value")
 
 
-def _round_pairs(opened: DataFrame, nth: int) -> DataFrame:
-    """(a, b): of each two groups that a bucket's pivot brings together, the pair that meets most often."""
-    pivots = opened.groupBy("value").agg(F.min(F.struct(F.xxhash64("key", "value", F.lit(nth)).alias("luck"), "key", "n", "root")).alias("p"))
-    met = opened.join(pivots, "value").filter((F.col("root") != F.col("p.root")) & _near_in_size(F.col("n"), F.col("p.n")))
-    met = met.groupBy("key", "root", F.col("p.key").alias("pivot"), F.col("p.root").alias("other")).agg(F.count(F.lit(1)).alias("times"))
-    best = F.min(F.struct((-F.col("times")).alias("rank"), F.least("key", "pivot").alias("b"), F.greatest("key", "pivot").alias("a")))
-    return met.groupBy(F.least("root", "other").alias("r"), F.greatest("root", "other").alias("s")).agg(best.alias("best")).select("best.a", "best.b")
-
-
 def _small_pairs(opened: DataFrame) -> DataFrame:
     """(a, b): all pairs across groups in buckets of at most ``SMALL`` texts, where their sizes allow a link."""
     a, b = (opened.filter(F.col("texts") <= SMALL).alias(x) for x in "ab")
@@ -471,10 +460,6 @@ def _groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
         groups = components(links)
 
     link(_first_pairs(postings))
-    for nth in range(ROUNDS):
-        opened = materialize(_open(postings, groups), "open")
-        link(_round_pairs(opened, nth))
-        forget(opened)
     opened = materialize(_open(postings, groups), "open")
     hot = opened.filter(F.col("texts") > SMALL)
     pairs = _small_pairs(opened)
