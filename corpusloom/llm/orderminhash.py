@@ -378,11 +378,9 @@ def _posts(opened: DataFrame, texts: DataFrame) -> DataFrame:
     tasks = max(2 * held.sparkSession.sparkContext.defaultParallelism, held.count() // DEALT)
     posts = materialize(held.repartition(tasks, "key").mapInPandas(posted, "cluster long, place long, key binary, n long, rest long, own long"), "posts")
     places = materialize(posts.groupBy("place").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("place"), "places")
-    met = maybe_in(posts, "place", places)  # a few more pass, and meet nobody
-    met = met.groupBy("cluster", "key", "n", "own").agg(F.array_sort(F.collect_list(F.struct((-F.col("rest")).alias("left"), "place"))).alias("p"))  # of one text
-    met = met.select("key", "n", "own", F.transform("p", lambda x: x["place"]).alias("places"), F.posexplode("p").alias("at", "p"))
-    before = F.slice("places", F.greatest(F.lit(1), F.col("at") - BEFORE + 1), F.least(F.col("at"), F.lit(BEFORE)))
-    met = materialize(met.select("p.place", "key", "n", (-F.col("p.left")).alias("rest"), "own", before.alias("before")), "met")
+    earlier = W.partitionBy("cluster", "key").orderBy(F.desc("rest")).rowsBetween(-BEFORE, -1)
+    met = maybe_in(posts, "place", places).withColumn("before", F.collect_list("place").over(earlier))  # a few more pass, and meet nobody
+    met = materialize(met.drop("cluster"), "met")
     forget(member, held, posts, places)
     return met
 
