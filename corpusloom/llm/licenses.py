@@ -82,13 +82,18 @@ def postings(idf: dict[str, float], templates=TEMPLATES, rare: int = RARE_PER_TE
     return out
 
 
-def _fewest(entries: list[tuple[str, int, int, float]], least: float) -> int:
-    """How many distinct words of a template's entries make up a share of ``least``, at the fewest."""
-    share: dict[str, float] = {}
+def _word_shares(entries: list[tuple[str, int, int, float]]) -> dict[str, float]:
+    """The share of each distinct word of a template's entries."""
+    out: dict[str, float] = {}
     for word, _, _, x in entries:
-        share[word] = share.get(word, 0.0) + x
+        out[word] = out.get(word, 0.0) + x
+    return out
+
+
+def _fewest(shares: dict[str, float], least: float) -> int:
+    """How many distinct words make up a share of ``least``, at the fewest."""
     total, n = 0.0, 0
-    for x in sorted(share.values(), reverse=True):
+    for x in sorted(shares.values(), reverse=True):
         if total >= least - 1e-9:
             break
         total, n = total + x, n + 1
@@ -112,15 +117,18 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_score: float = MIN_S
     base_labels = "array_compact(array(" + ", ".join(f"CASE WHEN contains(canon, ' {p} ') THEN '{lab}' END" for p, lab in BASE.items()) + "))"
     verified = "array_compact(array(" + ", ".join(f"CASE WHEN contains(canon, ' {p} ') THEN '{p}' END" for p in phrases) + "))"
     known = f"array_intersect({_array(indexed)}, words)"
-    # Words that a template needs at least to reach the share: files with fewer cannot have a candidate.
-    least = min(_fewest([p for p in index if p[1] == t], min_score) for t in range(len(templates)))
+    # Words that a template needs at least to reach the share; and whether some template reaches it, wherever its words stand.
+    shares = [_word_shares([p for p in index if p[1] == t]) for t in range(len(templates))]
+    least = min(_fewest(x, min_score) for x in shares)
+    entries = "array(" + ", ".join("array(" + ", ".join(f"named_struct('word', '{w}', 'share', {x!r}D)" for w, x in sorted(t.items())) + ")" for t in shares) + ")"
+    reached = f"exists({entries}, t -> aggregate(t, 0D, (a, e) -> a + CASE WHEN array_contains(known, e.word) THEN e.share ELSE 0D END) >= {min_score - 1e-9}D)"
 
     files = (
         _words(docs, "doc_id")
         .withColumn("places", F.expr(f"CASE WHEN {any_base} THEN {places} ELSE CAST(array() AS array<int>) END"))
         .withColumn("base", F.expr(base_labels))
         .withColumn("known", F.expr(known))
-        .withColumn("looked_up", F.size("known") >= least)
+        .withColumn("looked_up", F.expr(f"CASE WHEN size(known) >= {least} THEN {reached} ELSE false END"))
         .select(
             F.monotonically_increasing_id().alias("row_id"),
             "doc_id",
