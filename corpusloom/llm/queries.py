@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, nndescent, orderminhash, packing, quality, secrets, sharding, toxicity, urlfilter
+from . import bpe, fim, licenses, nndescent, orderminhash, packing, quality, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_nn_descent": nndescent.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_packing": packing.query,
     "op10_order_minhash": orderminhash.query,
+    "op13_fim": fim.query,
 }
 
 ORACLE_SQL = {
     "op7_url_filters": urlfilter.ORACLE,
+    "op13_fim": fim.ORACLE,
 }
