@@ -38,10 +38,16 @@ def aligned(pair, a, b):
 
     x, y = spans(pair.bytes_a, a), spans(pair.bytes_b, b)
     common = sorted({e for _, _, e in x} & {e for _, _, e in y})
-    groups, start = [], 0
+    groups, i, k = [], 0, 0
     for end in common:
-        groups.append(",".join(str(i) for i, s, e in x if start < e <= end) + "|" + ",".join(str(i) for i, s, e in y if start < e <= end))
-        start = end
+        of_a, of_b = [], []
+        while i < len(x) and x[i][2] <= end:
+            of_a.append(str(x[i][0]))
+            i += 1
+        while k < len(y) and y[k][2] <= end:
+            of_b.append(str(y[k][0]))
+            k += 1
+        groups.append(",".join(of_a) + "|" + ",".join(of_b))
     links, k = [], 0
     for i, s, e in x:
         while k and y[k][1] > s:
