@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, crosstok, fim, licenses, nndescent, orderminhash, packing, quality, secrets, sharding, toxicity, urlfilter
+from . import bpe, crosstok, fim, licenses, nndescent, orderminhash, packing, quality, rabitdup, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_nn_descent": nndescent.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_packing": packing.query,
     "op10_order_minhash": orderminhash.query,
+    "op11_rotation_codes": rabitdup.query,
     "op12_tokenizer_alignment": crosstok.query,
     "op13_fim": fim.query,
 }
