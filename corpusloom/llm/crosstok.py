@@ -8,8 +8,10 @@ and counts of a document are those of its segments, one after the other.
 
 At scale: documents are read once, in blocks of ``BLOCK`` characters or one longer document, and become lists of the block's
 segment numbers. What is shuffled is a row for each distinct segment of a block, never one for each occurrence, and the
-lists. A frequent segment is one row a block; the join on it is split by Spark where it is skewed. The number of documents
-that hold a pair of ids linked is counted by block first. Nothing is sent to the driver, and no table is broadcast.
+lists. Rows of one segment, at most one a block, meet sorted in a task that streams through them; it aligns the segment once
+and sends the alignments on packed by block: ids, and which side ends at each step. The number of documents that hold a
+pair of ids linked is counted by block first. Nothing is sent to the driver, and no table is broadcast. The tables and the
+shuffle files of the first half are dropped before the second.
 
 Edge cases: a text that is null or empty, or whose joined tokens of either side do not give the text again (U+2581 is a
 space to the second), has no tokens: zeros and no groups, and its links count nowhere. Special tokens' strings are plain
@@ -25,6 +27,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,22 +40,26 @@ from .bpe import byte_alphabet, vocabulary_path
 from .common import materialize, scratch
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK = 16_000_000  # characters of a block's documents, about
+BLOCK = 12_000_000  # characters of a block's documents, about
 STEP = 4096  # segments tokenised at once
+HELD = 200_000  # rows that a task packs at once, about
 FLAT = 400_000  # segment occurrences whose pairs are counted at once, about
 CANDIDATES = " \n\t\r"  # white space before which a text may be cut, where that is proven
 #: White space by any notion that the pre-tokenizers of the first kind have, and format characters beside it.
 WHITE = "\\s\x1c-\x1f\x85\u180e\u200b\ufeff"
 CODED = "block long, row int, doc_id long, size int, code binary, idx int, segment string"
-ALIGNED = "segment string, n_a int, n_b int, n_groups int, n_links int, groups string, links binary"
-COMPOSED = "block long, row int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary, pair int, a long, b long, df long"
+PACKED = "block long, packed binary"
+COMPOSED = "block long, row int, doc_id long, size int, n_a long, n_b long, n_groups long, n_links long, groups string, code binary, packed binary, found binary"
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
 def to_varint(x: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Numbers below 2^35 as bytes of seven bits, and where each ends."""
+    """Numbers below 2^56 as bytes of seven bits, and where each ends."""
     x = x.astype(np.int64)
-    size = 1 + sum((x >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    size, k, most = np.ones(len(x), np.int64), 1, int(x.max()) if len(x) else 0
+    while most >> 7 * k:
+        size += x >= 1 << 7 * k
+        k += 1
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
     for k in range(int(size.max()) if len(x) else 0):
@@ -71,6 +78,30 @@ def from_varint(raw: bytes) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first)
 
 
+def pack(*lists: np.ndarray) -> bytes:
+    """Lists of numbers in one string of bytes."""
+    parts = [to_varint(x)[0] for x in lists]
+    return np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts)
+
+
+def unpack(raw: bytes, number: int) -> list[np.ndarray]:
+    ends = np.r_[0, np.cumsum(np.frombuffer(raw, "<u8", number))].astype(np.int64) + 8 * number
+    return [from_varint(raw[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def unpack_all(raws: list[bytes], number: int) -> list[np.ndarray]:
+    """The lists of several strings, one after the other."""
+    each = [unpack(raw, number) for raw in raws]
+    return [np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.int64) for k in range(number)]
+
+
+def gather(upto: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches ``which`` of ``values``, whose ends are ``upto`` (from 0), one after the other."""
+    size = upto[which + 1] - upto[which]
+    ends = np.cumsum(size)
+    return values[np.repeat(upto[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Pair:
     """Both tokenizers, as libraries load them, and the bytes of their ids."""
 
@@ -92,7 +123,6 @@ class Pair:
             if all(c in back for c in token):
                 self.bytes_a[i] = bytes(back[c] for c in token)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        self.names_a, self.names_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("\u2581")
         self.breaks = borders(self.bytes_a, self.bytes_b)
@@ -105,38 +135,22 @@ class Pair:
         # An empty rest is a lone space; before another border the added space stands by itself, and goes.
         return a, [ids or [self.space] if own else ids[1:] for ids, own in zip(b, spaced, strict=True)]
 
-    def align(self, segments: list[str]) -> pd.DataFrame:
-        """``ALIGNED`` of distinct segments; n_a is -1 where the tokens do not give the segment again."""
+    def align(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """Of distinct segments the number of links (0 where the tokens do not give the segment again) and of ids, then all
+        steps and ids one after the other. Between two neighbouring ends of either side lies the overlap of one pair, and
+        each overlap lies between two; a step says which side ends there: 1 the first, 2 the second, 3 both."""
         a, b = self.encode(segments)
-        raw = [s.encode() for s in segments]
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(a, b, raw, strict=True)]
+        good = [b"".join(map(self.bytes_a.__getitem__, x)) == t.encode() == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(a, b, segments, strict=True)]
         at = [i for i, ok in enumerate(good) if ok]
-        out = pd.DataFrame({"segment": segments, "n_a": -1, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": "", "links": b""})
-        if not at:
-            return out
         ids_a, ids_b = (np.array([i for k in at for i in x[k]], np.int64) for x in (a, b))
-        ends = np.cumsum([len(raw[k]) for k in at])
         ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
-        # Between two neighbouring ends of either side lies the overlap of one pair, and each overlap lies between two.
         both = np.union1d(ends_a, ends_b)
-        links = np.stack([ids_a[np.searchsorted(ends_a, both)], ids_b[np.searchsorted(ends_b, both)]], 1).astype("<u4")
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        upto = lambda x: np.r_[0, np.searchsorted(x, ends, "right")]  # noqa: E731  how many lie in the segments so far
-        of_a, of_b, of_group, of_link = map(upto, (ends_a, ends_b, common, both))
-        to_a, to_b = (np.r_[0, np.searchsorted(x, common, "right")].tolist() for x in (ends_a, ends_b))
-        text_a, text_b = list(map(self.names_a.__getitem__, ids_a.tolist())), list(map(self.names_b.__getitem__, ids_b.tolist()))
-        groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(to_a, to_a[1:], to_b, to_b[1:], strict=False)]
-        g, n = of_group.tolist(), of_link.tolist()
-        flat = links.tobytes()
-        for name, of in (("n_a", of_a), ("n_b", of_b), ("n_groups", of_group), ("n_links", of_link)):
-            values = out[name].to_numpy().copy()
-            values[at] = np.diff(of)
-            out[name] = values
-        strings, pairs = [""] * len(segments), [b""] * len(segments)
-        for k, i in enumerate(at):
-            strings[i], pairs[i] = ";".join(groups[g[k] : g[k + 1]]), flat[8 * n[k] : 8 * n[k + 1]]
-        out["groups"], out["links"] = strings, pairs
-        return out
+        step = np.isin(both, ends_a, assume_unique=True) + 2 * np.isin(both, ends_b, assume_unique=True)
+        ends = np.cumsum([len(segments[k].encode()) for k in at])
+        out = np.zeros((3, len(segments)), np.int64)
+        for row, x in zip(out, (both, ends_a, ends_b), strict=True):
+            row[at] = np.diff(np.r_[0, np.searchsorted(x, ends, "right")])
+        return (*out, step, ids_a, ids_b)
 
 
 def borders(bytes_a: list[bytes], bytes_b: list[bytes]) -> str:
@@ -191,15 +205,17 @@ def _frame(columns: dict, n: int, schema: str) -> pd.DataFrame:
 
 
 def _coded(block: int, ids: list, lists: list[np.ndarray], index: dict[str, int]) -> Iterator[pd.DataFrame]:
-    flat = np.concatenate([*lists, np.zeros(0, np.int32)])
-    raw, ends = to_varint(flat)
+    flat, names = np.concatenate([*lists, np.zeros(0, np.int32)]), list(index)
+    order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")  # frequent segments get short numbers
+    rank = np.empty(len(names), np.int32)
+    rank[order] = np.arange(len(names), dtype=np.int32)
+    raw, ends = to_varint(rank[flat])
     upto = np.r_[0, np.cumsum(list(map(len, lists)))].astype(np.int64)
     cut = np.r_[0, ends][upto].tolist()
     rows = {"block": block, "row": np.arange(len(ids)), "doc_id": pd.array(ids, "Int64"), "size": np.diff(upto), "code": [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]}
     yield _frame(rows, len(ids), CODED)
-    names = list(index)
     for k in range(0, len(names), 50_000):
-        part = names[k : k + 50_000]
+        part = [names[i] for i in order[k : k + 50_000].tolist()]
         yield _frame({"block": block, "idx": np.arange(k, k + len(part)), "segment": part}, len(part), CODED)
 
 
@@ -227,13 +243,47 @@ def encode_blocks(first: str, second: str):
     return run
 
 
+def _by_block(block: np.ndarray, lists) -> pd.DataFrame:
+    """``PACKED``: rows in the order of their blocks; ``lists(i, j)`` gives what is packed of rows i to j."""
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    ends = np.r_[starts[1:], len(block)].tolist()
+    return pd.DataFrame({"block": block[starts], "packed": [pack(*lists(i, j)) for i, j in zip(starts.tolist(), ends, strict=True)]})
+
+
+def _aligned(held: list[tuple], blocks: list[np.ndarray], numbers: list[np.ndarray], which: list[np.ndarray]) -> pd.DataFrame:
+    """Rows of segments by block: their numbers, links, steps and ids."""
+    block, idx, d = np.concatenate(blocks), np.concatenate(numbers), np.concatenate(which)
+    order = np.argsort(block, kind="stable")
+    block, idx, d = block[order], idx[order], d[order]
+    sizes = [np.concatenate([x[k] for x in held]) for k in range(3)]
+    ends = [np.r_[0, np.cumsum(n)] for n in sizes]
+    values = [gather(e, np.concatenate([x[k + 3] for x in held]), d) for k, e in enumerate(ends)]
+    upto = [np.r_[0, np.cumsum(n[d])] for n in sizes]
+    return _by_block(block, lambda i, j: [idx[i:j], sizes[0][d[i:j]], *(v[u[i] : u[j]] for v, u in zip(values, upto, strict=True))])
+
+
 def align_segments(first: str, second: str):
+    """Sorted rows (segment, block, idx) to packed alignments by block; a segment is tokenised once a batch of its rows."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair = load(first, second)
+        pair, held, blocks, numbers, which, rows, many = load(first, second), [], [], [], [], 0, 0
         for batch in batches:
-            segments = batch["segment"].tolist()
-            for k in range(0, len(segments), STEP):
-                yield pair.align(segments[k : k + STEP])
+            segment = batch["segment"].to_numpy()
+            if not len(segment):
+                continue
+            new = np.r_[True, segment[1:] != segment[:-1]]
+            distinct = segment[new].tolist()
+            for k in range(0, len(distinct), STEP):
+                held.append(pair.align(distinct[k : k + STEP]))
+            blocks.append(batch["block"].to_numpy())
+            numbers.append(batch["idx"].to_numpy())
+            which.append(np.cumsum(new) - 1 + many)
+            rows, many = rows + len(segment), many + len(distinct)
+            if rows >= HELD:
+                yield _aligned(held, blocks, numbers, which)
+                held, blocks, numbers, which, rows, many = [], [], [], [], 0, 0
+        if rows:
+            yield _aligned(held, blocks, numbers, which)
 
     return run
 
@@ -247,93 +297,139 @@ def _lists(sizes: list[int]) -> np.ndarray:
     return np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def _names(n: int) -> tuple[list[str], np.ndarray]:
+    """Numbers below ``n`` with each of the marks that may follow, and their lengths."""
+    names = [f"{i}{mark}" for i in range(n) for mark in ",|;"]
+    return names, np.array(list(map(len, names)))
+
+
+def _strings(step: np.ndarray, upto: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
+    """The groups of each stretch of steps, each with the mark that ends it."""
+    both, of = step == 3, lambda bit: np.flatnonzero(step & bit)
+    group = np.cumsum(both) - both
+    group_a, group_b = group[of(1)], group[of(2)]
+    n = int(both.sum())
+    many_a, many_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+    last = lambda g: np.r_[g[1:] != g[:-1], True][: len(g)]
+    codes = np.empty(len(a) + len(b), np.int64)  # both sides of each group, one group after the other
+    codes[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = a * 3 + last(group_a)
+    codes[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b * 3 + 2 * last(group_b)
+    names, sizes = _names(int(max(a.max(initial=0), b.max(initial=0))) | 4095)  # few sizes of the table
+    tokens = np.r_[0, np.cumsum((step & 1) + (step >> 1))][upto]  # of each stretch
+    chars = np.r_[0, np.cumsum(sizes[codes])][tokens]
+    out = []
+    for k in range(0, len(upto) - 1, 100_000):
+        m = min(k + 100_000, len(upto) - 1)
+        text = "".join(map(names.__getitem__, codes[tokens[k] : tokens[m]].tolist()))
+        cut = (chars[k : m + 1] - chars[k]).tolist()
+        out += [text[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+    return out
+
+
 def compose_block(digest: bool):
     """Documents of a block from the alignments of its segments, and how many of them hold each pair of ids linked."""
 
     def run(docs: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values("row")
-        upto, flat = _lists(docs["size"].tolist()), from_varint(b"".join(docs["code"]))
-        n = len(segments)
-        at = segments["idx"].to_numpy().astype(np.int64)
-        numbers = np.zeros((4, n), np.int64)
-        numbers[:, at] = segments[["n_a", "n_b", "n_groups", "n_links"]].to_numpy().T
-        strings, links = [""] * n, [b""] * n
-        for i, s, x in zip(at.tolist(), segments["groups"].tolist(), segments["links"].tolist(), strict=True):
-            strings[i], links[i] = s, x
-        bad = _sums(numbers[0][flat] < 0, upto) > 0
-        whole = ~bad & (np.diff(upto) > 0)
-        sums = [np.where(whole, _sums(x[flat], upto), 0) for x in numbers]
-        groups = []
+        upto = _lists(docs["size"].tolist())
+        idx, links, step, a, b = unpack_all(segments["packed"].tolist(), 5)
+        n = len(idx)
+        place = np.zeros(n, np.int64)
+        place[idx] = np.arange(n)
+        flat = place[from_varint(b"".join(docs["code"]))]  # occurrences, as rows of the alignments
+        of = np.r_[0, np.cumsum(links)]  # links of each segment
+        whole = (_sums((links == 0)[flat], upto) == 0) & (np.diff(upto) > 0)
+        sums = [np.where(whole, _sums(_sums(x, of)[flat], upto), 0) for x in (step & 1, step >> 1, step == 3)]
+        sums.append(np.where(whole, _sums(links[flat], upto), 0))
+        strings, groups = _strings(step, of, a, b), []
         for ok, i, j in zip(whole.tolist(), upto.tolist(), upto[1:].tolist(), strict=False):
-            text = ";".join(map(strings.__getitem__, flat[i:j].tolist())) if ok else ""
+            text = "".join(map(strings.__getitem__, flat[i:j].tolist()))[:-1] if ok else ""
             groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and ok else text)
-        wide = np.frombuffer(b"".join(links), "<u4").reshape(-1, 2).astype(np.int64)
-        keys, pair = np.unique(wide[:, 0] << 32 | wide[:, 1], return_inverse=True)
-        of = np.r_[0, np.cumsum(numbers[3])]  # links of each segment
-        df, packed = np.zeros(len(keys), np.int64), []
-        k, p = 0, max(1, len(keys))
+        del strings
+        ends_a, ends_b = step & 1, step >> 1
+        keys, pair = np.unique(a[np.cumsum(ends_a) - ends_a] << 32 | b[np.cumsum(ends_b) - ends_b], return_inverse=True)
+        df, p, k = np.zeros(len(keys), np.int64), max(1, len(keys)), 0
         while k < len(docs):
             m = max(k + 1, int(np.searchsorted(upto, upto[k] + FLAT, "right")) - 1)
             owner = np.repeat(np.arange(m - k), np.diff(upto[k : m + 1]))
             on = whole[k:m][owner]
-            seen, times = np.unique(owner[on] * n + flat[upto[k] : upto[m]][on], return_counts=True)  # segments of each document
-            doc, segment = np.divmod(seen, max(1, n))
-            size = of[segment + 1] - of[segment]
-            place = np.repeat(of[segment] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-            both, back = np.unique(np.repeat(doc, size) * p + pair[place], return_inverse=True)  # pairs of each document
-            times = np.bincount(back, np.repeat(times, size), len(both)).astype(np.int64)
-            doc, which = np.divmod(both, p)
-            df += np.bincount(which, minlength=p)[: len(keys)]
-            cut = np.searchsorted(doc, np.arange(m - k + 1))
-            first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
-            step = np.where(first, which, which - np.r_[0, which[:-1]])  # from one pair of a document to its next
-            for x in (step, times):
-                raw, ends = to_varint(x)
-                ends = np.r_[0, ends][cut].tolist()
-                packed.append([raw[i:j] for i, j in zip(ends, ends[1:], strict=False)])
+            doc, segment = np.divmod(np.unique(owner[on] * n + flat[upto[k] : upto[m]][on]), max(1, n))  # segments of each document
+            both = np.unique(np.repeat(doc, links[segment]) * p + gather(of, pair, segment))  # pairs of each document
+            df += np.bincount(both % p, minlength=p)[: len(keys)]
             k = m
         block = docs["block"].iloc[0]
-        rows = {"block": block, "row": docs["row"].to_numpy(), "doc_id": docs["doc_id"].to_numpy(), "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "groups": groups, "pairs": [x for y in packed[::2] for x in y], "times": [x for y in packed[1::2] for x in y]}
-        on = np.flatnonzero(df)
-        found = {"block": block, "pair": on, "a": keys[on] >> 32, "b": keys[on] & 0xFFFFFFFF, "df": df[on]}
-        return pd.concat([_frame(rows, len(docs), COMPOSED), _frame(found, len(on), COMPOSED)], ignore_index=True)
+        rows = {"block": block, "row": docs["row"].to_numpy(), "doc_id": docs["doc_id"].to_numpy(), "size": np.where(whole, docs["size"], 0), "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "groups": groups, "code": [c if ok else b"" for c, ok in zip(docs["code"], whole.tolist(), strict=True)]}
+        known = {"block": block, "packed": [pack(idx, links, pair)], "found": [pack(keys >> 32, keys & 0xFFFFFFFF, df)]}
+        return pd.concat([_frame(rows, len(docs), COMPOSED), _frame(known, 1, COMPOSED)], ignore_index=True)
 
     return run
 
 
-def count_block(docs: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+def found_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of ids of each block, numbered, with their documents there."""
+    for batch in batches:
+        for block, raw in zip(batch["block"], batch["found"], strict=True):
+            a, b, df = unpack(raw, 3)
+            on = np.flatnonzero(df)
+            for k in range(0, len(on), 100_000):
+                i = on[k : k + 100_000]
+                yield pd.DataFrame({"block": block, "pair": i, "a": a[i], "b": b[i], "df": df[i]})
+
+
+def pack_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of pairs, packed by block; the last bit says that the count is its first id's highest."""
+
+    def packed(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held).sort_values("block", kind="stable")
+        pair, count = rows["pair"].to_numpy(), (2 * rows["count"] + rows["best"]).to_numpy()
+        return _by_block(rows["block"].to_numpy(), lambda i, j: [pair[i:j], count[i:j]])
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= HELD:
+            yield packed(held)
+            held = []
+    if held and sum(map(len, held)):
+        yield packed(held)
+
+
+def count_block(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     """Sums of the corpus-wide counts over the links of each document."""
-    n = int(pairs["pair"].max()) + 1 if len(pairs) else 1
-    count, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    count[pairs["pair"]], best[pairs["pair"]] = pairs["count"], pairs["best"]
-    times = [from_varint(x) for x in docs["times"]]
-    upto = _lists(list(map(len, times)))
-    times, step = np.concatenate([*times, np.zeros(0, np.int64)]), from_varint(b"".join(docs["pairs"]))
-    total = np.cumsum(step)
-    base = np.repeat(np.r_[0, total][upto[:-1]], np.diff(upto))
-    which = total - base
-    docs = docs.assign(n_best=_sums(times * best[which], upto), count_sum=_sums(times * count[which], upto))
+    own = docs["packed"].notna()
+    idx, links, pair = unpack_all(docs.loc[own, "packed"].tolist(), 3)
+    which, value = unpack_all(counts["packed"].tolist(), 2)
+    known = np.zeros(int(pair.max(initial=0)) + 1, np.int64)  # pairs of texts without tokens stay 0
+    known[which] = value
+    of = np.r_[0, np.cumsum(links)]
+    count, best = np.zeros(len(idx), np.int64), np.zeros(len(idx), np.int64)
+    count[idx], best[idx] = _sums(known[pair] >> 1, of), _sums(known[pair] & 1, of)
+    docs = docs[~own]
+    flat = from_varint(b"".join(docs["code"]))
+    upto = _lists(docs["size"].tolist())
+    docs = docs.assign(n_best=_sums(best[flat], upto), count_sum=_sums(count[flat], upto))
     docs["doc_id"] = docs["doc_id"].astype("Int64")
     return docs[[c.split()[0] for c in COUNTED.split(", ")]]
 
 
 def align_documents(docs: DataFrame, first: str = FIRST, second: str = SECOND, digest: bool = False) -> DataFrame:
     """``COUNTED`` of every row of ``docs`` (doc_id, text); ``digest`` gives the SHA-256 of the groups in their place."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch() as keep:
         coded = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode_blocks(first, second), CODED), "coded")
-        segments = coded.filter(F.col("segment").isNotNull()).select(F.col("block").alias("of"), "idx", "segment")
-        distinct = segments.select("segment").distinct()
-        aligned = distinct.mapInPandas(align_segments(first, second), ALIGNED)
-        back = segments.join(aligned, "segment").drop("segment")
+        segments = coded.filter(F.col("segment").isNotNull()).select("segment", "block", "idx")
+        sorted_ = segments.repartition(tasks, "segment").sortWithinPartitions("segment")
+        aligned = sorted_.mapInPandas(align_segments(first, second), PACKED)
         lists = coded.filter(F.col("row").isNotNull()).select("block", "row", "doc_id", "size", "code")
-        composed = lists.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(compose_block(digest), COMPOSED)
+        composed = lists.groupBy("block").cogroup(aligned.groupBy("block")).applyInPandas(compose_block(digest), COMPOSED)
         keep(composed := materialize(composed, "composed"))
-    found = composed.filter(F.col("pair").isNotNull()).select("block", "pair", "a", "b", "df")
+    found = composed.filter(F.col("found").isNotNull()).select("block", "found").mapInPandas(found_pairs, "block long, pair int, a int, b int, df long")
     counts = found.groupBy("a", "b").agg(F.sum("df").alias("count"))
     best = (F.col("count") == F.max("count").over(W.partitionBy("a"))).cast("long")  # at most one row an id of the second
-    known = found.drop("df").join(counts.withColumn("best", best), ["a", "b"]).select(F.col("block").alias("of"), "pair", "count", "best")
-    rows = composed.filter(F.col("row").isNotNull()).drop("row", "pair", "a", "b", "df")
-    return rows.groupBy("block").cogroup(known.groupBy("of")).applyInPandas(count_block, COUNTED)
+    known = found.select("a", "b", "block", "pair").join(counts.withColumn("best", best), ["a", "b"]).select("block", "pair", "count", "best").mapInPandas(pack_counts, PACKED)
+    rows = composed.drop("found", "row")
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(count_block, COUNTED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,9 @@ def test_varint():
     raw, ends = crosstok.to_varint(x)
     assert crosstok.from_varint(raw).tolist() == x.tolist() and ends[-1] == len(raw)
     assert crosstok.from_varint(raw[ends[2] : ends[6]]).tolist() == x[3:7].tolist()
+    lists = crosstok.unpack(crosstok.pack(x, x[:0], x[:3]), 3)
+    assert [y.tolist() for y in lists] == [x.tolist(), [], x[:3].tolist()]
+    assert crosstok.gather(np.array([0, 2, 2, 5]), np.arange(5), np.array([2, 0, 1, 2])).tolist() == [2, 3, 4, 0, 1, 2, 3, 4]
     assert crosstok.to_varint(x[:0])[0] == b"" and not len(crosstok.from_varint(b""))
 
 
@@ -129,6 +132,7 @@ def test_against_brute_force(spark, pair, monkeypatch, block, flat):
     if block != crosstok.BLOCK:  # small blocks, by functions that take their bounds along
         monkeypatch.setattr(crosstok, "BLOCK", block)
         monkeypatch.setattr(crosstok, "FLAT", flat)
+        monkeypatch.setattr(crosstok, "HELD", 100)
         frames = spark_free(pair, rows, 3)
         assert frames == brute(pair, rows)
         return
@@ -156,19 +160,21 @@ def spark_free(pair, rows, parts):
                 ids, lists, chars = [], [], 0
         if ids:
             blocks.append(pd.concat(crosstok._coded(len(blocks), ids, lists, index)))
+    everything = pd.concat(blocks)
+    segments = everything[everything["segment"].notna()][["segment", "block", "idx"]].astype({"block": int, "idx": int}).sort_values("segment", ignore_index=True)
+    crosstok._loaded[crosstok.FIRST, crosstok.SECOND] = pair
+    batches = [segments.iloc[k : k + 30].reset_index(drop=True) for k in range(0, len(segments), 30)]
+    aligned_ = pd.concat(crosstok.align_segments(crosstok.FIRST, crosstok.SECOND)(iter(batches)))
     composed = []
-    for b in blocks:
-        segments = b[b["segment"].notna()]
-        aligned_ = pair.align(segments["segment"].tolist()) if len(segments) else pd.DataFrame(columns=["segment", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
-        back = segments[["block", "idx"]].reset_index(drop=True).join(aligned_)
-        composed.append(crosstok.compose_block(True)(b[b["row"].notna()][["block", "row", "doc_id", "size", "code"]], back))
-    found = pd.concat([c[c["pair"].notna()] for c in composed]).astype({"a": int, "b": int, "df": int})
+    for k, b in enumerate(blocks):
+        lists = b[b["row"].notna()][["block", "row", "doc_id", "size", "code"]]
+        composed.append(crosstok.compose_block(True)(lists, aligned_[aligned_["block"] == k]))
+    found = pd.concat(crosstok.found_pairs(c[c["found"].notna()] for c in composed))
     counts = found.groupby(["a", "b"], as_index=False)["df"].sum().rename(columns={"df": "count"})
     counts["best"] = (counts["count"] == counts.groupby("a")["count"].transform("max")).astype(int)
-    out = []
-    for c in composed:
-        known = c[c["pair"].notna()][["pair", "a", "b"]].astype(int).merge(counts, on=["a", "b"])
-        out.append(crosstok.count_block(c[c["row"].notna()], known))
+    known = found.merge(counts, on=["a", "b"])
+    packed = pd.concat(crosstok.pack_counts(known.iloc[k : k + 50] for k in range(0, len(known), 50)))
+    out = [crosstok.count_block(c, packed[packed["block"] == k]) for k, c in enumerate(composed)]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     return sorted((tuple(None if pd.isna(r[n]) else r[n] for n in names) for _, r in pd.concat(out).iterrows()), key=repr)
 
