@@ -89,12 +89,15 @@ def unpack(raw: bytes, number: int) -> list[np.ndarray]:
     return [from_varint(raw[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
 
-def unpack_all(raws: list[bytes], number: int) -> list[np.ndarray]:
+def joined(each: list[list[np.ndarray]], number: int) -> list[np.ndarray]:
     """The lists of several strings, one after the other."""
-    each = [unpack(raw, number) for raw in raws]
     return [np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.int64) for k in range(number)]
 
 
+def unpack_all(raws: list[bytes], number: int) -> list[np.ndarray]:
+    return joined([unpack(raw, number) for raw in raws], number)
+
+
 def gather(upto: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The stretches ``which`` of ``values``, whose ends are ``upto`` (from 0), one after the other."""
     size = upto[which + 1] - upto[which]
@@ -251,15 +254,15 @@ def _by_block(block: np.ndarray, lists) -> pd.DataFrame:
 
 
 def _aligned(held: list[tuple], blocks: list[np.ndarray], numbers: list[np.ndarray], which: list[np.ndarray]) -> pd.DataFrame:
-    """Rows of segments by block: their numbers, links, steps and ids."""
+    """Rows of segments by block, in the order of their numbers: steps from one number to the next, links, steps and ids."""
     block, idx, d = np.concatenate(blocks), np.concatenate(numbers), np.concatenate(which)
-    order = np.argsort(block, kind="stable")
+    order = np.lexsort((idx, block))
     block, idx, d = block[order], idx[order], d[order]
     sizes = [np.concatenate([x[k] for x in held]) for k in range(3)]
     ends = [np.r_[0, np.cumsum(n)] for n in sizes]
     values = [gather(e, np.concatenate([x[k + 3] for x in held]), d) for k, e in enumerate(ends)]
     upto = [np.r_[0, np.cumsum(n[d])] for n in sizes]
-    return _by_block(block, lambda i, j: [idx[i:j], sizes[0][d[i:j]], *(v[u[i] : u[j]] for v, u in zip(values, upto, strict=True))])
+    return _by_block(block, lambda i, j: [np.diff(idx[i:j], prepend=0), sizes[0][d[i:j]], *(v[u[i] : u[j]] for v, u in zip(values, upto, strict=True))])
 
 
 def align_segments(first: str, second: str):
@@ -333,7 +336,11 @@ def compose_block(digest: bool):
     def run(docs: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values("row")
         upto = _lists(docs["size"].tolist())
-        idx, links, step, a, b = unpack_all(segments["packed"].tolist(), 5)
+        packed = [unpack(raw, 5) for raw in segments["packed"]]
+        for one in packed:
+            one[0] = np.cumsum(one[0])
+        idx, links, step, a, b = joined(packed, 5)
+        del packed
         n = len(idx)
         place = np.zeros(n, np.int64)
         place[idx] = np.arange(n)
@@ -417,13 +424,13 @@ def align_documents(docs: DataFrame, first: str = FIRST, second: str = SECOND, d
     """``COUNTED`` of every row of ``docs`` (doc_id, text); ``digest`` gives the SHA-256 of the groups in their place."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch() as keep:
-        coded = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode_blocks(first, second), CODED), "coded")
+        coded = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode_blocks(first, second), CODED), "coded", "zstd")
         segments = coded.filter(F.col("segment").isNotNull()).select("segment", "block", "idx")
         sorted_ = segments.repartition(tasks, "segment").sortWithinPartitions("segment")
         aligned = sorted_.mapInPandas(align_segments(first, second), PACKED)
         lists = coded.filter(F.col("row").isNotNull()).select("block", "row", "doc_id", "size", "code")
         composed = lists.groupBy("block").cogroup(aligned.groupBy("block")).applyInPandas(compose_block(digest), COMPOSED)
-        keep(composed := materialize(composed, "composed"))
+        keep(composed := materialize(composed, "composed", "zstd"))
     found = composed.filter(F.col("found").isNotNull()).select("block", "found").mapInPandas(found_pairs, "block long, pair int, a int, b int, df long")
     counts = found.groupBy("a", "b").agg(F.sum("df").alias("count"))
     best = (F.col("count") == F.max("count").over(W.partitionBy("a"))).cast("long")  # at most one row an id of the second
