@@ -49,7 +49,7 @@ CANDIDATES = " \n\t\r"  # white space before which a text may be cut, where that
 WHITE = "\\s\x1c-\x1f\x85\u180e\u200b\ufeff"
 CODED = "block long, row int, doc_id long, size int, code binary, idx int, segment string"
 PACKED = "block long, packed binary"
-COMPOSED = "block long, row int, doc_id long, size int, n_a long, n_b long, n_groups long, n_links long, groups string, code binary, packed binary, found binary"
+COMPOSED = "block long, row int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, packed binary, found binary"
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -366,7 +366,7 @@ def compose_block(digest: bool):
             df += np.bincount(both % p, minlength=p)[: len(keys)]
             k = m
         block = docs["block"].iloc[0]
-        rows = {"block": block, "row": docs["row"].to_numpy(), "doc_id": docs["doc_id"].to_numpy(), "size": np.where(whole, docs["size"], 0), "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "groups": groups, "code": [c if ok else b"" for c, ok in zip(docs["code"], whole.tolist(), strict=True)]}
+        rows = {"block": block, "row": docs["row"].to_numpy(), "doc_id": docs["doc_id"].to_numpy(), "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "groups": groups}
         known = {"block": block, "packed": [pack(idx, links, pair)], "found": [pack(keys >> 32, keys & 0xFFFFFFFF, df)]}
         return pd.concat([_frame(rows, len(docs), COMPOSED), _frame(known, 1, COMPOSED)], ignore_index=True)
 
@@ -412,10 +412,11 @@ def count_block(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     of = np.r_[0, np.cumsum(links)]
     count, best = np.zeros(len(idx), np.int64), np.zeros(len(idx), np.int64)
     count[idx], best[idx] = _sums(known[pair] >> 1, of), _sums(known[pair] & 1, of)
-    docs = docs[~own]
-    flat = from_varint(b"".join(docs["code"]))
-    upto = _lists(docs["size"].tolist())
-    docs = docs.assign(n_best=_sums(best[flat], upto), count_sum=_sums(count[flat], upto))
+    listed = docs["code"].notna()
+    lists, docs = docs[listed].sort_values("row"), docs[~own & ~listed].sort_values("row")
+    flat, upto = from_varint(b"".join(lists["code"])), _lists(lists["size"].tolist())
+    whole = docs["n_links"].to_numpy() > 0
+    docs = docs.assign(n_best=np.where(whole, _sums(best[flat], upto), 0), count_sum=np.where(whole, _sums(count[flat], upto), 0))
     docs["doc_id"] = docs["doc_id"].astype("Int64")
     return docs[[c.split()[0] for c in COUNTED.split(", ")]]
 
@@ -430,12 +431,12 @@ def align_documents(docs: DataFrame, first: str = FIRST, second: str = SECOND, d
         aligned = sorted_.mapInPandas(align_segments(first, second), PACKED)
         lists = coded.filter(F.col("row").isNotNull()).select("block", "row", "doc_id", "size", "code")
         composed = lists.groupBy("block").cogroup(aligned.groupBy("block")).applyInPandas(compose_block(digest), COMPOSED)
-        keep(composed := materialize(composed, "composed", "zstd"))
+        keep(coded, composed := materialize(composed, "composed", "zstd"))
     found = composed.filter(F.col("found").isNotNull()).select("block", "found").mapInPandas(found_pairs, "block long, pair int, a int, b int, df long")
     counts = found.groupBy("a", "b").agg(F.sum("df").alias("count"))
     best = (F.col("count") == F.max("count").over(W.partitionBy("a"))).cast("long")  # at most one row an id of the second
     known = found.select("a", "b", "block", "pair").join(counts.withColumn("best", best), ["a", "b"]).select("block", "pair", "count", "best").mapInPandas(pack_counts, PACKED)
-    rows = composed.drop("found", "row")
+    rows = composed.drop("found").unionByName(lists.drop("doc_id"), allowMissingColumns=True)
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(count_block, COUNTED)
 
 

@@ -165,16 +165,17 @@ def spark_free(pair, rows, parts):
     crosstok._loaded[crosstok.FIRST, crosstok.SECOND] = pair
     batches = [segments.iloc[k : k + 30].reset_index(drop=True) for k in range(0, len(segments), 30)]
     aligned_ = pd.concat(crosstok.align_segments(crosstok.FIRST, crosstok.SECOND)(iter(batches)))
-    composed = []
+    composed, coded = [], []
     for k, b in enumerate(blocks):
         lists = b[b["row"].notna()][["block", "row", "doc_id", "size", "code"]]
+        coded.append(lists.drop(columns="doc_id"))
         composed.append(crosstok.compose_block(True)(lists, aligned_[aligned_["block"] == k]))
     found = pd.concat(crosstok.found_pairs(c[c["found"].notna()] for c in composed))
     counts = found.groupby(["a", "b"], as_index=False)["df"].sum().rename(columns={"df": "count"})
     counts["best"] = (counts["count"] == counts.groupby("a")["count"].transform("max")).astype(int)
     known = found.merge(counts, on=["a", "b"])
     packed = pd.concat(crosstok.pack_counts(known.iloc[k : k + 50] for k in range(0, len(known), 50)))
-    out = [crosstok.count_block(c, packed[packed["block"] == k]) for k, c in enumerate(composed)]
+    out = [crosstok.count_block(pd.concat([c, coded[k]]), packed[packed["block"] == k]) for k, c in enumerate(composed)]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     return sorted((tuple(None if pd.isna(r[n]) else r[n] for n in names) for _, r in pd.concat(out).iterrows()), key=repr)
 
