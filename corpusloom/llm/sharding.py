@@ -5,8 +5,10 @@ number of rows, however large the input), and a versioned map says which shard o
 map: it moves whole slots and never rehashes a record.
 
 Groups of equal texts are spread by their ids: under the law ``bytes`` a shard has to get an equal part of a group that
-holds a third of all bytes, so such groups do not stay together. Rows are written once, narrow; where one row is repeated
-so often that its slot has more than ``HEAVY`` times the mean, the rows of that slot are dealt over all slots.
+holds a third of all bytes, so such groups do not stay together. A record is what is written of a row, and where a record is
+there several times, its copies are told apart by a number from 0. A slot is the hash of a record and its copy, so the
+stored map finds and moves any record, in whatever files it lies. Copies are counted, not listed: equal records meet as a
+count, and are dealt out in runs of ``RUN``.
 
 Edge cases: a null text has no bytes (size 1, the CRC of the empty string); a null id hashes by the rest of the row; very
 long texts count whole; repeated rows get different places, and rows that tie in a slot any order of places; an empty
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, utf8_crc32
 
 SLOTS = 8192
-HEAVY, HEAVY_ROWS = 8, 1000  # times the mean, and rows at least, from which a slot is dealt out
+RUN = 1000  # copies of a record that a row stands for while they are dealt out
 
 
 @dataclass(frozen=True)
@@ -108,16 +110,15 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and the record's virtual slot, as a written table."""
+    """doc_id, size, text_crc32, the number of the copy and its virtual slot, as a written table."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), utf8_crc32(F.col("text")).alias("text_crc32"), F.monotonically_increasing_id().alias("row_id"))
-    rows = materialize(rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int")), "slotted")
-    counts = slot_weights(rows)[1]
-    heavy = [s for s, n in counts.items() if n > max(HEAVY_ROWS, HEAVY * sum(counts.values()) / slots)]
-    if not heavy:
-        return rows.drop("row_id")
-    dealt = F.pmod(F.xxhash64("row_id", "virtual_slot"), F.lit(slots)).cast("int")
-    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(*heavy), dealt).otherwise(F.col("virtual_slot"))).drop("row_id")
+    record = ["doc_id", "text_crc32", "size"]
+    records = docs.select("doc_id", size.alias("size"), utf8_crc32(F.col("text")).alias("text_crc32")).groupBy(*record).agg(F.count(F.lit(1)).alias("copies"))
+    runs = records.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))))
+    runs = runs.hint("rebalance")  # a record that is there very often has many runs
+    copies = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("copies")) - 1)))
+    slot = F.pmod(F.xxhash64(*record, "copy"), F.lit(slots)).cast("int")
+    return materialize(copies.select("doc_id", "size", "text_crc32", "copy", slot.alias("virtual_slot")), "slotted")
 
 
 def slot_weights(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
@@ -133,7 +134,7 @@ def assign(rows: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> DataFr
         first.append((slot, shard, at[shard]))
         at[shard] += counts.get(slot, 0)
     table = rows.sparkSession.createDataFrame(first, "virtual_slot int, shard int, first long")
-    order = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    order = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy")
     return (
         rows.withColumn("nth", F.row_number().over(order))
         .join(F.broadcast(table), "virtual_slot")  # one row a slot, a fixed number
@@ -154,12 +155,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, store:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: all documents into shards 0 to 7 under the law ``bytes``."""
+    """op8: all documents into shards 0 to 7 under the law ``bytes``, and where each goes when the map is edited for a ninth."""
     import uuid
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out, slot_map = shard_documents(docs, 8, SLOTS, f"{shared_dir(spark)}/corpusloom/slot-map-{uuid.uuid4().hex}")
-    return out.select(
+    store = f"{shared_dir(spark)}/corpusloom/slot-map-{uuid.uuid4().hex}"
+    out, slot_map = shard_documents(docs, 8, SLOTS, store)
+    save_map(spark, grow_map(slot_map, slot_weights(out)[0]), store)
+    grown = load_map(spark, store)
+    owners = spark.createDataFrame(list(enumerate(grown.owner)), "virtual_slot int, shard_of_nine int")
+    return out.join(F.broadcast(owners), "virtual_slot").select(  # one row a slot, a fixed number
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"), "shard_of_nine",
     )

@@ -67,3 +67,23 @@ def test_a_row_repeated_over_and_over_is_dealt_out(spark):
         loads[r["shard"]] += r["size"]
     assert max(loads.values()) - min(loads.values()) < 0.01 * sum(loads.values())
     assert max(Counter(r["virtual_slot"] for r in rows).values()) < 100
+
+
+def test_a_slot_follows_from_the_record(spark):
+    docs = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "if(id % 3 = 0, 'y', 'x') AS text")
+    names = ["doc_id", "size", "text_crc32", "copy", "virtual_slot"]
+    one, other = (sorted(map(tuple, sh.slotted(docs.repartition(n)).select(*names).collect())) for n in (1, 13))
+    assert one == other  # whatever the files
+    assert sorted(r[3] for r in one if r[0] == 7 and r[2] == zlib.crc32(b"y")) == list(range(2000))
+    more = sh.slotted(docs.unionByName(spark.createDataFrame([(7, "y"), (-1, "new")], "doc_id long, text string"))).select(*names)
+    assert len(set(map(tuple, more.collect())) - set(one)) == 2  # no record moves when others come
+
+
+def test_the_edited_map_moves_rows_to_the_new_shard_only(spark):
+    rows = sh.query(spark, "/root/testdata/sf0.001").collect()
+    moved = [r for r in rows if r["shard"] != r["shard_of_nine"]]
+    assert moved and {r["shard_of_nine"] for r in moved} == {8}
+    loads = Counter()
+    for r in rows:
+        loads[r["shard_of_nine"]] += r["size"]
+    assert loads[8] < sum(loads.values()) / 8
