@@ -8,9 +8,10 @@ each query and expands all that are not yet expanded, until none is left.
 
 At scale: nodes are dealt by hash into blocks, two for each core of the cluster, and more where one would receive more than
 ``BLOCK_BYTES`` of vectors. A block receives each vector that it needs once, whatever the number of its edges to it, and a
-search sends only the vectors of the nodes that its frontier asks for. What a block sends on is cut to what can still
+search sends only the vectors of the nodes that its frontier asks for. It ends when every node of a beam is expanded: a node
+enters a beam only above its worst, so none comes back. What a block sends on is cut to what can still
 matter: the best ``NEIGHBOURS`` per node, the best ``BEAM`` per query. Reverse lists are sampled where they are made, so a hub sends a
-bounded number of edges per task. Queries are distinct vectors; copies are expanded at the end.
+bounded number of edges per task, and again where they are used, so no list is longer than ``NEIGHBOURS`` + ``REVERSE``. Queries are distinct vectors; copies are expanded at the end.
 
 Parameters: ``NEIGHBOURS`` in the graph, ``REVERSE`` sampled reverse neighbours, ``ROUNDS`` at most, ``BEAM`` nodes kept
 per query. The graph holds every row; recall against brute force is part of the tests.
@@ -36,7 +37,6 @@ REVERSE = 32
 ROUNDS = 4
 SETTLED = 0.02  # share of new edges below which the graph is taken as it is
 BEAM = 160
-HOPS = 30
 BLOCK_BYTES = 128 << 20  # of vectors that a block of the graph receives, about and at most
 LEAF = 512
 TREES = 2
@@ -268,6 +268,22 @@ def build_graph(nodes: DataFrame, rounds: int = ROUNDS, k: int = NEIGHBOURS, see
 # --- search --------------------------------------------------------------------------------------------------------
 
 
+def _adjacent(reverse: int):
+    """(owner, near): each node's neighbours and its sampled reverse neighbours, once each."""
+
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        owner, member = lists["owner"].to_numpy(), lists["member"].to_numpy()
+        keep = _limit_reverse(owner, member, lists["new"].to_numpy(), lists["back"].to_numpy(), reverse)
+        order = keep[np.lexsort((member[keep], owner[keep]))]
+        owner, member = owner[order], member[order]
+        once = np.r_[True, (owner[1:] != owner[:-1]) | (member[1:] != member[:-1])]
+        owner, member = owner[once], member[once]
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        return pd.DataFrame({"owner": owner[first], "near": np.split(member, first[1:])})
+
+    return run
+
+
 def _score_pairs(beam: int):
     def run(pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         """Best ``beam`` of each query among this block's nodes, if better than the query's worst."""
@@ -309,8 +325,8 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, blocks: int,
     ``entries`` (q, node) are the nodes where a query starts; by default each starts at 16 nodes of least id.
     """
     state_of = "q long, node long, score float, expanded boolean"
-    adjacency = neighbour_lists(edges, REVERSE, -1).groupBy("owner").agg(F.collect_set("member").alias("near"))
-    adjacency = materialize(adjacency, "adjacency")
+    lists = neighbour_lists(edges, REVERSE, -1)
+    adjacency = materialize(lists.groupBy(_block("owner", blocks)).applyInPandas(_adjacent(REVERSE), "owner long, near array<long>"), "adjacency")
     queries = materialize(queries.select("q", "vec"), "queries")
     if entries is None:
         some = nodes.select("node").orderBy("node").limit(16)
@@ -337,7 +353,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, blocks: int,
 
     pairs = placed(entries.select("q", "node"))
     state = merged(scored(pairs, None).withColumn("expanded", F.lit(False)))
-    for _ in range(HOPS):
+    while True:
         forget(pairs)
         frontier = state.filter("NOT expanded").select("q", "node")
         if frontier.isEmpty():

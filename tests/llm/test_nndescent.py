@@ -109,3 +109,12 @@ def test_free_queries_start_anywhere(spark):
     for k, v in enumerate(q):
         best = sorted((f for f in found if f["q"] == k), key=lambda f: -f["score"])[:10]
         assert len({ids[f["node"]] for f in best} & set(np.argsort(-(x @ v))[:10].tolist())) >= 9
+
+
+def test_adjacency_is_bounded():
+    import pandas as pd
+
+    lists = pd.DataFrame({"owner": [1] * 500 + [2, 2, 2], "member": [*range(2, 502), 3, 3, 4], "new": True, "back": [False] * 5 + [True] * 495 + [False, True, True]})
+    got = nn._adjacent(32)(lists)
+    near = dict(zip(got["owner"], got["near"], strict=True))
+    assert len(near[1]) == 37 and set(range(2, 7)) <= set(near[1]) and sorted(near[2]) == [3, 4]
