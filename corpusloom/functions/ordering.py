@@ -1,9 +1,11 @@
 """Running totals and row numbers over a total order without sorting everything in one task.
 
-The order key is cut into ranges at approximate quantiles, as many as the rows need. A key value that spans several
-quantiles is cut further by the first tie breaker, so ties do not meet in one task either. Totals run within a range;
-what lies before a range is summed over one row a range. A stream may be split further by ``within`` columns; a null
-there is a stream like any other. Null keys come first.
+A table of up to ``ROWS`` rows is one range. A larger one is cut into ranges at quantiles of a sample, one for ``ROWS`` rows
+and ``GRID`` at most; beyond that ranges grow, and Spark sorts them on disk. A key value that spans several quantiles, or a
+null that does, is cut further by the first tie breaker, a number or a text, so ties do not meet in one task either. Totals
+run within a range; what lies before a range is summed over one row a range. The sample decides where ranges end and
+nothing else. A stream may be split further by ``within`` columns; a null there is a stream like any other. Null keys come
+first. Pass narrow rows: a key, what is counted and a row number, and join the result back.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRID = 2048  # quantiles that are looked at, and the most ranges
+GRID = 4096  # ranges at most
 ROWS = 100_000  # of a range, about
+SAMPLED = 32  # rows of the sample for each range, which the driver sorts
+SEED = 1
 
 
 def past_cuts(key: Column, cuts: list) -> Column:
@@ -31,22 +35,30 @@ def past_cuts(key: Column, cuts: list) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.greatest(group - 1, F.lit(0)) * step + inside + 1)
 
 
+def _quantiles(values: list, parts: int) -> list:
+    values = sorted(values)
+    return [values[len(values) * i // parts] for i in range(1, parts)] if values else []
+
+
 def range_bucket(df: DataFrame, key: str, ties: tuple[str, ...] = ()) -> Column:
     """Number of the range of a numeric ``key``, and of the first of ``ties`` within a frequent key, rising with the order."""
-    at = [i / GRID for i in range(1, GRID)]
-    columns = [key, *(t for t in ties[:1] if isinstance(df.schema[t].dataType, T.NumericType))]
-    got = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, at, 20 * GRID).alias(f"cuts{i}") for i, c in enumerate(columns)]).first()
-    keep = max(1, GRID * ROWS // max(1, got["n"]))  # every so many quantiles make a range
-    quantiles = got["cuts0"] or []
-    cuts = sorted(set(quantiles[keep - 1 :: keep]))
-    often = sorted({a for a, b in zip(quantiles, quantiles[keep:], strict=False) if a == b}) if len(columns) > 1 else []
-    if not often:
+    n = df.count()
+    ranges = min(GRID, -(-n // ROWS))
+    if ranges < 2:
+        return F.lit(0)
+    splits = [t for t in ties[:1] if isinstance(df.schema[t].dataType, T.NumericType | T.StringType)]
+    sample = df.select(key, *splits).sample(min(1.0, SAMPLED * ranges / n), SEED).collect()
+    keys = _quantiles([r[0] for r in sample if r[0] is not None], ranges)
+    cuts, often = sorted(set(keys)), {a for a, b in zip(keys, keys[1:], strict=False) if a == b}
+    nulls = sum(r[0] is None for r in sample) * ranges > 2 * len(sample)
+    if not splits or not (often or nulls):
         return past_cuts(F.col(key), cuts)
-    cuts = sorted({*cuts, *often})
-    parts = sorted(set((got["cuts1"] or [])[keep - 1 :: keep]))
-    frequent = F.col(key).isin(*often)
+    held = [r[1] for r in sample if r[1] is not None and (r[0] in often or nulls and r[0] is None)]
+    parts = sorted(set(_quantiles(held, max(2, ranges * len(held) // max(1, len(sample))))))
+    frequent = F.col(key).isin(*often) if often else F.lit(False)
     # A range starts at a frequent key: its rows come first there, in parts, and the others after them.
-    return past_cuts(F.col(key), cuts) * (len(parts) + 3) + F.when(frequent, past_cuts(F.col(columns[1]), parts)).otherwise(F.lit(len(parts) + 2))
+    part = F.when(frequent | F.lit(nulls) & F.col(key).isNull(), past_cuts(F.col(splits[0]), parts)).otherwise(F.lit(len(parts) + 2))
+    return past_cuts(F.col(key), cuts) * (len(parts) + 3) + part
 
 
 def running_total(df: DataFrame, value: Column, key: str, name: str, within: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:

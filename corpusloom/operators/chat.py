@@ -82,19 +82,28 @@ def _next_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return following, bins, held
 
 
-def next_fit_bins(lengths: DataFrame, capacity: int, order: str = "conv_id") -> DataFrame:
-    """(order, bin, start): a bin closes when the next row would exceed it.
+def numbered(rows: DataFrame, order: str, *columns) -> DataFrame:
+    """(``order``, ``columns``, _tie, _row), written: a number of each row, and a digest that orders rows of one ``order``."""
+    out = rows.select(order, *columns)
+    return written(out.withColumn("_tie", F.xxhash64(*out.columns)).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def bins_of_rows(rows: DataFrame, capacity: int, order: str) -> DataFrame:
+    """(_row, bin, start) of a written table (``order``, length, _tie, _row): a bin closes when the next row would exceed it.
+
+    Rows go by ``order``, null first, then by ``_tie`` and ``_row``; no two are the same row.
 
     Next fit is a fold, but what a range of rows does with it depends only on how full the bin is that it finds, and then
     on the row where that bin closes: a range gives one entry for each row that could be the one (no more than fit into a
     bin). The driver goes through these entries, one range after the other; then all ranges place their rows side by side.
     """
-    kind = {f.name: f.dataType.simpleString() for f in lengths.schema.fields}[order]
-    rows = written(lengths.select(order, F.col("length").cast("long").alias("length")), "lengths")
-    rows = rows.withColumn("range", range_bucket(rows, order))
+    kind = rows.schema[order].dataType
+    place = [F.col(order).isNotNull().alias("named"), F.coalesce(order, F.lit(0).cast(kind)).alias("key")]
+    rows = rows.select(*place, "_tie", "_row", "length", range_bucket(rows, order, ("_tie",)).cast("long").alias("range"))
+    by = ["named", "key", "_tie", "_row"]
 
     def outcomes(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
+        group = group.sort_values(by)
         n, total = group["length"].to_numpy(), np.cumsum(group["length"].to_numpy())
         _, bins, held = _next_fit(n, capacity)
         closing = np.flatnonzero((n > 0) & (np.r_[0, total[:-1]] < capacity))  # rows that may not fit into a bin that is found
@@ -114,8 +123,8 @@ def next_fit_bins(lengths: DataFrame, capacity: int, order: str = "conv_id") ->
         else:
             used += r["all"]
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
+    def place_rows(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(by)
         n, used = group["length"].to_numpy(), int(group["used"].iloc[0])
         total = np.r_[0, np.cumsum(n)]
         following, *_ = _next_fit(n, capacity)
@@ -126,21 +135,31 @@ def next_fit_bins(lengths: DataFrame, capacity: int, order: str = "conv_id") ->
             to = following[k]
             bins[k:to], starts[k:to] = b, total[k:to] - total[k]
             k, b = to, b + 1
-        return pd.DataFrame({order: group[order], "bin": group["at"].iloc[0] + bins, "start": starts})
+        return pd.DataFrame({"_row": group["_row"], "bin": group["at"].iloc[0] + bins, "start": starts})
 
     known = rows.sparkSession.createDataFrame(starts, "range long, at long, used long")
-    placed = rows.withColumn("range", F.col("range").cast("long")).join(F.broadcast(known), "range")  # one row a range
-    return placed.groupBy("range").applyInPandas(place, f"{order} {kind}, bin long, start long")
+    placed = rows.join(F.broadcast(known), "range")  # one row a range
+    return placed.groupBy("range").applyInPandas(place_rows, "_row long, bin long, start long")
+
+
+def next_fit_bins(lengths: DataFrame, capacity: int, order: str = "conv_id") -> DataFrame:
+    """(order, bin, start) of each row of ``lengths`` (order, length)."""
+    rows = numbered(lengths, order, F.col("length").cast("long").alias("length"))
+    return rows.select(order, "_row").join(bins_of_rows(rows, capacity, order), "_row").drop("_row")
 
 
 def pack_next_fit(rows: DataFrame, capacity: int, order: str = "conv_id", split_last: bool = True) -> DataFrame:
     """(seq_id, input_ids, labels), each ``capacity`` long.
 
     A conversation longer than a bin is cut there; the last bin is padded and, with ``split_last``, goes on over as many
-    sequences as it needs.
+    sequences as it needs. Rows without an id come first and rows that share one go by content; each is packed once. Rows
+    without tokens give nothing; labels that are null count as ignored.
     """
-    bins = next_fit_bins(rows.select(order, F.size("input_ids").alias("length")), capacity, order)
-    joined = rows.join(bins, order).groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("start", "input_ids", "labels"))).alias("parts"))
+    labels = F.coalesce("labels", F.transform("input_ids", lambda _: F.lit(IGNORED)))
+    held = numbered(rows.filter(F.size("input_ids") > 0), order, "input_ids", labels.alias("labels"))
+    lengths = written(held.select(order, "_tie", "_row", F.size("input_ids").cast("long").alias("length")), "lengths")
+    bins = written(bins_of_rows(lengths, capacity, order), "bins")
+    joined = held.join(bins, "_row").groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("start", "input_ids", "labels"))).alias("parts"))
     last = bins.agg(F.max("bin").alias("last"))
     flat = lambda name: F.flatten(F.transform("parts", lambda p: p[name]))
     whole = joined.select("bin", flat("input_ids").alias("ids"), flat("labels").alias("labels")).join(F.broadcast(last), F.lit(True))  # one row

@@ -34,8 +34,12 @@ def pack(
     documents without tokens; otherwise they contribute their markers.
     """
     rows = docs.filter(F.size("ids") > 0) if skip_empty else docs
-    rows = written(rows.select(*streams, order, *ties, wrap(F.col("ids"), bos, eos).alias("wrapped")), "wrapped")  # tokens are made once
-    rows = running_total(rows, F.size("wrapped").cast("long"), order, "start", streams, ties).filter(F.size("wrapped") > 0)
+    rows = rows.select(*streams, order, *ties, wrap(F.col("ids"), bos, eos).alias("wrapped")).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows, "wrapped")  # tokens are made once, and rows are numbered
+    # Lengths alone are put in order; tokens meet their place by the row's number.
+    lengths = written(rows.select(*streams, order, *ties, "_row", F.size("wrapped").cast("long").alias("length")), "lengths")
+    starts = running_total(lengths, F.col("length"), order, "start", streams, (*ties, "_row")).select("_row", "start")
+    rows = rows.filter(F.size("wrapped") > 0).join(starts, "_row").drop("_row")
     n = F.size("wrapped")
     last = F.floor((F.col("start") + n - 1) / length)
     cut = rows.withColumn("seq_id", F.explode(F.sequence(F.floor(F.col("start") / length), last)))
