@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key_digest, u01
 from ..functions.ordering import row_index
+from ..functions.permutation import permutation
 
 #: Domain weights of the training phases.
 PHASE1 = {"wikipedia": 0.50, "books": 0.30, "arxiv": 0.20}
@@ -37,6 +38,21 @@ def shuffle_rank(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return row_index(rows.withColumn("_place", place), "_place", "rank", ties=(key,)).drop("_place")
 
 
+def epoch_rank(rows: DataFrame, idx: str, n: int, seed: int | str, name: str = "rank") -> DataFrame:
+    """``rows`` with their place in an epoch's order of the dense numbers ``idx`` below ``n``: no sort, no shuffle."""
+    return rows.withColumn(name, permutation(F.col(idx), n, seed))
+
+
+def epoch_slice(store, first: int, last: int, seed: int | str) -> DataFrame:
+    """(rank, idx and the columns of the row) of the ranks ``first`` to ``last`` (exclusive) of an epoch over a shard store.
+
+    Ranks go back to indexes by the inverse permutation, and only the shards that hold these are opened.
+    """
+    total = store.total()
+    ranks = store.spark.range(min(first, total), min(last, total)).withColumnRenamed("id", "rank")
+    return store.locate(ranks.withColumn("idx", permutation(F.col("rank"), total, seed, back=True)))
+
+
 def normalized(weights: dict[str, float]) -> list[tuple[str, float]]:
     """(domain, upper end of its interval in [0, 1]), in the order given."""
     total, at, out = sum(weights.values()), 0.0, []
