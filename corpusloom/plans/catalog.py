@@ -7,6 +7,7 @@ conversation's, and a user's events are the steps of a run.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import u01, u01_sql
 from ..functions.ordering import row_index
-from ..operators import chat, corpus_rules, curation, mixture, packing, preference, telemetry, tokens
+from ..functions.permutation import permutation_sql
+from ..functions.tables import shared_dir, written
+from ..operators import chat, corpus_rules, curation, mixture, neardup, packing, preference, telemetry, tokens
 from ..session import table
+from ..sources.npy import scan_token_arrays, write_token_shards
+from ..sources.shards import ShardStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -329,6 +334,58 @@ def locate_rows(spark, sf):
     return packing.locate(docs, wanted, ("doc_id",)).select("idx", "doc_id")
 
 
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents),
+w AS (SELECT 5 * rn - 3 AS idx, n FROM r)
+SELECT idx, doc_id, rn // 100 AS shard_id, rn % 100 AS row_in_shard FROM w JOIN r ON rn = (idx % w.n + w.n) % w.n""")
+def locate_in_shards(spark, sf):
+    """Indexes up to five times the end, and three from before the start, in a store that was written in two batches."""
+    store, n = document_store(spark, sf)
+    wanted = spark.range(n).select((F.col("id") * 5 - 3).alias("idx"))
+    return store.locate(wanted).select("idx", "doc_id", "shard_id", "row_in_shard")
+
+
+def document_store(spark, sf) -> tuple[ShardStore, int]:
+    """Ids of the documents in shards of 100, in two batches, and their number."""
+    docs = documents(spark, sf).select("doc_id")
+    ranked = written(row_index(docs, "doc_id", "at"), "ranked")
+    n, store = ranked.count(), ShardStore(spark, f"{shared_dir(spark)}/corpusloom/store-{uuid.uuid4().hex}")
+    half = n // 200 * 100
+    store.append(ranked.filter(F.col("at") < half).drop("at"), ("doc_id",), 100)
+    store.append(ranked.filter(F.col("at") >= half).drop("at"), ("doc_id",), 100)
+    return store, n
+
+
+NUMBERED = "s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)"
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, {permutation_sql("s", "idx", "epoch 3")}
+SELECT doc_id, place AS rank, place // 32 AS batch_id, place % 32 AS pos_in_batch FROM permuted JOIN s USING (idx) WHERE place // 32 < n // 32""")
+def epoch_batches(spark, sf):
+    """Batches of an epoch whose order is a keyed permutation of the rows' numbers."""
+    rows = written(row_index(documents(spark, sf).select("doc_id"), "doc_id", "idx"), "numbered")
+    n = rows.count()
+    return mixture.batches(mixture.epoch_rank(rows, "idx", n, "epoch 3"), "rank", 32, total=n).select("doc_id", "rank", "batch_id", "pos_in_batch")
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, {permutation_sql("s", "idx", "epoch 3")}
+SELECT place AS rank, idx, doc_id FROM permuted JOIN s USING (idx) WHERE place >= n // 4 AND place < n // 2""")
+def epoch_slice(spark, sf):
+    """The second quarter of the same epoch, found rank by rank in a store."""
+    store, n = document_store(spark, sf)
+    return mixture.epoch_slice(store, n // 4, n // 2, "epoch 3").select("rank", "idx", "doc_id")
+
+
+@query(f"""WITH p AS ({pack_sql(512)}) SELECT CAST(seq_id // 64 AS BIGINT) AS shard_id, seq_id % 64 AS row, ids_md5 FROM p""")
+def npy_shards(spark, sf):
+    """Packed sequences, written as array files of 64 rows and read back in slices of 24 rows."""
+    path = f"{shared_dir(spark)}/corpusloom/npy-{uuid.uuid4().hex}"
+    packed = packing.pack(encoded(spark, sf), 512)
+    write_token_shards(written(packing.shard(packed, 64).select("shard_id", "row_in_shard", "input_ids"), "sequences"), path.removeprefix("file://"))
+    rows = scan_token_arrays(spark, path.removeprefix("file://"), slice_rows=24, width=512)
+    shard_id = F.regexp_extract("file", r"shard_(\d+)\.npy$", 1).cast("long")
+    return rows.select(shard_id.alias("shard_id"), "row", digest("ids", "ids_md5"))
+
+
 # --- conversations -------------------------------------------------------------------------------------------------
 
 
@@ -717,3 +774,9 @@ j AS (SELECT key_a, key_b, c / (x.n + y.n - c)::DOUBLE AS jaccard FROM met JOIN
 SELECT key_a, key_b, jaccard FROM j WHERE jaccard >= 0.8 UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM least WHERE doc_id <> rep""")
 def shingle_near_duplicates(spark, sf):
     return corpus_rules.shingle_jaccard(documents(spark, sf).select("doc_id", "text"))
+
+
+@query()
+def minhash_near_duplicates(spark, sf):
+    """Class, links and verdict of every document by banded MinHash, candidates compared exactly."""
+    return neardup.near_classes(documents(spark, sf).select("doc_id", "text"))
