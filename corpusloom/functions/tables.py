@@ -1,13 +1,20 @@
-"""Intermediate tables: lineage ends in a written table in the folder that driver and executors share."""
+"""Intermediate tables: lineage ends in a written table in the folder that driver and executors share.
+
+What a function returns may read its tables later, so it cannot delete them itself: store the result, then :func:`release`
+what has been written, or wrap both in :func:`tables_of`.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[tempfile.TemporaryDirectory] = []  # deleted when the interpreter ends
+_paths: list[str] = []  # of tables that have not been released
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,4 +33,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` evaluated once, written as Parquet and read back."""
     path = f"{shared_dir(df.sparkSession)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that :func:`written` has left, from the ``since``-th on; how many."""
+    gone = _paths[since:]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _paths[since:]
+    return len(gone)
+
+
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[None]:
+    """Release the tables that are written inside, when what is computed there has been stored."""
+    since = len(_paths)
+    try:
+        yield
+    finally:
+        release(spark, since)

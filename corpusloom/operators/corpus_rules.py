@@ -26,21 +26,21 @@ def words(text: Column) -> Column:
 
 
 def unigram_perplexity(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, perplexity) under the unigram model of the corpus itself.
+    """(key, n_words, perplexity) under the unigram model of the corpus itself, one row for each row with words.
 
-    The model is written once; a text meets it through its distinct words only. Words of most texts would be keys with a
-    row a text: the ``FREQUENT`` most frequent meet the model by broadcast instead.
+    Words are counted once, by text, and the model is the sum of these counts. Words of most texts would be keys with a row a
+    text: the ``FREQUENT`` most frequent meet the model by broadcast instead.
     """
-    terms = docs.filter(F.col("text") != "").select(key, F.explode(words(F.col("text"))).alias("word"))
-    own = terms.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    model = written(terms.groupBy("word").agg(F.count(F.lit(1)).alias("freq")), "word-counts")
+    texts = docs.filter(F.col("text") != "").select(F.monotonically_increasing_id().alias("_row"), key, F.explode(words(F.col("text"))).alias("word"))
+    own = written(texts.groupBy("_row", key, "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    model = written(own.groupBy("word").agg(F.sum("n").alias("freq")), "word-counts")
     total = model.agg(F.sum("freq").alias("total"))
-    frequent = model.orderBy(F.desc("freq"), "word").limit(FREQUENT)
+    frequent = written(model.orderBy(F.desc("freq"), "word").limit(FREQUENT), "frequent")
     scored = own.join(F.broadcast(frequent), "word").unionByName(
         own.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(model, "word")
     ).join(F.broadcast(total), F.lit(True))  # one row
     bits = F.sum(F.col("n") * -F.log(F.col("freq") / F.col("total")))
-    return scored.groupBy(key).agg(F.sum("n").alias("n_words"), bits.alias("nll")).withColumn("perplexity", F.exp(F.col("nll") / F.col("n_words"))).drop("nll")
+    return scored.groupBy("_row", key).agg(F.sum("n").alias("n_words"), bits.alias("nll")).select(key, "n_words", F.exp(F.col("nll") / F.col("n_words")).alias("perplexity"))
 
 
 def perplexity_band(scored: DataFrame, key: str = "doc_id", top: float = DROP_TOP, bottom: float = DROP_BOTTOM) -> DataFrame:
@@ -90,9 +90,12 @@ def shingle_jaccard(docs: DataFrame, key: str = "doc_id", k: int = 5, threshold:
     Sets are equal, or differ and are joined exactly, without MinHash: two sets of n and m shingles need
     ``threshold`` (n + m) / (1 + ``threshold``) in common. With shingles in one order, rarest first, both sets have at
     least as many left at their first common one, so only the first n - ceil(``threshold`` n) + 1 of a set are joined.
+
+    Rows without an id have no name to be paired by and take no part. All pairs are listed, so the result grows with the
+    square of a family; ``neardup`` gives classes and counts instead.
     """
     w = words(F.col("text"))
-    prepared = docs.select(key, w.alias("w")).filter(F.size("w") > 0)
+    prepared = docs.filter(F.col(key).isNotNull()).select(key, w.alias("w")).filter(F.size("w") > 0)
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
     sets = prepared.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(shingles)).alias("s"))
     distinct = sets.groupBy("s").agg(F.min("key").alias("key"))

@@ -6,7 +6,8 @@ probability of 1 - (1 - 0.8⁸)¹⁶ = 0.947, at 0.85 of 0.994; ``corpus_rules.s
 
 At scale: texts of equal sets meet once, by weight. A pair counts in its first common band alone, which the bands of both
 tell, so no list of pairs is made: a block (``functions.blocks``) reports for each text how many links it has there, and a
-root. Band keys are dealt out first; shingles follow for the texts only that meet a partner which they have not met before.
+root. Band keys are all that is written of every text; texts are read again, and shingled, for those only that meet a
+partner which they have not met before. A bounded filter of these stands in front of the join that fetches them.
 A passage or a family that fills a bucket is split into parts. Components are found by alternating stars.
 
 Edge cases: texts that are null, empty or white space have no words and no links; a text of one to four words has one
@@ -17,13 +18,15 @@ documents all lack an id has a null class id; of rows that tie for the least id
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bloom
 from ..functions.blocks import components, each_block, into_blocks, local_roots, new_pairs, together
 from ..functions.tables import written
 from .corpus_rules import words
@@ -63,19 +66,37 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``shingles``: the sorted distinct 64-bit hashes of its shingles; none without words."""
-    w = docs.withColumn("_w", words(F.coalesce(text, F.lit(""))))
-    one = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - SHINGLE + 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, SHINGLE), " ")))
-    return w.withColumn("shingles", F.when(F.size("_w") > 0, F.array_sort(F.array_distinct(one))).otherwise(F.array().cast("array<bigint>"))).drop("_w")
+def _words(text: str) -> Column:
+    """Hashes of a text's words."""
+    return F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
 
 
-def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The sorted set of a text's shingles, from its words; fewer words than a shingle has are one."""
+    k = min(SHINGLE, len(h))
+    if not k:
+        return np.zeros(0, np.int64)
+    h, out = np.asarray(h, np.int64).view(np.uint64), np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = _mix(out ^ h[i : len(h) - k + 1 + i])
+    return np.unique(out.view(np.int64))
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number of shingles, a digest of their set and its band keys; both are null without words."""
     for batch in batches:
-        sets = [np.asarray(s, np.int64) for s in batch["shingles"]]
-        if sets:
-            keys = [k.tobytes() for k in band_keys(sets)]
-            yield pd.DataFrame({"node": batch["node"], "weight": batch["weight"], "n": [len(s) for s in sets], "keys": keys, "shingles": [s.tobytes() for s in sets]})
+        sets = [shingles(h) for h in batch["h"]]
+        bits = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+        keys: list[bytes | None] = [None] * len(sets)
+        if some := [i for i, s in enumerate(sets) if len(s)]:
+            for i, k in zip(some, band_keys([sets[i] for i in some]), strict=True):
+                keys[i] = k.tobytes()
+        yield batch.drop(columns="h").assign(n=[len(s) for s in sets], bits=bits, keys=keys)
+
+
+def _with_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.drop(columns="h").assign(shingles=[shingles(h).tobytes() for h in batch["h"]])
 
 
 def _dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,18 +162,29 @@ def _links(threshold: float):
     return run
 
 
-def _classes(rows: DataFrame, threshold: float, part: int) -> DataFrame:
-    """(row, id, n_links, class_id, kept) of rows (row, id, text)."""
-    rows = shingle_sets(rows).select("row", "id", "shingles")
-    bits = F.unhex(F.md5(F.array_join(F.col("shingles").cast("array<string>"), ",").cast("binary")))
-    rows = written(rows.withColumn("bits", F.when(F.size("shingles") > 0, bits)), "shingles")
-    sets = rows.filter(F.col("bits").isNotNull()).groupBy("bits").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("weight"), F.any_value("shingles").alias("shingles"))
+def _content(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _classes(docs: DataFrame, threshold: float, part: int) -> DataFrame:
+    """(row, id, n_links, class_id, kept) of ``docs`` (row, id, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.select("row", "id", _content("text").alias("content"), _words("text").alias("h"))
+    rows = written(rows.mapInPandas(_sketched, f"row long, id {kind}, content binary, n long, bits binary, keys binary"), "sketches")
+    sets = rows.filter(F.col("bits").isNotNull()).groupBy("bits").agg(
+        F.min("row").alias("node"), F.count(F.lit(1)).alias("weight"), F.min(F.struct("content", "id")).alias("at"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")
+    )
     sets = written(sets, "sets")
-    banded = written(sets.select("node", "weight", "shingles").mapInPandas(_banded, "node long, weight long, n long, keys binary, shingles binary"), "banded")
-    dealt = banded.select("node", "n", "keys").mapInPandas(_dealt, "band int, key long, node long, n long, keys binary")
+    dealt = sets.select("node", "n", "keys").mapInPandas(_dealt, "band int, key long, node long, n long, keys binary")
     met = together(into_blocks(dealt, "node", "n", part, PART_SHINGLES)).mapInPandas(_candidates(threshold), "band int, key long, low int, high int, part int, node long")
-    links = together(met.join(banded, "node")).mapInPandas(_links(threshold), "node long, linked long, root long")
-    links = written(links, "links")
+    met = written(met, "met")
+    needed = written(met.select("node").distinct().join(sets, "node").select("node", "weight", "n", "keys", F.col("at.content").alias("needed"), F.col("at.id").alias("first_id")), "needed")
+    again = bloom.maybe_seen(docs.select("id", "text", _content("text").alias("content")), "content", bloom.build(needed, "needed")).filter("maybe")
+    again = again.join(needed.select("node", "needed", "first_id"), (F.col("content") == F.col("needed")) & F.col("id").eqNullSafe(F.col("first_id")))
+    again = again.groupBy("node").agg(F.any_value("text").alias("text"))  # of a row that is there several times
+    found = written(again.select("node", _words("text").alias("h")).mapInPandas(_with_shingles, "node long, shingles binary"), "shingles")
+    known = needed.select("node", "weight", "n", "keys").join(found, "node")
+    links = written(together(met.join(known, "node")).mapInPandas(_links(threshold), "node long, linked long, root long"), "links")
     counts = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     nodes = sets.select("bits", "node", "weight").join(counts, "node", "left").join(components(links, "node", "root"), "node", "left")
     nodes = nodes.select("bits", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("class"))

@@ -93,19 +93,28 @@ def checkpoint_due(tokens: Column, every: int, batch_tokens: int, minutes: Colum
 def checkpoint_times(steps: DataFrame, run: str, order: str, tokens: str, seconds: str, every: int, batch_tokens: int, most: float = 20.0) -> DataFrame:
     """``steps`` with ``due``: by tokens, or where ``most`` minutes have passed since the last save or the run's first second.
 
-    Each save starts the clock anew, so a run is a fold over its steps: its narrow rows meet in one group, runs side by side.
+    Each save starts the clock anew, whatever came before it, and a save by tokens is known from its row alone. So a run falls
+    into stretches that begin with such saves; only a stretch, which ``every`` bounds, is a fold over its narrow rows, and all
+    stretches of all runs go side by side. Null tokens are none due; steps that tie in ``order`` go by their second.
     """
+    from ..functions.ordering import running_total
+    from ..functions.tables import written
+
     kind = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    hit = F.coalesce(F.col(tokens) % every < batch_tokens, F.lit(False))
+    rows = written(steps.select(run, order, F.col(seconds).alias("_at"), hit.alias("_hit")), "steps")
+    rows = running_total(rows, F.col("_hit").cast("long"), order, "_before", (run,), ("_at",))
+    rows = rows.withColumn("_stretch", F.col("_before") + F.col("_hit").cast("long")).drop("_before")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        last, due = rows[seconds].iloc[0], []
-        for n, at in zip(rows[tokens], rows[seconds], strict=True):
-            due.append(bool(n % every < batch_tokens or (at - last) / 60.0 >= most))
+        rows = rows.sort_values([order, "_at"], kind="stable")
+        last, due = rows["_at"].iloc[0], []
+        for hit, at in zip(rows["_hit"], rows["_at"], strict=True):
+            due.append(bool(hit or (at - last) / 60.0 >= most))
             last = at if due[-1] else last
         return rows[[run, order]].assign(due=due)
 
-    return steps.select(run, order, tokens, seconds).groupBy(run).applyInPandas(fold, f"{run} {kind[run]}, {order} {kind[order]}, due boolean")
+    return rows.groupBy(run, "_stretch").applyInPandas(fold, f"{run} {kind[run]}, {order} {kind[order]}, due boolean")
 
 
 def surplus_checkpoints(saved: DataFrame, keep: int, order: str, ties: str, run: tuple[str, ...] = ()) -> DataFrame:
@@ -236,16 +245,17 @@ def summary_table(manifest: DataFrame, domain: str = "domain") -> DataFrame:
     return manifest.select(domain, F.when(F.col("error").isNotNull(), F.format_string("  %-15s FAILED: %s", domain, "error")).otherwise(good).alias("line"))
 
 
-def dashboard(lines: DataFrame, order: str, now: Column, start: int, line: str = "value") -> DataFrame:
+def dashboard(lines: DataFrame, order: str, now: Column, start: int, line: str = "value", points: int = 20_000) -> DataFrame:
     """One row of JSON: the last step, progress, the chart series, the log's tail and the cost.
 
-    Series and tail are what a page shows, so they meet in one row by intent; the series have one entry a step line.
+    Series and tail are what a page shows, so they meet in one row by intent; the series hold the newest ``points`` entries.
     """
     steps = step_metrics(lines, line)
+    newest = lambda rows, by: rows.orderBy(F.desc(by)).limit(points)  # noqa: E731  the limit is the feature
     series = ["step", "loss", "lr", "gnorm", "tok_s", "mfu", "mem"]
     pick = lambda name: F.transform("s", lambda x: x[name]).alias(name)
-    charts = steps.agg(F.array_sort(F.collect_list(F.struct(order, *series))).alias("s")).select(F.struct(*map(pick, series)).alias("charts"))
-    micro = micro_losses(lines, order, line).agg(F.array_sort(F.collect_list(F.struct("micro_index", "micro_loss"))).alias("micro"))
+    charts = newest(steps, order).agg(F.array_sort(F.collect_list(F.struct(order, *series))).alias("s")).select(F.struct(*map(pick, series)).alias("charts"))
+    micro = newest(micro_losses(lines, order, line), "micro_index").agg(F.array_sort(F.collect_list(F.struct("micro_index", "micro_loss"))).alias("micro"))
     tail = log_tail(lines, order).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(line).alias("text")))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("logs"))
     last = progress(steps, order)
     cost = F.struct(*[c.alias(n) for n, c in metered(now, start).items()]).alias("cost")

@@ -18,10 +18,13 @@ from ..functions.hashing import u01, u01_sql
 from ..functions.ordering import row_index
 from ..functions.permutation import permutation_sql
 from ..functions.tables import shared_dir, written
-from ..operators import chat, corpus_rules, curation, mixture, neardup, packing, preference, telemetry, tokens
+from ..operators import chat, corpus_rules, curation, language, mixture, neardup, ngram, packing, personal, preference, sketches, telemetry, tokens
 from ..session import table
+from ..sources import layout, text
 from ..sources.npy import scan_token_arrays, write_token_shards
 from ..sources.shards import ShardStore
+from ..streaming import runs
+from .incremental import CleanStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -286,6 +289,35 @@ def curate_end_to_end(spark, sf):
     return packing.pack(kept, 1024, streams=("source",)).select("source", "seq_id", digest("input_ids", "ids_md5"))
 
 
+HALF = "(SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents)"
+
+
+def curated_in_batches(spark, sf) -> tuple[CleanStore, DataFrame]:
+    """The documents up to the middle id, and the others after them."""
+    docs = documents(spark, sf)
+    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    half = ((ends["lo"] or 0) + (ends["hi"] or 0)) // 2
+    store = CleanStore(spark, f"{shared_dir(spark)}/corpusloom/clean-{uuid.uuid4().hex}")
+    store.add(docs.filter(F.col("doc_id") <= half), "first")
+    store.add(docs.filter(F.col("doc_id") > half), "second")
+    store.add(docs, "second")  # a batch that is there is not run again
+    return store, docs
+
+
+@query(f"SELECT doc_id, source, text FROM {CURATED}")
+def curate_in_batches(spark, sf):
+    store, docs = curated_in_batches(spark, sf)
+    return store.clean(docs.schema).select("doc_id", "source", "text")
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, doc_id <= {HALF} AS early, {REASON} IS NULL AS ok, CASE WHEN {REASON} IS NULL THEN {STRIP_KEY} END AS key FROM documents WHERE text <> ''),
+f AS (SELECT *, ok AND row_number() OVER (PARTITION BY early, source, key ORDER BY doc_id) = 1 AS inside, ok AND row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1 AS kept FROM k)
+SELECT CASE WHEN early THEN 'first' ELSE 'second' END AS batch, count(*) AS n_read, count(*) FILTER (WHERE NOT ok) AS quality_fail,
+ count(*) FILTER (WHERE ok AND NOT inside) AS dup_inside, count(*) FILTER (WHERE inside AND NOT kept) AS dup_before, count(*) FILTER (WHERE kept) AS n_kept FROM f GROUP BY early""")
+def batch_counts(spark, sf):
+    return curated_in_batches(spark, sf)[0].batches().drop("folder", "number")
+
+
 # --- mixtures and batches ------------------------------------------------------------------------------------------
 
 WEIGHTS = {"en": 0.5, "fr": 0.3, "de": 0.2}
@@ -607,6 +639,21 @@ def checkpoint_times(spark, sf):
     return telemetry.checkpoint_times(rows, "user_id", "step", "tokens", "at", 200_000, 50, 1500.0)
 
 
+@query(f"""WITH RECURSIVE {STEPS}, t AS ({CUM}), x AS (SELECT s.user_id, s.step, t.tokens, epoch_ms(s.ts) AS ms, CAST(floor(epoch(s.ts)) AS BIGINT) AS sec FROM t JOIN s USING (event_id)),
+f AS (SELECT user_id, step, ms, tokens % 200000 < 50 AS due, sec AS last FROM x WHERE step = 1
+ UNION ALL SELECT x.user_id, x.step, x.ms, x.tokens % 200000 < 50 OR (x.sec - f.last) / 60.0::DOUBLE >= 1500, CASE WHEN x.tokens % 200000 < 50 OR (x.sec - f.last) / 60.0::DOUBLE >= 1500 THEN x.sec ELSE f.last END FROM f JOIN x ON x.user_id = f.user_id AND x.step = f.step + 1)
+SELECT CAST(user_id AS VARCHAR) AS run, step, due FROM f WHERE ms <= (SELECT max(epoch_ms(ts)) FROM events) - 86400000""")
+def streamed_checkpoints(spark, sf):
+    """The same as a stream with state, whose watermark is a day behind the last event: later steps still wait."""
+    rows = token_runs(spark, sf).select("event_id", "tokens").join(steps(spark, sf).select("event_id", "user_id", "step", "ts", "value"), "event_id")
+    rows = rows.select(F.col("user_id").cast("string").alias("run"), F.col("step").cast("long").alias("step"), "ts", "tokens", F.floor(F.col("value") * 1000).alias("used"), F.col("value").alias("seconds"))
+    base = f"{shared_dir(spark)}/corpusloom/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/steps")
+    stream = runs.monitored(spark.readStream.schema(rows.schema).parquet(f"{base}/steps"), "1 day", 200_000, 50, 1500.0)
+    runs.start_monitor(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema(runs.STEPS).parquet(f"{base}/out").select("run", "step", "due")
+
+
 @query("""SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 7 <> 0) WHERE rn > 3""")
 def topn_rotation(spark, sf):
     saved = table(spark, sf, "events").withColumn("is_emergency", F.col("event_id") % 7 == 0)
@@ -780,3 +827,148 @@ def shingle_near_duplicates(spark, sf):
 def minhash_near_duplicates(spark, sf):
     """Class, links and verdict of every document by banded MinHash, candidates compared exactly."""
     return neardup.near_classes(documents(spark, sf).select("doc_id", "text"))
+
+
+HELD_OUT = f"{u01_sql('ngram', 'doc_id')} < 0.2"
+
+
+def held_out_perplexity(spark, sf, order: int) -> DataFrame:
+    """Texts of a fifth of the ids under the model of the others."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    held = u01("ngram", F.col("doc_id")) < 0.2
+    out = ngram.perplexity(docs.filter(held), ngram.fit(docs.filter(~held), order))
+    return out.withColumn("perplexity", F.round("perplexity", 4))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {HELD_OUT} AS held, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, held, unnest(list_transform(range(len(w)), lambda i: {{'v': CASE WHEN i = 0 THEN chr(10) ELSE w[i] END, 'w': w[i + 1]}})) AS g FROM d),
+b AS (SELECT g.v AS v, g.w AS w, count(*) AS c FROM g WHERE NOT held GROUP BY 1, 2),
+x AS (SELECT v, CAST(sum(c) AS DOUBLE) AS total, count(*) AS types FROM b GROUP BY v),
+o AS (SELECT w, sum(c) AS c FROM b GROUP BY w), z AS (SELECT sum(c) AS total, count(*) AS types FROM o),
+a AS (SELECT DISTINCT g.v AS v, g.w AS w FROM g WHERE held),
+p1 AS (SELECT a.v, a.w, (coalesce(o.c, 0) + 1) / CAST(z.total + z.types + 1 AS DOUBLE) AS p FROM a LEFT JOIN o ON o.w = a.w CROSS JOIN z),
+p2 AS (SELECT p1.v, p1.w, CASE WHEN x.total IS NULL THEN p ELSE greatest(coalesce(b.c, 0) - 0.75::DOUBLE, 0) / x.total + 0.75::DOUBLE * x.types / x.total * p END AS p
+ FROM p1 LEFT JOIN x ON x.v = p1.v LEFT JOIN b ON b.v = p1.v AND b.w = p1.w)
+SELECT doc_id, count(*) AS n_words, round(exp(sum(-ln(p2.p)) / count(*)), 4) AS perplexity FROM g JOIN p2 ON p2.v = g.g.v AND p2.w = g.g.w WHERE held GROUP BY doc_id""")
+def bigram_perplexity(spark, sf):
+    return held_out_perplexity(spark, sf, 2)
+
+
+@query()
+def trigram_perplexity(spark, sf):
+    return held_out_perplexity(spark, sf, 3)
+
+
+@query()
+def language_identified(spark, sf):
+    """The language of every text, by a model that has not seen the labels of a third of the ids."""
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    held = u01("held", F.col("doc_id")) < 1 / 3
+    model = language.fit(docs.filter(~held))
+    found = docs.withColumn("found", language.identify(F.col("text"), model))
+    return found.select("doc_id", held.alias("held_out"), "lang", "found.language", F.round("found.margin", 6).alias("margin"))
+
+
+def found_sql(kind: str) -> str:
+    """Findings of a pattern in DuckDB: the text between them gives their places."""
+    pattern = personal.KINDS[kind].replace("'", "''")
+    pieces = f"string_split_regex(text, '{pattern}')"
+    return f"""SELECT doc_id, '{kind}' AS kind, {list(personal.KINDS).index(kind)} AS rank, f AS found,
+ CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+ FROM (SELECT doc_id, m, p, unnest(m) AS f, generate_subscripts(m, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, {pieces} AS p FROM documents))"""
+
+
+DIGITS = "list_transform(string_split(regexp_replace(found, '[^0-9]', '', 'g'), ''), lambda d: TRY_CAST(d AS INTEGER))"
+LUHN = f"list_sum(list_transform(list_reverse({DIGITS}), lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0"
+
+@query(f"""WITH c AS ({" UNION ALL ".join(map(found_sql, ("email", "card", "ip", "phone")))}),
+ok AS (SELECT *, start + length(found) AS stop FROM c WHERE kind = 'email' OR kind = 'card' AND {LUHN}
+ OR kind = 'ip' AND list_max(list_transform(string_split(found, '.'), lambda x: CAST(x AS INTEGER))) <= 255
+ OR kind = 'phone' AND length(regexp_replace(found, '[^0-9]', '', 'g')) BETWEEN 9 AND 15 AND (found LIKE '+%' OR regexp_matches(found, '[0-9)][ .()-]+[0-9(]')) AND NOT regexp_matches(found, '^[0-9]+\\.[0-9]+$|[.-]{{2}}| {{2}}')),
+k1 AS (SELECT * FROM ok a WHERE rank = 0 OR NOT EXISTS (SELECT 1 FROM ok b WHERE b.doc_id = a.doc_id AND b.rank < a.rank AND b.rank = 0 AND a.start < b.stop AND b.start < a.stop)),
+k2 AS (SELECT * FROM k1 a WHERE rank <= 2 OR NOT EXISTS (SELECT 1 FROM k1 b WHERE b.doc_id = a.doc_id AND b.rank = 2 AND a.start < b.stop AND b.start < a.stop)),
+k3 AS (SELECT * FROM k2 a WHERE rank <= 3 OR NOT EXISTS (SELECT 1 FROM k2 b WHERE b.doc_id = a.doc_id AND b.rank = 3 AND a.start < b.stop AND b.start < a.stop))
+SELECT doc_id, CAST(start AS INTEGER) AS start, kind, found FROM k3""")
+def personal_data(spark, sf):
+    """Every checked finding; account numbers, whose remainder DuckDB has no exact numbers for, are left to the tests."""
+    found = documents(spark, sf).select("doc_id", F.explode(personal.personal_spans(F.col("text"))).alias("s"))
+    return found.select("doc_id", "s.start", "s.kind", "s.found").filter("kind <> 'iban'")
+
+
+@query()
+def domain_sketches(spark, sf):
+    """Different keys and quantiles of lengths by language: two runs are sketched apart, written, and merged."""
+    docs, measures = documents(spark, sf), ("chars",)
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    halves = [written(sketches.sketched(docs.filter(part), "lang", curation.dedup_key(F.col("text")), {"chars": F.length("text")}), "sketches") for part in (early, ~early)]
+    return sketches.estimates(sketches.merged(halves[0].unionByName(halves[1]), "lang", measures), "lang", measures)
+
+
+# --- files: what is written from the tables is read back ------------------------------------------------------------
+
+
+def folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+def json_lines(spark, sf) -> str:
+    """Documents as JSON lines, in a folder; every tenth id has no text."""
+    path = folder(spark, "lines")
+    documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text")).write.json(path)
+    return path
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents WHERE text <> '' AND doc_id % 10 <> 0 GROUP BY 1")
+def json_line_documents(spark, sf):
+    docs = text.read_documents(spark, json_lines(spark, sf), extensions=(".json",))
+    return docs.groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS bad_lines FROM documents WHERE text IS NULL OR text = '' OR doc_id % 10 = 0")
+def bad_json_lines(spark, sf):
+    docs = text.read_documents(spark, json_lines(spark, sf), extensions=(".json",), bad="keep")
+    return docs.filter(F.col("text").isNull() | (F.col("text") == "")).agg(F.count(F.lit(1)).alias("bad_lines"))
+
+
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS turn, role, md5(text) AS text_md5 FROM conversations""")
+def conversation_lines(spark, sf):
+    path = folder(spark, "conversations")
+    message = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    whole = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("ms"))
+    whole.select(F.to_json(F.struct(F.concat(F.array(F.struct(F.lit("id").alias("role"), F.col("conv_id").cast("string").alias("content"))), F.transform("ms", lambda m: m["m"])).alias("messages"))).alias("value")).write.text(path)
+    read = text.read_conversations(spark, path).select(F.expr("CAST(messages[0].content AS BIGINT)").alias("conv_id"), F.expr("slice(messages, 2, size(messages))").alias("messages"))
+    return text.turns(read).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT doc_id, source, md5(text) AS text_md5 FROM {CURATED}")
+def clean_lines(spark, sf):
+    """Curated rows written once as JSON lines and read; a second writer finds them there."""
+    path = folder(spark, "clean")
+    kept = curation.curate(documents(spark, sf)).select("doc_id", "source", "text")
+    layout.write_once(kept, path)
+    return layout.write_once(kept.limit(0), path).select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+@query(SQL["domain_manifest"].replace("SELECT *, n_read", "SELECT *, CAST(NULL AS VARCHAR) AS error, n_read"))
+def manifest_file(spark, sf):
+    path, rows = folder(spark, "manifest"), curation.domain_manifest(documents(spark, sf))
+    layout.write_manifest(rows, path)
+    return spark.read.schema(rows.withColumn("error", F.lit(None).cast("string")).schema).json(path)
+
+
+@query(SQL["log_step_metrics"].replace("SELECT event_id, phase", "SELECT phase"))
+def log_file(spark, sf):
+    """Step lines written as a log and read from the first folder that is there."""
+    path = folder(spark, "log")
+    log_lines(spark, sf).select("value").write.text(path)
+    return telemetry.step_metrics(text.read_log(spark, f"{path}-none", path).select("value"))
+
+
+@query(f"""WITH {PAIRS}, {PROMPT}, k AS (SELECT conv_id, {_sides(lambda s: f"list_concat(prompt_ids, list_concat({tok_of(s)}, [2])) AS {s}")} FROM pr)
+SELECT {_sides(lambda s: f"md5(array_to_string({s}, ',')) AS {s}_md5")}, count(*) AS n FROM k GROUP BY 1, 2""")
+def token_pair_lines(spark, sf):
+    path = folder(spark, "pairs")
+    coded = prompts(spark, sf).select(*[F.concat("prompt_ids", tokens.encode(F.col(s)), F.array(F.lit(2))).alias(f"{s}_full_ids") for s in preference.SIDES])
+    coded.select(F.to_json(F.struct(*coded.columns)).alias("value")).write.text(path)
+    read = text.read_token_pairs(spark, path)
+    return read.groupBy(*[digest(f"{s}_full_ids", f"{s}_md5") for s in preference.SIDES]).agg(F.count(F.lit(1)).alias("n"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import row_index
-from ..functions.tables import written
+from ..functions.tables import tables_of, written
 from .text import _exists
 
 LISTED = 10_000  # shards that are named to the reader; with more, the join alone decides which rows are used
@@ -48,6 +48,10 @@ class ShardStore:
 
     def append(self, sequences: DataFrame, order: tuple[str, ...], size: int) -> int:
         """Add rows in ``order`` (a number first, then what breaks ties) as shards of ``size`` rows; how many shards."""
+        with tables_of(self.spark):
+            return self._append(sequences, order, size)
+
+    def _append(self, sequences: DataFrame, order: tuple[str, ...], size: int) -> int:
         batch, (first, start) = uuid.uuid4().hex, self._end()
         narrow = written(sequences.withColumn("_at", F.monotonically_increasing_id()), "sequences")
         places = row_index(narrow.select(*order, "_at"), order[0], "_place", ties=(*order[1:], "_at")).select("_at", "_place")

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import blocks, ordering, permutation
-from corpusloom.operators import chat, mixture, neardup, packing
+from corpusloom.functions import blocks, bloom, ordering, permutation, tables
+from corpusloom.operators import chat, curation, mixture, neardup, packing
+from corpusloom.plans.incremental import CleanStore
 from corpusloom.sources import npy
 from corpusloom.sources.shards import ShardStore
 
@@ -68,6 +69,20 @@ def test_what_a_lost_job_leaves_is_not_read(spark, tmp_path):
     assert ShardStore(spark, str(tmp_path / "none")).locate(spark.range(3).withColumnRenamed("id", "idx")).collect() == []
 
 
+def test_written_tables_are_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    left = lambda: os.listdir(tmp_path / "shared/corpusloom")
+    with tables.tables_of(spark):
+        docs = spark.createDataFrame([(i, [i] * 5) for i in range(20)], "doc_id long, ids array<int>")
+        assert packing.pack(docs, 16).count() == 8 and left()
+        with tables.tables_of(spark):
+            chat.next_fit_bins(docs.select(F.col("doc_id").alias("conv_id"), F.lit(3).alias("length")), 7).collect()
+    assert left() == []
+    filled(spark, tmp_path / "store")
+    CleanStore(spark, str(tmp_path / "clean")).add(spark.createDataFrame([(1, "a", "x")], "doc_id long, source string, text string"), "b")
+    assert left() == []
+
+
 # --- permutations --------------------------------------------------------------------------------------------------
 
 
@@ -351,3 +366,210 @@ def test_pack_over_ranges(spark, monkeypatch):
     for rows in (ordering.ROWS, 40):
         monkeypatch.setattr(ordering, "ROWS", rows)
         assert [list(x["input_ids"]) for x in packing.pack(df, 16, ties=("tie",)).orderBy("seq_id").collect()] == want
+
+
+# --- curation in batches -------------------------------------------------------------------------------------------
+
+DOCS = "doc_id long, source string, text string"
+
+
+def prose(i):
+    return f"Some words of document number {i} that go on and on for long enough to pass. " * 4
+
+
+def test_batches_keep_what_one_run_keeps(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([prose(r.randint(0, 60)), "short", "", None])) for i in range(400)]
+    rows += [(7, "a", prose(7)), (7, "a", prose(7)), (None, "b", prose(1000)), (None, "b", prose(1000))]
+    df = spark.createDataFrame(rows, DOCS)
+    one = curation.curate(df).select("source", "text").collect()
+    for words in (1, 64, 1 << 20):  # a full filter only sends more keys to the join
+        store = CleanStore(spark, str(tmp_path / f"store-{words}"), words)
+        cuts = [df.filter("doc_id < 150 OR doc_id IS NULL"), df.filter("doc_id >= 150 AND doc_id < 160"), df.filter("false"), df.filter("doc_id >= 160"), df]
+        for k, part in enumerate(cuts):
+            counts = store.add(part, f"b{k}")
+            assert counts["n_read"] == counts["quality_fail"] + counts["dup_inside"] + counts["dup_before"] + counts["n_kept"]
+        got = store.clean(df.schema).select("source", "text").collect()
+        assert sorted(got, key=repr) == sorted(one, key=repr)
+        assert store.add(df, "b0")["n_kept"] == store.batches().filter("batch = 'b0'").first()["n_kept"]  # it is there
+        assert [x["n_kept"] for x in store.batches().orderBy("number").collect()][-1] == 0
+    (tmp_path / "store-64/clean/lost").mkdir()
+    df.limit(5).write.mode("overwrite").parquet(str(tmp_path / "store-64/clean/lost"))
+    assert CleanStore(spark, str(tmp_path / "store-64"), 64).clean(df.schema).count() == len(one)
+
+
+def test_a_filter_never_says_no_to_an_old_key(spark):
+    keys = spark.range(3000).selectExpr("concat('k', id) AS key")
+    seen = bloom.build(keys, "key", 1024)
+    assert bloom.maybe_seen(keys, "key", seen, words=1024).filter("NOT maybe").isEmpty()
+    other = spark.range(3000, 23_000).selectExpr("concat('k', id) AS key")
+    share = bloom.maybe_seen(other, "key", seen, words=1024).filter("maybe").count() / 20_000
+    assert share < 0.1
+    none = bloom.maybe_seen(keys.unionByName(spark.sql("SELECT CAST(NULL AS string) AS key")), "key", seen.filter("false"), words=1024)
+    assert none.filter("maybe").isEmpty() and none.count() == 3001
+    half = bloom.merge(bloom.build(keys.limit(0), "key", 1024).unionByName(seen))
+    assert half.exceptAll(seen).isEmpty()
+
+
+# --- n-gram models -------------------------------------------------------------------------------------------------
+
+
+def brute_perplexity(train, held, order, discount=0.75):
+    import math
+
+    split = lambda t: [w for w in (t or "").replace("\n", " ").split(" ") if w]
+    grams = lambda t, k: list(zip(*[(["\n"] * (k - 1) + split(t))[i:] for i in range(k)])) if split(t) else []
+    counts = [defaultdict(int) for _ in range(order + 1)]
+    for t in train:
+        for g in grams(t, order):
+            for k in range(1, order + 1):
+                counts[k][g[order - k :]] += 1
+    total, types = [defaultdict(int) for _ in range(order + 1)], [defaultdict(int) for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            types[k][g[:-1]] += 1
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return (counts[1][g] + 1) / (total[1][()] + types[1][()] + 1)
+        low, t = p(g[1:]), total[k].get(g[:-1])
+        return low if not t else max(counts[k].get(g, 0) - discount, 0) / t + discount * types[k][g[:-1]] / t * low
+
+    out = []
+    for key, t in held:
+        g = grams(t, order)
+        if g:
+            out.append((key, len(g), round(math.exp(-sum(math.log(p(x)) for x in g) / len(g)), 6)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_perplexity_against_brute_force(spark, monkeypatch, order):
+    from corpusloom.operators import ngram
+
+    r = random.Random(order)
+    text = lambda: " ".join(r.choice("a b c d e f".split()) for _ in range(r.randint(1, 30)))
+    train = [text() for _ in range(40)] + [None, "", " \n "]
+    held = [(i, text() + r.choice(["", " new words", "\nx"])) for i in range(20)] + [(3, "a b"), (3, "a b"), (None, "c"), (30, None), (31, ""), (32, "a " * 3000)]
+    monkeypatch.setattr(ngram, "FREQUENT", 5)
+    model = ngram.fit(spark.createDataFrame([(t,) for t in train], "text string"), order)
+    df = spark.createDataFrame(held, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("w1", "p", "n", "c", "total")})
+    got = sorted(((x["doc_id"], x["n_words"], round(x["perplexity"], 6)) for x in ngram.perplexity(df, model).collect()), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in brute_perplexity(train, held, order)]
+    assert all(abs(a[2] - b[2]) < 1e-5 * b[2] for a, b in zip(got, brute_perplexity(train, held, order), strict=True))
+
+
+def test_longer_contexts_predict_better(spark):
+    from corpusloom.plans import catalog
+
+    mean = lambda n: catalog.held_out_perplexity(spark, "/root/testdata/sf0.01", n).agg((F.sum(F.log("perplexity") * F.col("n_words")) / F.sum("n_words"))).first()[0]
+    one, two, three = (mean(n) for n in (1, 2, 3))
+    print("held-out nats a word:", one, two, three)
+    assert two < one and three < one
+
+
+def test_a_model_of_nothing(spark):
+    from corpusloom.operators import ngram
+
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [x["perplexity"] for x in ngram.perplexity(some, ngram.fit(none)).collect()] == [1.0]
+    assert ngram.perplexity(none, ngram.fit(some)).collect() == []
+
+
+# --- languages -----------------------------------------------------------------------------------------------------
+
+
+def test_languages_are_told_on_texts_that_were_held_out(spark):
+    from corpusloom.plans import catalog
+
+    got = catalog.QUERIES["language_identified"](spark, "/root/testdata/sf0.01").filter("held_out AND language IS NOT NULL").toPandas()
+    long = got[got["margin"].notna()]
+    right = (long["lang"] == long["language"]).mean()
+    print("held-out accuracy:", right, "of", len(long))
+    assert len(long) > 250 and right > 0.9
+
+
+def test_language_edge_cases(spark):
+    from corpusloom.operators import language
+
+    texts = {"en": "the quick brown fox jumps over the lazy dog and runs", "de": "der schnelle braune fuchs springt über den faulen hund"}
+    rows = [(i, texts[k], k) for i, k in enumerate(["en", "de"] * 20)] + [(None, texts["en"], "xx"), (99, texts["en"], None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == ("de", "en")
+    asked = spark.createDataFrame([(None,), ("",), ("ab",), ("\U0001f600\U0001f600\U0001f600",), ("THE LAZY DOG 12",), ("der faule Hund",), ("the dog " * 400_000,)], "text string")
+    got = [(r["f"]["language"], r["f"]["margin"]) for r in asked.select(language.identify(F.col("text"), model).alias("f")).collect()]
+    assert got[:3] == [(None, None)] * 3 and got[3][0] in model.names and [g[0] for g in got[4:]] == ["en", "de", "en"]
+    assert all(g[1] >= 0 for g in got[3:])
+    long = "x" * (language.PIECE + 5) + "the end"
+    assert language.counted(long).sum() == len(long) - 2
+    none = language.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert none.names == () and language.score("the dog", none) == (None, None)
+
+
+# --- personal data -------------------------------------------------------------------------------------------------
+
+
+def found_in(spark, texts):
+    from corpusloom.operators import personal
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    out = df.withColumn("s", personal.personal_spans(F.col("text"))).withColumn("r", personal.redacted(F.col("text"), F.col("s"))).orderBy("i").collect()
+    return [(None if r["s"] is None else [(s["kind"], s["found"], s["start"]) for s in r["s"]], r["r"]) for r in out]
+
+
+def test_personal_data_is_checked(spark):
+    texts = [
+        "mail a.b+c@ex-ample.co.uk, 4111 1111 1111 1111 or 4111 1111 1111 1112.",
+        "IBAN DE89 3704 0044 0532 0130 00 and DE88 3704 0044 0532 0130 00, GB82WEST12345698765432",
+        "at 10.0.0.255 not 10.0.0.256 nor 1.2.3",
+        "call +49 (0)30 1234567 or (555) 123-4567 or 030/123; number 1234567890123, 2024-01-30, 3.14159265358, 1-2-3-4-5",
+        "né\U0001f600 x@y.de", "", None, "[EMAIL] [PHONE]", "a@b.co" * 3, "x@y.de " * 3000,
+    ]
+    got = found_in(spark, texts)
+    assert [s[:2] for s in got[0][0]] == [("email", "a.b+c@ex-ample.co.uk"), ("card", "4111 1111 1111 1111")]
+    assert got[0][1] == "mail [EMAIL], [CARD] or 4111 1111 1111 1112."
+    assert [s[1] for s in got[1][0]] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    assert [s[:2] for s in got[2][0]] == [("ip", "10.0.0.255")]
+    assert [s[1] for s in got[3][0]] == ["+49 (0)30 1234567", "(555) 123-4567"] and got[3][1].startswith("call [PHONE] or [PHONE] or 030/123; number 1234567890123, 2024")
+    assert got[4] == ([("email", "x@y.de", 4)], "né\U0001f600 [EMAIL]")
+    assert got[5] == ([], "") and got[6] == (None, None) and got[7] == ([], "[EMAIL] [PHONE]")
+    assert got[9][1] == "[EMAIL] " * 3000
+    for t, (spans, _) in zip(texts, got, strict=True):
+        assert all(t[at : at + len(found)] == found for _, found, at in spans or [])
+
+
+def test_plain_numbers_are_seldom_personal(spark):
+    r = random.Random(1)
+    cards = [" ".join(str(r.randint(0, 9999)).zfill(4) for _ in range(4)) for _ in range(500)]
+    plain = [str(r.randint(10**8, 10**12)) for _ in range(300)] + [f"{r.randint(0, 999)}.{r.randint(0, 10**9)}" for _ in range(300)] + [f"{r.randint(1900, 2100)}-{r.randint(10, 12)}-{r.randint(10, 28)}" for _ in range(300)]
+    hits = lambda texts: sum(bool(s) for s, _ in found_in(spark, texts))
+    assert 20 < hits([f"no {c} here" for c in cards]) < 90  # one in ten fits by chance
+    assert hits([f"no {p} here" for p in plain]) == 0
+
+
+# --- sketches ------------------------------------------------------------------------------------------------------
+
+
+def test_sketches_of_runs_merge(spark):
+    from corpusloom.operators import sketches
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("d"), (F.col("id") % 20_000).alias("k"), ((F.col("id") * 7919) % 60_000).cast("double").alias("x"))
+    make = lambda r: sketches.sketched(r, "d", F.col("k"), {"x": F.col("x")})
+    runs = [make(rows.filter(f"x % 4 = {i}")) for i in range(4)] + [make(rows.limit(0))]
+    whole = runs[0]
+    for r in runs[1:]:
+        whole = whole.unionByName(r)
+    whole = sketches.merged(whole, "d", ("x",))
+    got = {r["d"]: r for r in sketches.estimates(whole, "d", ("x",)).collect()}
+    exact = {r["d"]: r for r in rows.groupBy("d").agg(F.count_distinct("k").alias("k"), F.count(F.lit(1)).alias("n")).collect()}
+    assert set(got) == {"a", "b", None}
+    for d, r in got.items():
+        assert r["n"] == exact[d]["n"] and abs(r["n_keys"] - exact[d]["k"]) < 0.04 * exact[d]["k"]
+        assert all(abs(r[f"x_{q}"] - 600 * q) < 1500 for q in (5, 50, 80))
+    kept = sketches.band(rows, "x", whole).count()
+    assert abs(kept - 45_000) < 2000
+    few = sketches.estimates(make(spark.createDataFrame([("a", 1, float("nan")), ("a", None, None), ("a", 1, None)], "d string, k long, x double")), "d", ("x",)).first()
+    assert (few["n"], few["n_keys"], few["x_50"]) == (3, 1, None)

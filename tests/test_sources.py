@@ -134,7 +134,7 @@ def test_preprocess_all(spark, tmp_path):
     prose = lambda i: f"Some words of document {i} that go on and on for long enough. " * 5
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     lines = lambda key, ids: "\n".join(json.dumps({key: prose(i)}) for i in ids)
-    put(f"{raw}/wikipedia/a.jsonl", lines("text", [1, 2, 1, 3]) + "\n" + json.dumps({"text": "too short"}))
+    put(f"{raw}/wikipedia/a.jsonl", lines("text", [1, 2, 1, 3]) + "\n" + json.dumps({"text": "too short"}) + "\nno json")
     put(f"{raw}/wikipedia/b.jsonl", lines("text", [3, 4]))
     put(f"{raw}/thestack/a.jsonl", lines("content", [7]) + "\n" + json.dumps({"content": "short code" * 9}))
     put(f"{raw}/stackexchange/a.jsonl", lines("body", [8, 9]))
@@ -150,4 +150,12 @@ def test_preprocess_all(spark, tmp_path):
         assert mine == [(k // 3, k % 3) for k in range(len(mine))] and len(mine) == manifest["wikipedia"][f"{split}_sequences"]
     assert len(spark.read.parquet(f"{out}/thestack").collect()) == (n + 90 + 2) // 64  # code is not filtered
     assert os.path.exists(f"{out}/preprocessing_manifest.json")
+    m = manifest["wikipedia"]
+    assert (m["n_documents"], m["n_bad"], m["n_rejected"], m["n_kept"]) == (7, 1, 1, 4) and m["elapsed_s"] >= m["read_s"] >= 0
+    put(f"{raw}/books/a.jsonl", lines("text", [5, 6]))  # a second run does what the first could not, and nothing again
+    put(f"{raw}/wikipedia/a.jsonl", "no longer read")
+    again = {r["domain"]: r for r in preprocess_all(spark, raw, out, length=64, shard_size=3, fraction=0.5).collect()}
+    assert again["wikipedia"] == manifest["wikipedia"] and again["books"]["error"] is None and again["books"]["n_documents"] == 2
+    other = {r["domain"]: r for r in preprocess_all(spark, raw, out, ("stackexchange",), length=32, shard_size=3, fraction=0.5).collect()}
+    assert other["stackexchange"]["seq_len"] == 32
     assert packing.next_shard(spark.read.parquet(f"{out}/wikipedia").filter("split = 'train'")) >= 1
