@@ -31,7 +31,8 @@ def unigram_perplexity(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Words are counted once, by text, and the model is the sum of these counts. Words of most texts would be keys with a row a
     text: the ``FREQUENT`` most frequent meet the model by broadcast instead.
     """
-    texts = docs.filter(F.col("text") != "").select(F.monotonically_increasing_id().alias("_row"), key, F.explode(words(F.col("text"))).alias("word"))
+    rows = docs.filter(F.col("text") != "").select(F.monotonically_increasing_id().alias("_row"), key, "text")  # numbered before they are taken apart
+    texts = rows.select("_row", key, F.explode(words(F.col("text"))).alias("word"))
     own = written(texts.groupBy("_row", key, "word").agg(F.count(F.lit(1)).alias("n")), "words")
     model = written(own.groupBy("word").agg(F.sum("n").alias("freq")), "word-counts")
     total = model.agg(F.sum("freq").alias("total"))

@@ -46,9 +46,7 @@ def _names(k: int) -> list[str]:
 def grams(texts: Column, order: int) -> Column:
     """An array of the n-grams that end in each word, as structs w1 .. wn."""
     padded = F.concat(F.array(*[F.lit(START)] * (order - 1)), texts) if order > 1 else texts
-    at = F.sequence(F.lit(1), F.size(texts))
-    gram = lambda i: F.struct(*[F.element_at(padded, (i + k).cast("int")).alias(n) for k, n in enumerate(_names(order))])
-    return F.when(F.size(texts) > 0, F.transform(at, gram))
+    return F.arrays_zip(*[F.slice(padded, F.lit(k + 1), F.size(texts)).alias(n) for k, n in enumerate(_names(order))])
 
 
 def fit(docs: DataFrame, order: int = ORDER, text: str = "text") -> Model:
@@ -85,7 +83,9 @@ def probabilities(model: Model, asked: DataFrame, discount: float = DISCOUNT) ->
 def perplexity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", discount: float = DISCOUNT) -> DataFrame:
     """(``key``, n_words, perplexity) of every row with words."""
     names = _names(model.order)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_id"), F.explode(grams(words(F.coalesce(text, F.lit(""))), model.order)).alias("g"))
+    # Rows are numbered before they are taken apart.
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = rows.select("_row", "_id", F.explode(grams(words(F.col("_text")), model.order)).alias("g"))
     own = written(rows.select("_row", "_id", "g.*").groupBy("_row", "_id", *names).agg(F.count(F.lit(1)).alias("n")), "own-grams")
     asked = own.groupBy(*names).agg(F.count(F.lit(1)).alias("texts"))
     asked = written(asked, "asked")

@@ -457,6 +457,7 @@ def test_perplexity_against_brute_force(spark, monkeypatch, order):
     model = ngram.fit(spark.createDataFrame([(t,) for t in train], "text string"), order)
     df = spark.createDataFrame(held, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("w1", "p", "n", "c", "total")})
     got = sorted(((x["doc_id"], x["n_words"], round(x["perplexity"], 6)) for x in ngram.perplexity(df, model).collect()), key=repr)
+    assert len(got) == len(brute_perplexity(train, held, order))
     assert [g[:2] for g in got] == [w[:2] for w in brute_perplexity(train, held, order)]
     assert all(abs(a[2] - b[2]) < 1e-5 * b[2] for a, b in zip(got, brute_perplexity(train, held, order), strict=True))
 
