@@ -103,8 +103,8 @@ def checkpoint_times(steps: DataFrame, run: str, order: str, tokens: str, second
     kind = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
     hit = F.coalesce(F.col(tokens) % every < batch_tokens, F.lit(False))
     rows = written(steps.select(run, order, F.col(seconds).alias("_at"), hit.alias("_hit")), "steps")
-    rows = running_total(rows, F.col("_hit").cast("long"), order, "_before", (run,), ("_at",))
-    rows = rows.withColumn("_stretch", F.col("_before") + F.col("_hit").cast("long")).drop("_before")
+    rows = running_total(rows, F.col("_hit").cast("long"), order, "_hits", (run,), ("_at",))
+    rows = rows.withColumn("_stretch", F.col("_hits") + F.col("_hit").cast("long")).drop("_hits")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([order, "_at"], kind="stable")

@@ -92,7 +92,7 @@ def _prepared(steps: DataFrame) -> DataFrame:
     whole = steps.filter(F.col("run").isNotNull() & F.col("step").isNotNull() & F.col("ts").isNotNull())
     zero = F.lit(0).cast("long")
     return whole.select(
-        F.col("run").cast("string").alias("run"), "ts", F.unix_millis("ts").alias("at"), F.col("step").cast("long").alias("step"),
+        F.col("run").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("step").cast("long").alias("step"),
         F.coalesce(F.col("tokens").cast("long"), zero).alias("tokens"), F.coalesce(F.col("used").cast("long"), zero).alias("used"), F.coalesce(F.col("seconds").cast("double"), F.lit(0.0)).alias("seconds"),
     )
 
